@@ -3,17 +3,54 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import ann, chat, language_id, quality_rules, url_filter
 from .bpe import encode_texts
 from .common import table
 from .packing import pack
 from .token_counts import count_tokens
 
 
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    log = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    return chat.read_back(chat.format_chats(log.withColumn("seq", F.col("turn"))))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labelled = docs.where(~language_id.held_out() & F.col("doc_id").isNotNull())
+    model = language_id.learn(labelled, "text", "lang")
+    found = language_id.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rules = quality_rules.learn(docs, table(spark, sf_dir, "labels"))
+    return quality_rules.judge(docs, rules).select(F.col("_row.doc_id").alias("doc_id"), *quality_rules.COUNTS, "base_failed", "kept")
+
+
+RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels")
+    outcomes = labels.select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"), outcomes, RULES)
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents"), keep_ids=False).drop("ids")
 
@@ -22,6 +59,72 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_token_counts, op8_bpe, op9_packing)}
+QUERIES = {
+    f.__name__: f
+    for f in (op2_chat_formatting, op3_token_counts, op4_nearest_neighbours, op5_language_id, op6_quality_rules, op7_url_filter, op8_bpe, op9_packing)
+}
+
+
+def _escaped(column: str) -> str:
+    out = f"replace({column}, '\\', '\\\\')"
+    for c in chat.CONTROLS:
+        out = f"replace({out}, '{c}', '{chat.escape(c)}')"
+    return out
+
+
+_CHAT_SQL = f"""
+with log as (
+    select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+    union all values (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
+)
+select conv_id, count(*) as n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+    cast(sum(case when role = 'assistant' then length(text) else 0 end) as bigint) as loss_chars,
+    sha256(coalesce(string_agg(case when role = 'assistant' then text else '' end, '' order by turn nulls first, role, text), '')) as loss_sha256,
+    cast(sum(length({_escaped("text")}) + length(replace({_escaped("role")}, chr(10), '\\n')) + {len(chat.START) + len(chat.END) + 2}) as bigint) as formatted_chars
+from log group by conv_id
+"""
+
+_SUFFIXES = ", ".join(f"'{s}'" for s in url_filter.TWO_LABEL_SUFFIXES)
+_URL_SQL = f"""
+with parts as (
+    select page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{url_filter.UPPER}', '{url_filter.LOWER}') as host,
+        regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) as path from pages
+), outcomes as (
+    select doc_id as page_id, max(case when quality = 0 or toxic = 1 then 1 else 0 end) as bad from labels
+    where doc_id is not null and (quality = 0 or toxic = 1 or (quality is not null and toxic is not null)) group by doc_id
+), hosts as (
+    select host, count(bad) as n, coalesce(sum(bad), 0) as bad, string_split(host, '.') as s from parts left join outcomes using (page_id) group by host
+), split as (
+    select host, n, bad, array_to_string(s[greatest(1, len(s) - 1):], '.') as two, array_to_string(s[greatest(1, len(s) - 2):], '.') as three, s[len(s)] as one from hosts
+), named as (
+    select host, n, bad, case when two in ({_SUFFIXES}) then three else two end as domain, case when two in ({_SUFFIXES}) then two else one end as suffix from split
+), total as (select case when sum(n) > 0 then (sum(bad) + 1.0::double) / (sum(n) + 2) else 0.5::double end as m from named
+), s1 as (select suffix, sum(n) as n, sum(bad) as bad, m from named, total group by suffix, m
+), r1 as (select {{rho}} as rho from s1
+), s as (select suffix, (bad + (1 / rho - 1) * m) / (n + (1 / rho - 1)) as m from s1, r1
+), d1 as (select domain, suffix, sum(n) as n, sum(bad) as bad from named group by domain, suffix
+), d2 as (select d1.*, s.m from d1 join s using (suffix)
+), r2 as (select {{rho}} as rho from d2
+), d as (select domain, (bad + (1 / rho - 1) * m) / (n + (1 / rho - 1)) as m from d2, r2
+), h as (select named.host, n, bad, d.m from named join d using (domain)
+), r3 as (select {{rho}} as rho from h
+), post as (select host, (bad + (1 / rho - 1) * m) / (n + (1 / rho - 1)) as p, n + (1 / rho - 1) as size from h, r3
+), blocked as (select host from post where p - {url_filter.DEVIATIONS} * sqrt(p * (1 - p) / (size + 1)) > {url_filter.THRESHOLD}
+), ruled as (
+    select page_id, host, path, case
+        when (host = 'example.org' or ends_with(host, '.example.org')) and starts_with(path, '/en/1') then 'example.org/en/1'
+        when (host = 'example.org' or ends_with(host, '.example.org')) and starts_with(path, '/es/') then 'example.org/es/'
+        when (host = 'com' or ends_with(host, '.com')) and starts_with(path, '/de/') then 'com/de/'
+        when (host = 'com' or ends_with(host, '.com')) and starts_with(path, '/fr/') then 'com/fr/'
+        when (host = 'org' or ends_with(host, '.org')) and starts_with(path, '/') then 'org/' end as rule from parts
+)
+select page_id, host, path, rule, case when rule in ('example.org/en/1', 'example.org/es/', 'com/de/') then 'block' when rule is not null then 'allow'
+    when host in (select host from blocked) then 'block' else 'allow' end as verdict from ruled
+""".format(
+    rho=f"least({url_filter.MOST_CORRELATION}, greatest({url_filter.LEAST_CORRELATION}, coalesce("
+    "sum((bad - n * m) * (bad - n * m) - n * m * (1 - m)) filter (n > 0) / nullif(sum(n * (n - 1) * m * (1 - m)) filter (n > 0), 0), "
+    f"{url_filter.LEAST_CORRELATION})))"
+)
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_chat_formatting": _CHAT_SQL, "op7_url_filter": _URL_SQL}
