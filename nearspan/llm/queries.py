@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import ann, chat, language_id, quality_rules, url_filter
 from .bpe import encode_texts
 from .common import table
+from .near_duplicates import near_duplicates
 from .packing import pack
 from .token_counts import count_tokens
 
@@ -59,9 +60,13 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op2_chat_formatting, op3_token_counts, op4_nearest_neighbours, op5_language_id, op6_quality_rules, op7_url_filter, op8_bpe, op9_packing)
+    for f in (op2_chat_formatting, op3_token_counts, op4_nearest_neighbours, op5_language_id, op6_quality_rules, op7_url_filter, op8_bpe, op9_packing, op10_near_duplicates)
 }
 
 
@@ -127,4 +132,26 @@ select page_id, host, path, rule, case when rule in ('example.org/en/1', 'exampl
     f"{url_filter.LEAST_CORRELATION})))"
 )
 
-ORACLE_SQL: dict[str, str] = {"op2_chat_formatting": _CHAT_SQL, "op7_url_filter": _URL_SQL}
+_NEAR_SQL = r"""
+with recursive w as (
+    select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') as w from documents
+), s as (
+    select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+        else list_transform(range(1, len(w) - 2), i -> array_to_string(w[i:i + 3], ' ')) end) as s from w
+), n as (select doc_id, count(*) as n from s group by doc_id
+), f as (select s, count(*) as f from s group by s having count(*) > 1
+), p as (  -- of a set of n, n - ceil(0.8 n) + 1 of the rarest shingles meet those of any set that is near enough
+    select doc_id, s from (select doc_id, s.s, n, row_number() over (partition by doc_id order by coalesce(f, 1), s.s) as r from s join n using (doc_id) left join f using (s))
+    where r <= n - (4 * n + 4) // 5 + 1
+), c as (select distinct a.doc_id as a, b.doc_id as b from p a join p b using (s) where a.doc_id < b.doc_id
+), l as (
+    select c.a, c.b from c join s x on x.doc_id = c.a join s y on y.doc_id = c.b and y.s = x.s join n na on na.doc_id = c.a join n nb on nb.doc_id = c.b
+    group by c.a, c.b, na.n, nb.n having 100 * count(*) >= 80 * (na.n + nb.n - count(*))
+), e as (select a, b from l union all select b, a from l
+), r as (select doc_id as a, doc_id as b from n union select r.a, e.b from r join e on r.b = e.a
+), comp as (select a as doc_id, min(b) as component_id from r group by a)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(comp.component_id, d.doc_id) as component_id, coalesce(comp.component_id, d.doc_id) = d.doc_id as kept
+from documents d left join n using (doc_id) left join comp using (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op10_near_duplicates": _NEAR_SQL, "op2_chat_formatting": _CHAT_SQL, "op7_url_filter": _URL_SQL}
