@@ -10,9 +10,15 @@ from .bpe import encode_texts
 from .common import table
 from .near_duplicates import near_duplicates
 from .packing import pack
+from .repeats import remove_repeats
 from .token_counts import count_tokens
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return remove_repeats(docs).select(F.col("_row.doc_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -66,7 +72,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_chat_formatting, op3_token_counts, op4_nearest_neighbours, op5_language_id, op6_quality_rules, op7_url_filter, op8_bpe, op9_packing, op10_near_duplicates)
+    for f in (op1_suffix_array_dedup, op2_chat_formatting, op3_token_counts, op4_nearest_neighbours, op5_language_id, op6_quality_rules, op7_url_filter, op8_bpe, op9_packing, op10_near_duplicates)
 }
 
 
@@ -134,10 +140,10 @@ select page_id, host, path, rule, case when rule in ('example.org/en/1', 'exampl
 
 _NEAR_SQL = r"""
 with recursive w as (
-    select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') as w from documents
+    select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents
 ), s as (
     select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
-        else list_transform(range(1, len(w) - 2), i -> array_to_string(w[i:i + 3], ' ')) end) as s from w
+        else list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) end) as s from w
 ), n as (select doc_id, count(*) as n from s group by doc_id
 ), f as (select s, count(*) as f from s group by s having count(*) > 1
 ), p as (  -- of a set of n, n - ceil(0.8 n) + 1 of the rarest shingles meet those of any set that is near enough
