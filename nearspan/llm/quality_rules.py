@@ -56,8 +56,10 @@ def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     )
     starts = F.array_distinct(F.flatten(F.filter(twice, lambda x: x.isNotNull())))
     covered = F.array_distinct(F.flatten(F.transform(starts, lambda i: F.array(i, i + 1, i + 2))))
+    # the partition's number, times 0, keeps filters on statistics above this
+    # projection: pushed below, they would take the texts apart again for each use
     rows = rows.withColumn("_stats", F.struct(
-        F.col("_n").cast("long").alias("n_words"),
+        (F.col("_n") + F.spark_partition_id() * 0).cast("long").alias("n_words"),
         F.char_length(F.regexp_replace("_text", WORD_GAP, "")).cast("long").alias("word_chars"),
         (F.char_length("_text") - F.char_length(F.translate("_text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
@@ -129,7 +131,11 @@ def _grow(x: np.ndarray, bad: np.ndarray) -> Rule:
         p0, n0 = bad[rows].sum(), (~bad[rows]).sum()
         best, most = None, 1e-9
         for f, name in enumerate(FEATURES):
+            own_values = np.unique(x[rows, f])
             for t in np.unique(np.quantile(x[rows, f], np.linspace(0, 1, THRESHOLDS + 2)[1:-1])):
+                # halfway to the next value: as far from both sides as the sample allows
+                at = np.searchsorted(own_values, t, side="right")
+                t = (own_values[at - 1] + own_values[min(at, len(own_values) - 1)]) / 2
                 for above in (True, False):
                     own = rows & Condition(name, above, float(t)).mask(x)
                     p, n = bad[own].sum(), (~bad[own]).sum()

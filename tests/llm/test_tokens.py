@@ -42,16 +42,23 @@ def test_fast_pattern_equals_pattern():
 @given(st.text(max_size=60), st.sampled_from(sorted(TREES)))
 def test_tree_equals_library(text, leaf):
     tree = TREES[leaf]
-    tree.cache.clear()
-    ids = [i for piece in tree.encode(text) for i in piece]
+    tree.chunks.pieces.clear(), tree.chunks.chunks.clear()
+    ids = tree.encode(text)
     assert ids == library.encode_ordinary(text)
     assert tree.decode(ids) == text.encode()
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=" \n\t\u2003\x1ca'sé1.", max_size=25))
+def test_white_space(text):
+    ids = TREES[9].encode(text)
+    assert ids == library.encode_ordinary(text)
+
+
 def test_tree_on_long_pieces():
     tree, r = TREES[4], random.Random(2)
     for text in ["a" * 3000, "the" * 900, "ab" * 1500, "=" * 2001, *("".join(r.choices("aeinrst", k=n)) for n in (50, 500, 3000))]:
-        assert [i for p in tree.encode(text) for i in p] == library.encode_ordinary(text)
+        assert tree.encode(text) == library.encode_ordinary(text)
 
 
 def test_encode_texts(spark, docs):
@@ -111,3 +118,13 @@ def test_packer_is_bounded():
         assert len(packer.open) <= 4
     put += sum(p[2] for w in packer.close() for p in w)
     assert put == total
+
+
+def test_other_vocabularies(spark, docs):
+    import sentencepiece
+
+    other = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    pieces = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    for name, encode in (("word_bpe_49k.json", lambda t: other.encode(t, add_special_tokens=False).ids), ("piece_bpe_32k.model", pieces.encode)):
+        want = sorted(len(encode(t or "")) for _, t, _ in docs.collect())
+        assert sorted(r.n_tokens for r in count_tokens(docs, vocabulary=name).collect()) == want
