@@ -24,13 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, strings
-from .pretokens import Splitter, read_ranks, vocabulary_path
+from .common import held, slices, small_batches, strings
+from .pretokens import ChunkValues, read_ranks, vocabulary_path
 
 #: Bytes that are encoded at once; longer pre-tokens go through the tree.
 LEAF_BYTES = 32
 #: Pre-tokens whose ids a worker keeps.
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 300_000
 #: Ids that are decoded at once; longer sequences go through the tree.
 LEAF_IDS = 4096
 SLICE_BYTES = 2 << 20
@@ -42,8 +42,8 @@ class TreeBPE:
 
         self.leaf = tiktoken.Encoding("tree", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
         self.bytes = {i: b for b, i in ranks.items()}
-        self.split, self.leaf_bytes, self.entries = Splitter(pattern), leaf_bytes, entries
-        self.cache: dict[str, list[int]] = {}
+        self.leaf_bytes = leaf_bytes
+        self.chunks = ChunkValues(pattern, lambda piece: tuple(self.encode_piece(piece.encode("utf-8", "surrogatepass"))), lambda parts: list(chain.from_iterable(parts)), entries)
 
     def stays(self, left: int, right: int) -> bool:
         """Whether the two tokens stay apart when they meet."""
@@ -71,19 +71,9 @@ class TreeBPE:
         half = len(piece) // 2
         return self.join(self.encode_piece(piece[:half]), self.encode_piece(piece[half:]))
 
-    def encode(self, text: str) -> list[list[int]]:
-        """Ids of each pre-token of ``text``."""
-        found, get = [], self.cache.get
-        for piece in self.split(text):
-            ids = get(piece)
-            if ids is None:
-                ids = self.encode_piece(piece.encode("utf-8", "surrogatepass"))
-                if len(piece) <= 64:
-                    if len(self.cache) >= self.entries:
-                        self.cache.clear()
-                    self.cache[piece] = ids
-            found.append(ids)
-        return found
+    def encode(self, text: str) -> list[int]:
+        """Ids of the text; those of its pre-tokens follow each other."""
+        return self.chunks.value(text)
 
     def decode(self, ids: list[int]) -> bytes:
         """Bytes of ``ids``, concatenated up the tree."""
@@ -93,6 +83,10 @@ class TreeBPE:
         return self.decode(ids[:half]) + self.decode(ids[half:])
 
 
+def _tree(path: str, pattern: str) -> TreeBPE:
+    return TreeBPE(read_ranks(path), pattern)
+
+
 def encode_texts(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -106,17 +100,17 @@ def encode_texts(
     and of the bytes decoded from the ids. ``keep_ids=False`` leaves ids out."""
     import public_tokenizers
 
+    small_batches(docs.sparkSession)
     path, pattern = vocabulary_path(vocabulary, folder), public_tokenizers.PATTERN
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
     def encode(batches):
-        tree = TreeBPE(read_ranks(path), pattern)
+        tree = held(_tree, path, pattern)
         decimal = [str(i) for i in range(max(tree.bytes) + 1)]
         for batch in slices(batches, "text", SLICE_BYTES):
             ids, n, written, decoded = [], [], [], []
-            for text in strings(batch, "text"):
-                own = list(chain.from_iterable(tree.encode(text)))
+            for own in map(tree.encode, strings(batch, "text")):
                 ids.append(own if keep_ids else None)
                 n.append(len(own))
                 written.append(hashlib.sha256(" ".join(map(decimal.__getitem__, own)).encode()).hexdigest())
@@ -138,7 +132,7 @@ def decode_ids(rows: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", vo
     kind = rows.schema[id_col].dataType.simpleString()
 
     def decode(batches):
-        tree = TreeBPE(read_ranks(path), pattern)
+        tree = held(_tree, path, pattern)
         for batch in batches:
             out = [tree.decode(ids or []) for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.binary())], ["id", "decoded"])

@@ -30,6 +30,30 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_HELD: dict[tuple, object] = {}
+
+
+def held(make, *key):
+    """``make(*key)``, kept by a worker from task to task until another operator
+    keeps something else: a worker holds one operator's caches at a time."""
+    own = (make.__module__, make.__qualname__, *key)
+    if own not in _HELD:
+        _HELD.clear()
+        _HELD[own] = make(*key)
+    return _HELD[own]
+
+
+#: Rows and bytes of a batch on its way to Python.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what goes to Python at once, whatever the texts' lengths."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    if spark.conf.isModifiable("spark.sql.execution.arrow.maxBytesPerBatch"):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

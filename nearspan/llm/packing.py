@@ -17,6 +17,7 @@ row is a document of its own.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -26,12 +27,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, strings
-from .pretokens import Splitter, library_tokenizer, vocabulary_path
+from .common import held, slices, small_batches, strings
+from .pretokens import ChunkValues, Library, vocabulary_path
 
 CAPACITY = 1024
 OPEN_WINDOWS = 32
-CACHE_ENTRIES = 200_000
+#: Pre-tokens, and chunks of them, whose ids a worker keeps.
+CACHE_ENTRIES = 300_000
 SLICE_BYTES = 2 << 20
 
 #: One piece: index of its document, start in the document, length.
@@ -43,24 +45,18 @@ class IdBytes:
     encoded once by the library."""
 
     def __init__(self, vocabulary: str, pattern: str, entries: int = CACHE_ENTRIES):
-        self.split, self.entries = Splitter(pattern), entries
-        self.tokenizer, self.special = library_tokenizer(vocabulary)
-        self.cache: dict[str, bytes] = {}
-
-    def words(self, texts: list[str]) -> list[bytes]:
-        whole = [any(s in t for s in self.special) for t in texts]
-        pieces = [[] if w else self.split(t) for t, w in zip(texts, whole)]
-        seen = set().union(*pieces) if pieces else set()
-        if len(self.cache) + len(seen) > self.entries:
-            self.cache.clear()
-        if missing := [p for p in seen if p not in self.cache]:
-            for piece, found in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)):
-                self.cache[piece] = np.asarray(found.ids, "<u4").tobytes()
-        get = self.cache.__getitem__
-        return [
-            np.asarray(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if w else b"".join(map(get, p))
-            for t, w, p in zip(texts, whole, pieces)
-        ]
+        self.library = Library(vocabulary)
+        self.chunks = ChunkValues(pattern, self.measure, b"".join, entries)
+
+    def measure(self, piece: str) -> bytes:
+        ids = self.library.piece(piece)
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def words(self, text: str) -> bytes:
+        # a text with a special token's string is left to the library as a whole
+        if not self.library.by_piece or any(s in text for s in self.library.special):
+            return np.asarray(self.library.encode(text), "<u4").tobytes()
+        return self.chunks.value(text)
 
 
 class Packer:
@@ -133,6 +129,7 @@ def pack(
 
     if capacity & (capacity - 1):
         raise ValueError("capacity must be a power of two")
+    small_batches(docs.sparkSession)
     path, pattern = vocabulary_path(vocabulary, folder), public_tokenizers.PATTERN
     kind = docs.schema[id_col].dataType
     fields = [("start", "long"), ("length", "long"), ("ids_crc32", "long"), ("doc_tokens", "long"), ("sequence_id", "long"), ("offset", "long")]
@@ -140,9 +137,9 @@ def pack(
     end = np.asarray([end_id], "<u4").tobytes()
 
     def run(batches):
-        encode, packer = IdBytes(path, pattern), Packer(capacity, windows)
+        encode, packer = held(IdBytes, path, pattern), Packer(capacity, windows)
         sequence = TaskContext.get().partitionId() << 32
-        held: dict[int, list] = {}  # documents with ids in open windows: id, ids, number of ids, ids not yet emitted
+        waiting: dict[int, list] = {}  # documents with ids in open windows: id, ids, number of ids, ids not yet emitted
         at = 0
         id_type = None
 
@@ -152,13 +149,13 @@ def pack(
             for window in closed:
                 offset = 0
                 for doc, start, length in window:
-                    own = held[doc]
+                    own = waiting[doc]
                     ids = memoryview(own[1])[4 * start : 4 * (start + length)]
                     rows.append((own[0], start, length, zlib.crc32(ids), own[2], sequence, offset, bytes(ids) if keep_ids else None))
                     offset += length
                     own[3] -= length
                     if not own[3]:
-                        del held[doc]
+                        del waiting[doc]
                 sequence += 1
             columns = list(zip(*rows)) if rows else [[]] * 8
             arrays = [pa.array(columns[0], id_type), *(pa.array(c, pa.int64()) for c in columns[1:7])]
@@ -170,9 +167,9 @@ def pack(
         for batch in slices(batches, "text", SLICE_BYTES):
             id_type = batch.schema.field("id").type
             closed = []
-            for key, words in zip(batch.column("id").to_pylist(), encode.words(strings(batch, "text"))):
+            for key, words in zip(batch.column("id").to_pylist(), map(encode.words, strings(batch, "text"))):
                 n = len(words) // 4 + 1
-                held[at] = [key, words + end, n, n]
+                waiting[at] = [key, words + end, n, n]
                 closed += packer.add(at, n)
                 at += 1
             yield emit(closed)
