@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, strings
+from .common import held, materialize, slices, small_batches, strings
 from .components import components
 
 HASHES, ROWS, BANDS = 128, 4, 22
@@ -40,7 +40,7 @@ BATCH, MISS = 32, 1e-5
 #: Texts in a block of a large group; rows of a bucket that are held at a time.
 BLOCK, HELD = 256, 32_768
 SLICE_BYTES = 2 << 20
-WORD_CACHE = 400_000
+WORD_CACHE = 250_000
 
 _RNG = np.random.default_rng(20240)
 _ODD = _RNG.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -62,14 +62,11 @@ class _Words(dict):
         return value
 
 
-_WORDS = _Words()
-
-
 def shingle_sets(texts: list[str], width: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
     words = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
     out = []
-    get = _WORDS.__getitem__
+    get = held(_Words).__getitem__
     for own in words:
         n = len(own)
         h = np.fromiter(map(get, own), np.uint64, n)
@@ -168,7 +165,7 @@ def _loose(reps: DataFrame, percent: int) -> DataFrame:
     """Loose links (a, b) of classes that share a band key."""
 
     def run(batches):
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         bucket = first = None  # a bucket longer than what is held: its key and first id
 
         def pairs(key, ids, signs, last):
@@ -194,20 +191,20 @@ def _loose(reps: DataFrame, percent: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
         def joined():
-            return (np.concatenate([h[k] for h in held]) for k in range(3))
+            return (np.concatenate([h[k] for h in parts]) for k in range(3))
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            held.append((batch.column("key").to_numpy(), batch.column("rep").to_numpy(), _unpack(batch.column("sign"))))
+            parts.append((batch.column("key").to_numpy(), batch.column("rep").to_numpy(), _unpack(batch.column("sign"))))
             key, ids, signs = joined()
             cut = int(np.searchsorted(key != key[-1], False)) if key[0] == key[-1] else int(len(key) - np.argmax(key[::-1] != key[-1]))
             if cut == 0 and len(key) >= HELD:
                 cut = len(key)
             if cut:
                 yield pairs(key[:cut], ids[:cut], signs[:cut], False)
-            held = [(key[cut:], ids[cut:], signs[cut:])] if cut < len(key) else []
-        if held:
+            parts = [(key[cut:], ids[cut:], signs[cut:])] if cut < len(key) else []
+        if parts:
             yield pairs(*joined(), True)
 
     rows = reps.select("rep", "sign", F.explode("bands").alias("key"))
@@ -245,15 +242,16 @@ def _verified(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str, wi
     sizes = members.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     dealt = members.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text"))
-    rows = texts.join(dealt, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "node", "text").distinct()
+    # always dealt by id: at any size the plan is the same
+    dealt_texts = texts.join(dealt.hint("merge"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt_texts = dealt_texts.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "node", "text").distinct()
 
     def run(batches):
-        own, held = None, []
+        own, rows = None, []
 
         def links():
-            side = np.array([h[0] for h in held])
-            found = exact_links(np.array([h[1] for h in held]), side, np.stack([h[2] for h in held]), [h[3] for h in held], percent) if len(held) > 1 else []
+            side = np.array([h[0] for h in rows])
+            found = exact_links(np.array([h[1] for h in rows]), side, np.stack([h[2] for h in rows]), [h[3] for h in rows], percent) if len(rows) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
         for batch in slices(batches, "text", SLICE_BYTES):
@@ -261,18 +259,19 @@ def _verified(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str, wi
             _, signs = signatures(sets)
             for k, (*key, side, node) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("component", "i", "j", "side", "node")))):
                 if key != own:
-                    if held:
+                    if rows:
                         yield links()
-                    own, held = key, []
-                held.append((side, node, signs[k], sets[k]))
-        if held:
+                    own, rows = key, []
+                rows.append((side, node, signs[k], sets[k]))
+        if rows:
             yield links()
 
-    return rows.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "side", "node").mapInArrow(run, "a long, b long")
+    return dealt_texts.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "side", "node").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 80) -> DataFrame:
     """``(id, n_shingles, component_id, kept)`` for every row of ``docs``."""
+    small_batches(docs.sparkSession)
     sketches = materialize(_sketches(docs, id_col, text_col, width), "sketches")
     key = ["s1", "s2", "n"]
     reps = sketches.where("n > 0 and id is not null").groupBy(*key).agg(F.min("id").alias("rep"), F.first("sign").alias("sign"), F.first("bands").alias("bands"))
