@@ -3,8 +3,9 @@
 The logical operator is a self-join of each structure's points on a distance.
 Small structures are joined by their id (every pair of a structure meets); large
 ones by grid bins as wide as the cutoff, so that a structure of any size spreads
-over all tasks and a point meets only what is near. Both branches end in the
-same exact predicate on the original positions, and both are lazy.
+over all tasks and a point meets only what is near. It is one equi-join, on
+structure and bin, where small structures have a single bin; it ends in the
+exact predicate on the original positions.
 """
 
 from __future__ import annotations
@@ -108,17 +109,12 @@ def neighbor_pairs(
     sums = _structure_sums(wrapped, cutoff)
     chosen = widened(geometry, sums)
     work = F.col("n_atoms").cast("double") * F.col("n_atoms") * F.col("n_images")
-    small = {"auto": work <= most_brute, "brute_force": F.lit(True), "cell_list": F.lit(False)}[algorithm]
+    small = {"auto": work <= most_brute, "brute_force": work >= 0, "cell_list": work < 0}[algorithm]
     if algorithm == "auto":  # bins too coarse for the rounding of far positions
         small = small | (F.col("pad") > cutoff)
     chosen = chosen.withColumn("brute", small)
     own = with_wraps(points.join(chosen, "structure_id"))
-    branches = []
-    if algorithm != "cell_list":
-        branches.append(_brute(own.where("brute"), single))
-    if algorithm != "brute_force":
-        branches.append(_binned(own.where(~F.col("brute")), cutoff, single, algorithm == "cell_list"))
-    pairs = branches[0] if len(branches) == 1 else branches[0].unionByName(branches[1])
+    pairs = _candidates(own, cutoff, algorithm == "cell_list")
     limit = F.lit(cutoff * cutoff).cast("float") if single else F.lit(cutoff * cutoff)
     near = F.when(zero_shift_self(), F.lit(True)).otherwise(F.col("d2") < limit)
     pairs = _displaced(pairs.where(keep_identity(half_list, include_self)), single).where(near)
@@ -131,27 +127,10 @@ def neighbor_pairs(
     return out.orderBy("i", "j", *SHIFT) if sorted else out
 
 
-def _source(own: DataFrame) -> DataFrame:
-    return own.select("structure_id", F.col("atom_id").alias("i"), *(F.col(x).alias(f"s{x}") for x in XYZ), *(F.col(f"w_{a}").alias(f"v_{a}") for a in AXES))
-
-
-def _target(images: DataFrame) -> DataFrame:
-    return images.select("structure_id", F.col("atom_id").alias("j"), *(F.col(x).alias(f"t{x}") for x in XYZ), *((F.col(f"n{a}") - F.col(f"w_{a}")).alias(f"u_{a}") for a in AXES), *CELL)
-
-
-def _shifted(pairs: DataFrame) -> DataFrame:
-    shift = [(F.col(f"u_{a}") + F.col(f"v_{a}")).alias(s) for a, s in zip(AXES, SHIFT)]
-    return pairs.select("structure_id", "i", "j", *(F.col(f"s{x}").alias(f"p{x}") for x in XYZ), *(F.col(f"t{x}").alias(f"q{x}") for x in XYZ), *shift, *CELL)
-
-
-def _brute(own: DataFrame, single: bool) -> DataFrame:
-    """All pairs of a structure: an equi-join on its id."""
-    return _shifted(_source(own).join(_target(_images(own)), "structure_id"))
-
-
-def _binned(own: DataFrame, cutoff: float, single: bool, forced: bool) -> DataFrame:
-    """Pairs whose bins touch: an equi-join on structure and bin. Each image is
-    in one bin, so no pair comes twice."""
+def _candidates(own: DataFrame, cutoff: float, forced: bool) -> DataFrame:
+    """Pairs that may be near, by one equi-join on structure and bin. Points of
+    small structures are all in one bin; those of others meet images in bins
+    that touch theirs. An image is in one bin, so no pair comes twice."""
     width = F.col("pad") + cutoff * (1 + 1e-9)
     bins = F.lit(1.0)
     for x in XYZ:
@@ -159,19 +138,23 @@ def _binned(own: DataFrame, cutoff: float, single: bool, forced: bool) -> DataFr
     if forced:
         unsafe = (F.col("pad") > cutoff) | (bins > MOST_BINS) | (bins > MOST_BINS_PER_IMAGE * F.col("n_atoms") * F.col("n_images"))
         own = own.withColumn("pad", fail_if(unsafe, "cell_list cannot safely process this structure", F.col("pad")))
-    bin_of = lambda place, x: F.floor((place - F.col(f"min_{x}")) / width)
     images = _images(own)
     inside = F.lit(True)
     for x in XYZ:  # images that are near no source
         inside = inside & (F.col(f"i{x}") >= F.col(f"min_{x}") - width) & (F.col(f"i{x}") <= F.col(f"max_{x}") + width)
-    images = images.where(inside).withColumns({f"g{x}": bin_of(F.col(f"i{x}"), x) for x in XYZ})
-    target = images.select("structure_id", *(f"g{x}" for x in XYZ), F.col("atom_id").alias("j"), *(F.col(x).alias(f"t{x}") for x in XYZ), *((F.col(f"n{a}") - F.col(f"w_{a}")).alias(f"u_{a}") for a in AXES), *CELL)
-    source = own
-    for x in XYZ:
-        at = bin_of(F.col(f"w{x}"), x)
-        source = source.withColumn(f"g{x}", F.explode(F.array(at - 1, at, at + 1)))
-    source = source.select("structure_id", *(f"g{x}" for x in XYZ), F.col("atom_id").alias("i"), *(F.col(x).alias(f"s{x}") for x in XYZ), *(F.col(f"w_{a}").alias(f"v_{a}") for a in AXES))
-    return _shifted(source.join(target, ["structure_id", "gx", "gy", "gz"]))
+    images = images.where(inside)
+    bin_of = lambda place, x: F.floor((F.col(place) - F.col(f"min_{x}")) / width)
+    key = ["structure_id", "gx", "gy", "gz"]
+    images = images.withColumns({f"g{x}": F.when(F.col("brute"), F.lit(0)).otherwise(bin_of(f"i{x}", x)).cast("long") for x in XYZ})
+    # the bins about a point's own, numbered 0 to 26; a single bin has number 13
+    about = F.when(F.col("brute"), F.array(F.lit(13))).otherwise(F.array(*map(F.lit, range(27))))
+    source = own.withColumns({f"b{x}": F.when(F.col("brute"), F.lit(0)).otherwise(bin_of(f"w{x}", x)).cast("long") for x in XYZ}).withColumn("_about", F.explode(about))
+    place = {"x": F.floor(F.col("_about") / 9), "y": F.floor(F.col("_about") / 3) % 3, "z": F.col("_about") % 3}
+    source = source.withColumns({f"g{x}": (F.col(f"b{x}") + place[x] - 1).cast("long") for x in XYZ})
+    target = images.select(*key, F.col("atom_id").alias("j"), *(F.col(x).alias(f"q{x}") for x in XYZ), *((F.col(f"n{a}") - F.col(f"w_{a}")).alias(f"u_{a}") for a in AXES), *CELL)
+    source = source.select(*key, F.col("atom_id").alias("i"), *(F.col(x).alias(f"p{x}") for x in XYZ), *(F.col(f"w_{a}").alias(f"v_{a}") for a in AXES))
+    shift = [(F.col(f"u_{a}") + F.col(f"v_{a}")).alias(s) for a, s in zip(AXES, SHIFT)]
+    return source.join(target, key).select("structure_id", "i", "j", *(f"p{x}" for x in XYZ), *(f"q{x}" for x in XYZ), *shift, *CELL)
 
 
 def project(pairs: DataFrame, quantities: str) -> DataFrame:
