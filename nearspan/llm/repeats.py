@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, strings
+from .common import materialize, slices, small_batches, strings
 from .near_duplicates import mix
 from .suffix_array import permuted_common_prefixes, suffix_array
 
@@ -43,9 +43,9 @@ LENGTH, GRAM = 100, 32
 PIECE_BYTES, FLUSH_ROWS = 1 << 20, 200_000
 #: Bytes of segments in one suffix array.
 SHARD_BYTES = 1 << 20
-#: The sample of texts that shows common anchors: rows, segments from which an
+#: The sample of texts that shows common anchors: rows, characters of each, segments from which an
 #: anchor counts as common, and how many such anchors are broadcast at most.
-SAMPLE_ROWS, COMMON_SEGMENTS, MOST_COMMON = 2000, 16, 8192
+SAMPLE_ROWS, SAMPLE_CHARS, COMMON_SEGMENTS, MOST_COMMON = 2000, 8192, 16, 8192
 
 _RNG = np.random.default_rng(77)
 _VALUES = _RNG.integers(0, 1 << 63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -208,11 +208,18 @@ def _found(docs: DataFrame, common, length: int) -> DataFrame:
 
 
 def _common_anchors(docs: DataFrame, length: int) -> np.ndarray:
-    """Anchors of many different segments in a bounded sample."""
-    none = docs.sparkSession.sparkContext.broadcast(np.zeros(0, np.uint64))
-    found = _found(docs.limit(SAMPLE_ROWS), none, length).where(F.col("kind") == SEGMENT).select("anchor", "other").distinct()
-    rows = found.groupBy("anchor").count().where(F.col("count") >= COMMON_SEGMENTS).orderBy(F.desc("count"), "anchor").limit(MOST_COMMON).collect()
-    return np.sort(np.array([r["anchor"] for r in rows], np.int64).view(np.uint64))
+    """Anchors of many different segments in the heads of a few texts; only as
+    many partitions are read as have them."""
+    rows = docs.select(F.substring("text", 1, SAMPLE_CHARS).alias("text")).limit(SAMPLE_ROWS).collect()
+    texts = [(r["text"] or "").encode("utf-8", "surrogatepass") for r in rows]
+    none = np.zeros(0, np.uint64)
+    found = [segments(data, ends, none, length)[:2] for data, ends, _, _ in pieces(texts, length)]
+    if not found:
+        return none
+    both = np.unique(np.stack([np.concatenate([f[k] for f in found]) for k in (0, 1)], axis=1), axis=0)
+    anchors, n = np.unique(both[:, 0], return_counts=True)
+    common = np.flatnonzero(n >= COMMON_SEGMENTS)
+    return np.sort(anchors[common[np.argsort(-n[common], kind="stable")[:MOST_COMMON]]])
 
 
 def _met(found: DataFrame) -> DataFrame:
@@ -322,7 +329,9 @@ def _sharded(docs: DataFrame, asked: DataFrame, length: int) -> DataFrame:
             yield spans()
 
     wanted = asked.groupBy("id").agg(F.collect_list(F.struct("anchor", "tag", "start", "stop")).alias("wanted"))
-    fetched = docs.join(wanted, "id").mapInArrow(fetch, "anchor long, id long, tag long, start long, bytes binary")
+    # always dealt by id: at any size the plan is the same, and the exchange of
+    # the texts serves the last join too
+    fetched = docs.join(wanted.hint("merge"), "id").mapInArrow(fetch, "anchor long, id long, tag long, start long, bytes binary")
     shards = fetched.distinct().repartition(F.col("anchor")).sortWithinPartitions("anchor")
     return shards.mapInArrow(run, "id long, tag long, start long, stop long")
 
@@ -330,6 +339,7 @@ def _sharded(docs: DataFrame, asked: DataFrame, length: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """Spans ``(id, tag, start, stop)`` of bytes to remove; they may overlap.
     tag is the checksum of the text that a span is of."""
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
     common = docs.sparkSession.sparkContext.broadcast(_common_anchors(texts, length))
     met = materialize(_met(_found(texts, common, length)), "segments")
@@ -372,7 +382,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     own = [F.col(f"`{c}`").alias(n) for n, c in zip(names, docs.columns) if c not in (id_col, text_col)]
     narrow = [F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *own]
     held = [n for n, c in zip(names, docs.columns) if c not in (id_col, text_col)]
-    rows = docs.select(*narrow).where("id is not null").join(spans, "id", "left")
+    rows = docs.select(*narrow).where("id is not null").join(spans.hint("merge"), "id", "left")
     without = docs.select(*narrow).where("id is null").withColumn("spans", F.lit(None).cast(rows.schema["spans"].dataType))
     kinds = "".join(f", {n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, docs.columns) if n in held)
 
