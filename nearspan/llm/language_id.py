@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, strings
+from .common import slices, small_batches, strings
 
 #: Bounds of the training sample.
 SAMPLE_PER_LANGUAGE = 400
@@ -209,17 +209,19 @@ def learn(labelled: DataFrame, text: str, lang: str, per_language: int = SAMPLE_
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """All columns of ``docs``, then ``lang_pred`` and ``score`` (columns of
     these names are replaced)."""
+    small_batches(docs.sparkSession)
     own = [c for c in docs.columns if c not in ("lang_pred", "score")]
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [f"c{k}" for k in range(len(own))]  # names may clash or repeat elsewhere
     kinds = ", ".join(f"{n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, own))
 
     def run(batches):
-        for batch in slices(batches, "text", SLICE_BYTES):
-            found, score = shared.value.predict(strings(batch, "text"))
+        for batch in slices(batches, text, SLICE_BYTES):
+            found, score = shared.value.predict(strings(batch, text))
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(found, pa.string()), pa.array(score, pa.float64())], [*names, "lang_pred", "score"])
 
-    rows = docs.select(*(F.col(f"`{c}`").alias(n) for n, c in zip(names, own)), F.col(f"`{text_col}`").cast("string").alias("text"))
+    text = names[own.index(text_col)]
+    rows = docs.select(*(F.col(f"`{c}`").alias(n) for n, c in zip(names, own)))
     found = rows.mapInArrow(run, f"{kinds}, lang_pred string, score double")
     return found.select(*(F.col(n).alias(c) for n, c in zip(names, own)), "lang_pred", "score")
 
