@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import FloatType
@@ -39,14 +39,12 @@ def dual_rows(cells: np.ndarray, pbc: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return duals, good
 
 
-def _duals(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        cells = frame[CELL].to_numpy(np.float64).reshape(-1, 3, 3)
-        duals, good = dual_rows(cells, frame[PERIODIC].to_numpy(bool))
-        out = frame.copy()
-        out[DUAL] = duals.reshape(-1, 9)
-        out["independent"] = good
-        yield out
+def _duals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        of = lambda names: np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in names], axis=1)
+        duals, good = dual_rows(of(CELL).astype(np.float64).reshape(-1, 3, 3), of(PERIODIC).astype(bool))
+        added = [*(pa.array(column) for column in duals.reshape(-1, 9).T.copy()), pa.array(good)]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, *DUAL, "independent"])
 
 
 def fail_if(condition: Column, message: str, value: Column) -> Column:
@@ -75,12 +73,14 @@ def with_geometry(structures: DataFrame, counts: DataFrame, cutoff: float) -> Da
     rows = rows.withColumn(CELL[0], fail_if(bad, "cell must contain only finite values", F.col(CELL[0])))
     rows = rows.join(counts, "structure_id")
     kinds = ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in rows.columns)
-    rows = rows.mapInPandas(_duals, f"{kinds}, {', '.join(f'{d} double' for d in DUAL)}, independent boolean")
+    rows = rows.mapInArrow(_duals, f"{kinds}, {', '.join(f'{d} double' for d in DUAL)}, independent boolean")
     rows = rows.withColumn(DUAL[0], fail_if(~F.col("independent"), "cell rows of periodic axes must be linearly independent", F.col(DUAL[0])))
+    far = {}
     for a in AXES:
         x, y, z = (F.col(f"d_{a}{x}") for x in XYZ)
-        far = F.when(F.col(f"p_{a}"), F.ceil(_checked_range(cutoff * F.sqrt(x * x + y * y + z * z) * (1 + 1e-12)))).otherwise(F.lit(0))
-        rows = rows.withColumn(f"r_{a}", far.cast("long"))
+        r = F.when(F.col(f"p_{a}"), F.ceil(_checked_range(cutoff * F.sqrt(x * x + y * y + z * z) * (1 + 1e-12)))).otherwise(F.lit(0))
+        far[f"r_{a}"] = r.cast("long")
+    rows = rows.withColumns(far)
     images = (2.0 * F.col("r_a") + 1) * (2.0 * F.col("r_b") + 1) * (2.0 * F.col("r_c") + 1)
     return rows.withColumn("n_images", fail_if(images > MOST_IMAGES, "periodic image count exceeds the resource limit", images)).drop("independent")
 
@@ -91,11 +91,8 @@ def _checked_range(x: Column) -> Column:
 
 def widened(structures: DataFrame, slack: DataFrame) -> DataFrame:
     """Image ranges for wraps that rounding may have moved (slack by axis)."""
-    rows = structures.join(slack, "structure_id")
-    for a in AXES:
-        more = F.col(f"r_{a}") + F.when(F.col(f"p_{a}") & (F.col(f"slack_{a}") > 1e-6), F.lit(1)).otherwise(F.lit(0))
-        rows = rows.withColumn(f"r_{a}", more)
-    return rows
+    more = {f"r_{a}": F.col(f"r_{a}") + F.when(F.col(f"p_{a}") & (F.col(f"slack_{a}") > 1e-6), F.lit(1)).otherwise(F.lit(0)) for a in AXES}
+    return structures.join(slack, "structure_id").withColumns(more)
 
 
 def image_table(structures: DataFrame) -> DataFrame:
@@ -115,12 +112,13 @@ def with_wraps(atoms: DataFrame) -> DataFrame:
     """atoms joined with geometry; adds ``w_a..w_c`` (long) and wrapped ``wx..wz``."""
     place = [F.col(x).cast("double") for x in XYZ]
     bad = ~finite(place[0]) | ~finite(place[1]) | ~finite(place[2])
-    out = atoms
+    added = {}
     for a in AXES:
         f = place[0] * F.col(f"d_{a}x") + place[1] * F.col(f"d_{a}y") + place[2] * F.col(f"d_{a}z")
         f = fail_if(bad, "positions must contain only finite values", f)
         low = F.floor(fail_if((f >= INT32) | (f < -INT32), "representative wraps exceed int32", f))
-        out = out.withColumn(f"w_{a}", F.when(F.col(f"p_{a}"), low).otherwise(F.floor(fail_if(bad, "positions must contain only finite values", F.lit(0.0)))).cast("long"))
+        added[f"w_{a}"] = F.when(F.col(f"p_{a}"), low).otherwise(F.floor(fail_if(bad, "positions must contain only finite values", F.lit(0.0)))).cast("long")
+    out = atoms.withColumns(added)
     wraps = [F.col(f"w_{a}").cast("double") for a in AXES]
     return out.withColumns({f"w{x}": p - along(wraps, x) for x, p in zip(XYZ, place)})
 

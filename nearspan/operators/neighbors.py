@@ -44,12 +44,13 @@ def _displaced(pairs: DataFrame, single: bool) -> DataFrame:
     order ((t - s) + sx a) + sy b) + sz c."""
     kind = "float" if single else "double"
     shift = [F.col(s).cast(kind) for s in SHIFT]
-    out = pairs
+    moved = {}
     for x in XYZ:
         d = F.col(f"q{x}") - F.col(f"p{x}")
         for s, a in zip(shift, AXES):
             d = d + s * F.col(f"c_{a}{x}").cast(kind)
-        out = out.withColumn(f"d{x}", d)
+        moved[f"d{x}"] = d
+    out = pairs.withColumns(moved)
     dx, dy, dz = (F.col(f"d{x}") for x in XYZ)
     return out.withColumn("d2", (dx * dx + dy * dy) + dz * dz)
 
@@ -118,10 +119,9 @@ def neighbor_pairs(
     limit = F.lit(cutoff * cutoff).cast("float") if single else F.lit(cutoff * cutoff)
     near = F.when(zero_shift_self(), F.lit(True)).otherwise(F.col("d2") < limit)
     pairs = _displaced(pairs.where(keep_identity(half_list, include_self)), single).where(near)
-    for s in SHIFT:
-        pairs = pairs.withColumn(s, fail_if((F.col(s) >= INT32) | (F.col(s) < -INT32), "output cell shift exceeds int32", F.col(s).cast("double")).cast("int"))
+    shifts = [fail_if((F.col(s) >= INT32) | (F.col(s) < -INT32), "output cell shift exceeds int32", F.col(s).cast("double")).cast("int").alias(s) for s in SHIFT]
     distance = F.sqrt(F.col("d2"))
-    out = pairs.select("structure_id", "i", "j", *SHIFT, (distance.cast("float") if single else distance).alias("d"), "dx", "dy", "dz")
+    out = pairs.select("structure_id", "i", "j", *shifts, (distance.cast("float") if single else distance).alias("d"), "dx", "dy", "dz")
     if threads:
         out = out.repartition(min(threads, 1 << 20))
     return out.orderBy("i", "j", *SHIFT) if sorted else out
