@@ -168,13 +168,18 @@ def _loose(reps: DataFrame, percent: int) -> DataFrame:
         parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         bucket = first = None  # a bucket longer than what is held: its key and first id
 
-        def pairs(key, ids, signs, last):
+        def pairs(key, ids, signs, last, long=False):
             nonlocal bucket, first
             out: list[tuple[int, int]] = []
             starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             sizes = np.diff(np.r_[starts, len(key)])
             lead = np.repeat(starts, sizes)
             follow = np.flatnonzero(lead != np.arange(len(key)))
+            continued = first is not None and key[0] == bucket
+            if continued or long:  # every chunk of a long bucket is joined loosely to its first, which costs time but loses nothing
+                to = first if continued else int(ids[0])
+                out += [(to, int(x)) for x in ids[0 if continued else 1 : sizes[0]]]
+                follow = follow[follow >= sizes[0]]
             found, _ = survive(signs[lead[follow]], signs[follow], percent) if len(follow) else (follow, None)
             linked = np.zeros(len(key), bool)
             linked[follow[found]] = True
@@ -183,8 +188,6 @@ def _loose(reps: DataFrame, percent: int) -> DataFrame:
             for s in np.unique(lead[rest]):  # buckets that their first member doesn't hold together
                 end = s + sizes[np.searchsorted(starts, s)]
                 out += loose_links(ids[s:end], signs[s:end], percent)
-            if first is not None and key[0] == bucket:  # continued: join it loosely, which costs time but loses nothing
-                out += [(first, int(x)) for x in ids[: sizes[0]]]
             if not last:
                 if first is None or key[-1] != bucket:
                     bucket, first = key[-1], int(ids[starts[-1]])
@@ -199,10 +202,11 @@ def _loose(reps: DataFrame, percent: int) -> DataFrame:
             parts.append((batch.column("key").to_numpy(), batch.column("rep").to_numpy(), _unpack(batch.column("sign"))))
             key, ids, signs = joined()
             cut = int(np.searchsorted(key != key[-1], False)) if key[0] == key[-1] else int(len(key) - np.argmax(key[::-1] != key[-1]))
-            if cut == 0 and len(key) >= HELD:
+            long = cut == 0 and len(key) >= HELD
+            if long:
                 cut = len(key)
             if cut:
-                yield pairs(key[:cut], ids[:cut], signs[:cut], False)
+                yield pairs(key[:cut], ids[:cut], signs[:cut], False, long)
             parts = [(key[cut:], ids[cut:], signs[cut:])] if cut < len(key) else []
         if parts:
             yield pairs(*joined(), True)

@@ -92,3 +92,21 @@ def test_long_bucket_is_joined(spark, monkeypatch):
     rows = [(d, " ".join(f"x{k}" for k in range(60)) + f" end{d % 7}") for d in range(40)]
     got = nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(F.col("doc_id"))).collect()
     assert {x.component_id for x in got} == {0}
+
+
+def test_long_bucket_of_unlike_texts(spark, monkeypatch):
+    """A near pair in different chunks of a bucket whose first member is like neither."""
+    monkeypatch.setattr(nd, "HELD", 4)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    texts = [" ".join(f"t{d}w{k}" for k in range(60)) for d in range(12)]
+    texts[10] = texts[1] + " end"
+    _, signs = nd.signatures(nd.shingle_sets(texts, 4))
+    packed = signs[:, : nd.HASHES // 2] << 4 | signs[:, nd.HASHES // 2 :]
+    reps = spark.createDataFrame([(d, bytearray(x.tobytes()), [7]) for d, x in enumerate(packed)], "rep long, sign binary, bands array<long>")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    try:
+        got = nd._verified(docs, components(nd._loose(reps, 80)), "doc_id", "text", 4, 80).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert [tuple(sorted((r.a, r.b))) for r in got] == [(1, 10)]
