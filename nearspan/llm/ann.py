@@ -3,10 +3,13 @@
 A vector is coded as a sum of full-dimensional codewords, one of each codebook.
 Codebooks are trained in turn on the residuals of a bounded sample; a vector's
 codes come from a beam search over them. The index stores, in blocks of a
-bounded size, the codes, the vectors' norms against those of their sums, and the
-vectors. A query looks its products with all codewords up in a table, adds them
-along the codes, corrects by the norms and reranks the best candidates of each
-block exactly, in double precision.
+bounded size, the codes, the vectors' norms against those of their sums, what
+the corrected sums leave of them, and the vectors. A query looks its products
+with all codewords up in a table, adds them along the codes, corrects by the
+norms and reranks the best candidates of each block exactly, in double precision.
+Then it reranks every other vector that may still belong to the block's answer,
+however many: whose guess lies below the answer's last score by no more than
+``DEVIATIONS`` of the error that its remainder makes, were it turned at random.
 
 Equal vectors of a block are coded and scored once; the smallest ids stand for
 them, as many as an answer can hold. Queries go to the blocks in groups of a
@@ -30,6 +33,8 @@ from .common import materialize
 BOOKS, WORDS, SAMPLE_ROWS, BEAM = 8, 256, 8000, 4
 #: Vectors in a block, candidates reranked in each, queries broadcast at a time.
 BLOCK_ROWS, RERANKED, QUERY_ROWS = 16_384, 384, 4096
+#: Deviations by which a guess may be wrong; vectors whose exact scores are computed at a time.
+DEVIATIONS, SCORED = 3.0, 4096
 
 
 def train(sample: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int = 6, seed: int = 0) -> np.ndarray:
@@ -111,9 +116,11 @@ def build_index(rows: DataFrame, k: int, books: int = BOOKS, sample_rows: int =
         distinct = matrix[fresh].astype(np.float32)
         codes = np.concatenate([encode(distinct[a : a + 1024], shared.value) for a in range(0, len(distinct), 1024)])
         own = np.linalg.norm(distinct, axis=1)
-        coded = np.linalg.norm(decode(codes, shared.value), axis=1)
+        sums = decode(codes, shared.value)
+        coded = np.linalg.norm(sums, axis=1)
         ratio = np.where(coded > 0, own / np.maximum(coded, 1e-30), 1).astype("<f4")
-        return {"ids": ids[kept].astype("<i8").tobytes(), "groups": group[kept].astype("<i4").tobytes(), "codes": codes.tobytes(), "ratios": ratio.tobytes(), "vectors": matrix[fresh].astype(word).tobytes()}
+        left = np.linalg.norm(distinct - ratio[:, None] * sums, axis=1).astype("<f4")
+        return {"ids": ids[kept].astype("<i8").tobytes(), "groups": group[kept].astype("<i4").tobytes(), "codes": codes.tobytes(), "ratios": ratio.tobytes(), "left": left.tobytes(), "vectors": matrix[fresh].astype(word).tobytes()}
 
     def run(batches):
         ids, parts, held = [], [], 0
@@ -133,7 +140,7 @@ def build_index(rows: DataFrame, k: int, books: int = BOOKS, sample_rows: int =
         if held:
             yield flush()
 
-    blocks = rows.mapInArrow(run, "ids binary, groups binary, codes binary, ratios binary, vectors binary")
+    blocks = rows.mapInArrow(run, "ids binary, groups binary, codes binary, ratios binary, left binary, vectors binary")
     return materialize(blocks, "index"), codebooks
 
 
@@ -141,10 +148,23 @@ def search_block(row: dict, word: np.dtype, books: np.ndarray, query_ids: np.nda
     """query, id and score of each query's best in one block."""
     ids, groups = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["groups"], "<i4")
     codes = np.ascontiguousarray(np.frombuffer(row["codes"], np.uint8).reshape(-1, len(books)).T)
-    ratios = np.frombuffer(row["ratios"], "<f4")
+    ratios, left = np.frombuffer(row["ratios"], "<f4"), np.frombuffer(row["left"], "<f4")
     vectors = np.frombuffer(row["vectors"], word).reshape(len(ratios), -1)
     starts = np.searchsorted(groups, np.arange(len(ratios) + 1))
     out_q, out_i, out_s = [], [], []
+    # no error is longer than the remainder itself
+    spread = left * min(1.0, DEVIATIONS / vectors.shape[1] ** 0.5)
+    lengths = np.linalg.norm(queries, axis=1)
+
+    def others(best, q):
+        """Ids and exact scores of the rows of some vectors, without the query's own."""
+        exact = np.concatenate([vectors[best[a : a + SCORED]].astype(np.float64) @ queries[q] for a in range(0, len(best), SCORED)] or [np.zeros(0)])
+        counts = starts[best + 1] - starts[best]
+        at = np.repeat(starts[best] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        found, score = ids[at], np.repeat(exact, counts)
+        other = found != query_ids[q]
+        return found[other], score[other]
+
     tables = np.einsum("qd,mwd->qmw", queries.astype(np.float32), books, optimize=True)
     for q in range(len(queries)):
         guess = tables[q, 0][codes[0]]
@@ -152,12 +172,13 @@ def search_block(row: dict, word: np.dtype, books: np.ndarray, query_ids: np.nda
             guess += tables[q, m][codes[m]]
         guess *= ratios
         best = np.argpartition(guess, len(guess) - reranked)[len(guess) - reranked :] if len(guess) > reranked else np.arange(len(guess))
-        exact = vectors[best].astype(np.float64) @ queries[q]
-        counts = starts[best + 1] - starts[best]
-        at = np.repeat(starts[best] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
-        found, score = ids[at], np.repeat(exact, counts)
-        other = found != query_ids[q]
-        found, score = found[other], score[other]
+        found, score = others(best, q)
+        if len(best) < len(guess):
+            last = np.partition(score, len(score) - k)[len(score) - k] if len(score) >= k else -np.inf
+            may = guess + lengths[q] * spread >= last
+            may[best] = False
+            more = others(np.flatnonzero(may), q)
+            found, score = np.r_[found, more[0]], np.r_[score, more[1]]
         top = np.lexsort((found, -score))[:k]
         out_q.append(np.full(len(top), query_ids[q]))
         out_i.append(found[top])

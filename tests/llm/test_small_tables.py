@@ -2,6 +2,7 @@ import os
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -61,6 +62,19 @@ def test_recall(spark):
     assert sum(len(set(want[q]) & set(got[q].values())) for q in want) >= 0.95 * sum(map(len, want.values()))
 
 
+def test_recall_of_a_full_block(spark):
+    rng = np.random.default_rng(1)
+    vectors = rng.normal(size=(ann.BLOCK_ROWS, 64)).astype(np.float32)
+    ids = np.arange(len(vectors))
+    rows = spark.createDataFrame(pa.table({"vec_id": ids, "embedding": pa.array(list(vectors), pa.list_(pa.float32()))})).coalesce(1)
+    asked = np.flatnonzero(ids % 160 == 0)
+    want = exact(ids, vectors.astype(np.float64), asked, 20)
+    got = {q: set() for q in want}
+    for r in ann.nearest(rows, rows.where("vec_id % 160 = 0"), k=20).collect():
+        got[r.query_id].add(r.vec_id)
+    assert sum(len(set(want[q]) & got[q]) for q in want) >= 0.95 * sum(map(len, want.values()))
+
+
 def test_equal_vectors_and_odd_rows(spark, monkeypatch):
     rng = np.random.default_rng(0)
     rows = [(k, [1.0, 2.0, 0.5]) for k in range(200)] + [(1000 + k, rng.normal(size=3).tolist()) for k in range(50)]
