@@ -14,9 +14,12 @@ removed; windows are judged on the input. Only equal windows have to meet, so:
 3. Each document's spans are joined and cut out.
 
 An anchor that occurs everywhere (about the edges of a very common line) would
-bring all its segments to one task. A bounded sample of texts shows such
-anchors; their windows are compared one by one by 128-bit hashes instead, which
-spreads them evenly. The sample changes the way, not the result.
+bring all its segments to one task. The windows of such anchors are compared one
+by one by 128-bit hashes instead, which spreads them evenly. A bounded sample of
+texts shows those that few texts suffice to show; all others are found by a count
+over all segments of all texts (of each anchor, the different segments whose hash
+is in a fixed share), so that no anchor brings a task more than about a shard.
+Both change the way, not the result.
 
 Null texts are empty. Rows without an id take no part: nothing is removed. Rows
 of one id with equal texts are one document; with different texts they are
@@ -46,6 +49,9 @@ SHARD_BYTES = 1 << 20
 #: The sample of texts that shows common anchors: rows, characters of each, segments from which an
 #: anchor counts as common, and how many such anchors are broadcast at most.
 SAMPLE_ROWS, SAMPLE_CHARS, COMMON_SEGMENTS, MOST_COMMON = 2000, 8192, 16, 8192
+#: The count over all texts: one of so many segments, and counted ones from which an anchor counts
+#: as common. A segment has at most 168 bytes, so that less than about 0.7 MB comes together.
+COUNTED, CROWDED = 64, 64
 
 _RNG = np.random.default_rng(77)
 _VALUES = _RNG.integers(0, 1 << 63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -207,7 +213,42 @@ def _found(docs: DataFrame, common, length: int) -> DataFrame:
     return docs.mapInArrow(run, _ROW)
 
 
+def _crowded_anchors(docs: DataFrame, common, length: int) -> np.ndarray:
+    """Anchors of more different segments over all texts than one task should
+    get, without those that are known. Equal segments count once, wherever they are."""
+
+    def run(batches):
+        held, size = [], 0
+
+        def flush():
+            both = np.unique(np.concatenate(held), axis=0).view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(both[:, k]) for k in (0, 1)], ["anchor", "other"])
+
+        for batch in slices(batches, "text", 2 * PIECE_BYTES):
+            texts = [t.encode("utf-8", "surrogatepass") for t in strings(batch, "text")]
+            for data, ends, _, _ in pieces(texts, length):
+                anchor, other = segments(data, ends, np.zeros(0, np.uint64), length)[:2]
+                some = other % np.uint64(COUNTED) == 0
+                held.append(np.stack([anchor[some], other[some]], axis=1))
+                size += len(held[-1])
+                if size >= FLUSH_ROWS:
+                    yield flush()
+                    held, size = [], 0
+        if held:
+            yield flush()
+
+    counted = docs.select("text").mapInArrow(run, "anchor long, other long").distinct().groupBy("anchor").count()
+    # at most one anchor for CROWDED x COUNTED segments
+    found = counted.where(F.col("count") >= CROWDED).select("anchor").toArrow().column(0).to_numpy().view(np.uint64)
+    return np.union1d(common, found)
+
+
 def _common_anchors(docs: DataFrame, length: int) -> np.ndarray:
+    """Those a sample shows, and those that the count over all texts adds."""
+    return _crowded_anchors(docs, _sampled_anchors(docs, length), length)
+
+
+def _sampled_anchors(docs: DataFrame, length: int) -> np.ndarray:
     """Anchors of many different segments in the heads of a few texts; only as
     many partitions are read as have them."""
     rows = docs.select(F.substring("text", 1, SAMPLE_CHARS).alias("text")).limit(SAMPLE_ROWS).collect()
@@ -227,41 +268,44 @@ def _met(found: DataFrame) -> DataFrame:
     earliest of each of several different segments of an anchor."""
 
     def run(batches):
-        held: list[np.ndarray] | None = None
+        # of the last segment: anchor, other, id, tag and start of its earliest
+        # place and its stop, and whether its anchor is known to have several
+        last: list[np.ndarray] | None = None
+        several = False
 
         def judge(rows: list[np.ndarray]):
-            kind, anchor, other, key, tag, start, stop = rows
+            nonlocal last, several
+            kind, anchor, key, tag, start, stop = (rows[k] for k in (0, 1, 3, 4, 5, 6))
             spans = kind == REMOVED
-            seg = np.flatnonzero(~spans)
-            a, o = anchor[seg], other[seg]
-            fresh_anchor = np.r_[True, a[1:] != a[:-1]][: len(seg)]
-            first = np.r_[True, (a[1:] != a[:-1]) | (o[1:] != o[:-1])][: len(seg)]
-            out = [np.flatnonzero(spans)]
+            seg = [c[~spans] for c in rows[1:]]
+            out = [[c[spans] for c in (anchor, key, tag, start, stop)]]
             kinds = [np.full(int(spans.sum()), REMOVED, np.int32)]
-            if len(seg):
-                head = seg[np.flatnonzero(first)[np.cumsum(first) - 1]]
-                later = (key[seg] != key[head]) | (tag[seg] != tag[head]) | (start[seg] != start[head])
-                different = np.add.reduceat(first.astype(np.int64), np.flatnonzero(fresh_anchor))[np.cumsum(fresh_anchor) - 1]
-                asked = first & (different > 1)
-                out += [seg[later], seg[asked]]
+            if len(seg[0]):
+                known = last is not None
+                if known:
+                    seg = [np.concatenate(x) for x in zip(last, seg)]
+                a, o, *place = seg
+                fresh_anchor = np.r_[True, a[1:] != a[:-1]]
+                first = fresh_anchor | np.r_[True, o[1:] != o[:-1]]
+                head = np.flatnonzero(first)[np.cumsum(first) - 1]
+                later = (place[0] != place[0][head]) | (place[1] != place[1][head]) | (place[2] != place[2][head])
+                group = np.cumsum(fresh_anchor) - 1
+                different = np.add.reduceat(first.astype(np.int64), np.flatnonzero(fresh_anchor))
+                many = different > 1
+                asked = first & many[group]
+                if known and several:
+                    many[0] = True
+                    asked = first & many[group]
+                    asked[0] = False  # it has been
+                out += [[c[x] for c in (a, *place)] for x in (later, asked)]
                 kinds += [np.full(int(later.sum()), REMOVED, np.int32), np.full(int(asked.sum()), SEGMENT, np.int32)]
-            at = np.concatenate(out)
-            columns = [np.concatenate(kinds), *(c[at] for c in (anchor, key, tag, start, stop))]
+                last, several = [c[head[-1:]] for c in seg], bool(many[-1])
+            columns = [np.concatenate(kinds), *(np.concatenate(x) for x in zip(*out))]
             return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["kind", "anchor", "id", "tag", "start", "stop"])
 
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = [batch.column(c).to_numpy() for c in _NAMES]
-            if held is not None:
-                rows = [np.concatenate(x) for x in zip(held, rows)]
-            anchor = rows[1]
-            cut = int(np.searchsorted(anchor, anchor[-1]))
-            if cut:
-                yield judge([c[:cut] for c in rows])
-            held = [c[cut:] for c in rows]
-        if held is not None and len(held[0]):
-            yield judge(held)
+            if batch.num_rows:
+                yield judge([batch.column(c).to_numpy() for c in _NAMES])
 
     ordered = found.repartition(F.col("anchor")).sortWithinPartitions("anchor", "other", "id", "tag", "start")
     return ordered.mapInArrow(run, "kind int, anchor long, id long, tag long, start long, stop long")

@@ -82,3 +82,38 @@ def test_odd_rows(spark):
 def test_cut():
     assert repeats.cut(b"abcdef", [(1, 3), (2, 4), (5, 9)]) == (b"ae", 4, 2)
     assert repeats.cut("aéb".encode(), [(2, 4)], characters=True) == ("aé".encode(), 1, 1)
+
+
+def test_common_passage_in_later_rows(spark, monkeypatch):
+    """No anchor brings many segments together, wherever its passage is."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(repeats, "SAMPLE_ROWS", 10)
+    monkeypatch.setattr(repeats, "COUNTED", 1, raising=False)
+    monkeypatch.setattr(repeats, "CROWDED", 8, raising=False)
+    r = random.Random(6)
+    prose = lambda n: " ".join("".join(r.choices("abcde", k=r.randint(2, 7))) for _ in range(n))
+    passage = prose(40)
+    rows = [(d, prose(60)) for d in range(10)] + [(10 + d, f"{prose(30)} {passage} {prose(30)}") for d in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        texts = docs.select(F.col("doc_id").alias("id"), "text")
+        common = spark.sparkContext.broadcast(repeats._common_anchors(texts, 100))
+        met = repeats._met(repeats._found(texts, common, 100)).where(F.col("kind") == repeats.SEGMENT)
+        assert all(x["count"] < 8 for x in met.groupBy("anchor").count().collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert judged(docs) == brute(rows)
+
+
+def test_met_in_small_batches(spark, passages, monkeypatch):
+    monkeypatch.setattr(repeats, "FLUSH_ROWS", 50)
+    monkeypatch.setattr(repeats, "small_batches", lambda spark: None)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        assert judged(spark.createDataFrame(passages, "doc_id long, text string").repartition(5)) == brute(passages)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
