@@ -107,8 +107,8 @@ class Model:
             p = _sigmoid(margin(self.layer[0]))
             of_family = np.stack([p, 1 - p], axis=1)
         else:
+            # not divided by their sum, so that a score means the same for any number of families
             of_family = _sigmoid(np.stack([margin(m) for m in self.layer], axis=1))
-            of_family /= of_family.sum(axis=1, keepdims=True)
         chosen = of_family.argmax(axis=1)
         found, score = np.empty(len(texts), object), of_family.max(axis=1)
         for k, family in enumerate(names):

@@ -1,3 +1,5 @@
+import numpy as np
+
 import corpus_pipeline
 from nearspan.llm import language_id, quality_rules
 from tests.llm.test_near_duplicates import brute as near
@@ -50,6 +52,18 @@ def test_held_out_accuracy(spark):
     assert {r.lang_pred for r in language_id.predict(odd, none).collect()} == {"und"}
 
 
+def test_score_of_many_families():
+    names = [f"l{k:03}" for k in range(100)]
+    machine = lambda n, bias: language_id.Machine(n, "", np.zeros(language_id.BINS, np.float32), bias)
+    scores = []
+    for some in (names[:3], names):
+        model = language_id.Model({n: [n] for n in some}, [machine(n, 1.0 if n == "l001" else -1.0) for n in some], {n: [] for n in some})
+        found, (score,) = model.predict(["clean text"])
+        assert found == ["l001"] and score >= corpus_pipeline.LEAST_SCORE
+        scores.append(score)
+    assert scores[0] == scores[1]
+
+
 def brute_counts(text):
     import re
 
