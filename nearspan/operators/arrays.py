@@ -1,4 +1,8 @@
-"""The neighbor operator over arrays: one call from arrays to arrays."""
+"""The neighbor operator over arrays: one call from arrays to arrays.
+
+The arrays are at hand, so all errors in data are found before any job runs, in
+a fixed order; only a pair's shift out of range shows in the job itself.
+"""
 
 from __future__ import annotations
 
@@ -7,12 +11,9 @@ import pyarrow as pa
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
-from .arguments import check_algorithm, check_cutoff, check_flags, check_quantities, check_threads
-from .geometry import MOST_IMAGES
-from .neighbors import neighbor_pairs
-
-#: Parts of messages of errors in data that are about arguments' values.
-_VALUE_ERRORS = ("cell must contain", "linearly independent", "resource limit")
+from .arguments import checked
+from .geometry import BAD_SHIFT, MOST_IMAGES, TOO_MANY_IMAGES, checked_duals, search_plan, wraps_of
+from .neighbors import MOST_WHOLE, neighbor_pairs
 
 
 def as_numpy(x, name: str) -> np.ndarray:
@@ -70,25 +71,36 @@ def to_frames(spark: SparkSession, positions: np.ndarray, cell: np.ndarray, pbc:
     return spark.createDataFrame(atoms), spark.createDataFrame(structures)
 
 
+def check_data(positions: np.ndarray, cell: np.ndarray, pbc: np.ndarray, ptr: np.ndarray, cutoff: float, algorithm: str) -> None:
+    """Raises what the search would, and checks the images of all structures together."""
+    n = np.diff(ptr)
+    cells = cell.astype(np.float64)
+    duals, far = checked_duals(cells, pbc, n, cutoff)
+    if (2.0 * far + 1).prod(axis=1)[n > 0].sum() > MOST_IMAGES:
+        raise ValueError(TOO_MANY_IMAGES)
+    owner, places = np.repeat(np.arange(len(n)), n), positions.astype(np.float64)
+    wraps_of(places, duals[owner], pbc[owner])
+    some = n > 0
+    if some.any():
+        heads = ptr[:-1][some]
+        low, high = np.minimum.reduceat(places, heads), np.maximum.reduceat(places, heads)
+        search_plan(cells[some], pbc[some], n[some], low, high, cutoff, float(np.finfo(positions.dtype).eps), algorithm, MOST_WHOLE)
+
+
 def neighbor_arrays(spark: SparkSession, quantities: str, positions, cell, pbc, cutoff: float, batch_ptr=None, *, algorithm="auto", cpu_threads=None, sorted=False, half_list=False, include_self=False) -> tuple[np.ndarray, ...]:
     """Arrays in the order of ``quantities``; indices run over all positions.
     Errors in data come as ValueError or RuntimeError."""
-    check_quantities(quantities)
-    check_algorithm(algorithm)
-    check_threads(cpu_threads)
-    check_flags(sorted=sorted, half_list=half_list, include_self=include_self)
+    checked(quantities=quantities, algorithm=algorithm, cpu_threads=cpu_threads, sorted=sorted, half_list=half_list, include_self=include_self)
     positions, cell, pbc, ptr = checked_arrays(positions, cell, pbc, batch_ptr)
-    check_cutoff(cutoff)
+    checked(cutoff=cutoff)
+    check_data(positions, cell, pbc, ptr, float(cutoff), algorithm)
     atoms, structures = to_frames(spark, positions, cell, pbc, ptr)
     try:
-        if len(ptr) > 1:
-            check_image_total(atoms, structures, cutoff)
         found = neighbor_pairs(atoms, structures, cutoff, algorithm=algorithm, cpu_threads=cpu_threads, sorted=sorted, half_list=half_list, include_self=include_self).toArrow()
     except PySparkException as error:
-        text = str(error)
-        kind = ValueError if any(m in text for m in _VALUE_ERRORS) else RuntimeError
-        message = next((line for line in text.splitlines() if "USER_RAISED" in line or "must" in line), text)
-        raise kind(message) from error
+        if BAD_SHIFT in str(error):
+            raise RuntimeError(BAD_SHIFT) from error
+        raise
     column = lambda name: found.column(name).to_numpy()
     stack = lambda names, kind: np.stack([column(n) for n in names], axis=1).astype(kind, copy=False).reshape(-1, len(names))
     make = {
@@ -98,18 +110,10 @@ def neighbor_arrays(spark: SparkSession, quantities: str, positions, cell, pbc,
     return tuple(make[q]() for q in quantities)
 
 
-def check_image_total(atoms: DataFrame, structures: DataFrame, cutoff: float) -> None:
-    """All structures' images together are bounded too; one sum comes back."""
-    from pyspark.sql import functions as F
-
-    from .geometry import with_geometry
-
-    counts = atoms.groupBy("structure_id").agg(F.count("*").alias("n_atoms"))
-    # the left join also checks the cells of structures without atoms
-    total = with_geometry(structures, counts, cutoff).agg(F.sum("n_images").alias("n")).first()["n"]
-    if total and total > MOST_IMAGES:
-        raise ValueError("periodic image count of the batch exceeds the resource limit")
-
-
 def pair_keys(pairs: np.ndarray, shifts: np.ndarray) -> list[tuple[int, ...]]:
     return [tuple(map(int, k)) for k in np.concatenate([pairs, shifts], axis=1)]
+
+
+def edge_index(pairs: np.ndarray) -> np.ndarray:
+    """Pairs (E, 2) as graph libraries take them, (2, E) and contiguous."""
+    return np.ascontiguousarray(pairs.T)

@@ -1,4 +1,4 @@
-"""Lattices as scalar columns: duals, image ranges, images, wrapped positions."""
+"""Lattices of whole tables: duals, image ranges, and how a structure is searched."""
 
 from __future__ import annotations
 
@@ -11,14 +11,29 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import FloatType
 
 AXES, XYZ = "abc", "xyz"
-#: Images of a structure, at most.
+#: Images of a structure, at most; the grid that forced bins must
+#: fit in, bins at all and for each image; the bound of wraps and shifts.
 MOST_IMAGES = 1 << 24
+MOST_BINS, MOST_BINS_PER_IMAGE = 1 << 26, 64
 INT32 = float(1 << 31)
-EPS = float(np.finfo(np.float64).eps)
+#: Roundings that an expression of displacements may pile up.
+ROUNDINGS = 64
 
 CELL = [f"c_{a}{x}" for a in AXES for x in XYZ]
 DUAL = [f"d_{a}{x}" for a in AXES for x in XYZ]
 PERIODIC = [f"p_{a}" for a in AXES]
+BOUNDS = [f"{side}_{x}" for side in ("min", "max") for x in XYZ]
+
+#: How a structure is searched: by one task, by blocks of space, by groups of its points.
+WHOLE, BLOCKS, GROUPS = 0, 1, 2
+
+BAD_CELL = "cell must contain only finite values"
+DEPENDENT = "cell rows of periodic axes must be linearly independent"
+TOO_MANY_IMAGES = "periodic image count exceeds the resource limit"
+BAD_PLACE = "positions must contain only finite values"
+BAD_WRAP = "representative wraps exceed int32"
+BAD_BINS = "cell_list cannot safely process this structure"
+BAD_SHIFT = "output cell shift exceeds int32"
 
 
 def dual_rows(cells: np.ndarray, pbc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -39,17 +54,85 @@ def dual_rows(cells: np.ndarray, pbc: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return duals, good
 
 
-def _duals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        of = lambda names: np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in names], axis=1)
-        duals, good = dual_rows(of(CELL).astype(np.float64).reshape(-1, 3, 3), of(PERIODIC).astype(bool))
-        added = [*(pa.array(column) for column in duals.reshape(-1, 9).T.copy()), pa.array(good)]
-        yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, *DUAL, "independent"])
+EPS = float(np.finfo(np.float64).eps)
 
 
-def fail_if(condition: Column, message: str, value: Column) -> Column:
-    """``value``, unless the condition holds of a row that is used."""
-    return F.when(condition, F.raise_error(F.lit(message)).cast("double")).otherwise(value)
+def checked_duals(cells: np.ndarray, pbc: np.ndarray, n: np.ndarray, cutoff: float) -> tuple[np.ndarray, np.ndarray]:
+    """Duals, and images to each side (n, 3), of checked cells. Cells of empty
+    structures only have to be finite. Errors come in a fixed order."""
+    if not np.isfinite(cells).all():
+        raise ValueError(BAD_CELL)
+    duals, good = dual_rows(cells, pbc)
+    if not good[n > 0].all():
+        raise ValueError(DEPENDENT)
+    lengths = np.sqrt((duals**2).sum(axis=2))
+    far = np.where(pbc, np.ceil(cutoff * lengths * (1 + 1e-12)), 0.0)
+    far[n == 0] = 0
+    if not (far < INT32).all() or ((2 * far + 1).prod(axis=1) > MOST_IMAGES).any():
+        raise ValueError(TOO_MANY_IMAGES)
+    return duals, far.astype(np.int64)
+
+
+def wraps_of(points: np.ndarray, duals: np.ndarray, pbc: np.ndarray) -> np.ndarray:
+    """Whole cells (n, 3) that each point lies away from its wrapped place."""
+    x, y, z = points.T
+    f = np.stack([x * duals[:, a, 0] + y * duals[:, a, 1] + z * duals[:, a, 2] for a in range(3)], axis=1)
+    if not np.isfinite(points).all():
+        raise RuntimeError(BAD_PLACE)
+    if ((f >= INT32) | (f < -INT32)).any():
+        raise RuntimeError(BAD_WRAP)
+    return np.where(pbc, np.floor(f), 0.0).astype(np.int64)
+
+
+def moved(points: np.ndarray, shift: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    """points + shift times the cell, in double precision."""
+    s = shift.astype(np.float64)
+    return points + (s[:, :1] * cells[:, 0] + s[:, 1:2] * cells[:, 1] + s[:, 2:] * cells[:, 2])
+
+
+def search_plan(cells, pbc, n, low, high, cutoff: float, eps: float, algorithm: str, most_whole: int) -> dict[str, np.ndarray]:
+    """For each structure: duals, images to each side that may hold neighbors,
+    the width within which neighbors are sought, and the grid of blocks.
+
+    low, high: bounds of the points as they are. eps is that of the points'
+    own precision: displacements are rounded in it, and nothing that the final
+    test may take in must be left out before."""
+    duals, far = checked_duals(cells, pbc, n, cutoff)
+    if not (np.isfinite(low).all() and np.isfinite(high).all()):
+        raise RuntimeError(BAD_PLACE)
+    lengths = np.sqrt((duals**2).sum(axis=2))
+    # fractional bounds of the box of points, and whether all lie in one cell
+    parts = np.sort(np.stack([duals * low[:, None], duals * high[:, None]]), axis=0)
+    f_low, f_high = parts[0].sum(axis=2), parts[1].sum(axis=2)
+    reach = np.maximum(np.abs(low), np.abs(high))
+    slack = 16 * EPS * (np.abs(duals) * reach[:, None]).sum(axis=2)
+    if ((f_high >= 2 * INT32) | (f_low < -2 * INT32))[pbc].any():
+        raise RuntimeError(BAD_WRAP)
+    first, last = np.floor(f_low - slack), np.floor(f_high + slack)
+    span = np.where(first == last, f_high - f_low + 2 * slack, 1 + 2 * slack)
+    most_wrap = np.where(pbc, np.maximum(np.abs(first), np.abs(last)), 0)
+    of_wraps = 2 * reach + ((far + 2 * most_wrap)[:, :, None] * np.abs(cells)).sum(axis=1)
+    scale = of_wraps + np.abs(cells).sum(axis=1)
+    pad = ROUNDINGS * eps * (scale.sum(axis=1) + cutoff)
+    width = (cutoff + pad) * (1 + 1e-9)
+    images = np.where(pbc, np.floor(width[:, None] * lengths + span), 0).astype(np.int64)
+    # wrapped places: what is left without the periodic parts, and up to one cell more
+    rest = np.eye(3) - np.einsum("nax,nay->nxy", cells * pbc[:, :, None], duals)
+    sides = np.sort(np.stack([rest * low[:, None], rest * high[:, None]]), axis=0)
+    cell_low = (np.minimum(cells, 0) * pbc[:, :, None]).sum(axis=1) - width[:, None] * 1e-6
+    cell_high = (np.maximum(cells, 0) * pbc[:, :, None]).sum(axis=1) + width[:, None] * 1e-6
+    box_low, box_high = sides[0].sum(axis=2) + cell_low, sides[1].sum(axis=2) + cell_high
+    with np.errstate(over="ignore"):
+        bins = (np.floor((np.where(pbc.any(axis=1)[:, None], box_high - box_low, high - low)) / width[:, None]) + 1).prod(axis=1)
+    if algorithm == "cell_list" and ((ROUNDINGS * eps * of_wraps.max(axis=1) > cutoff) | (bins > MOST_BINS) | (bins > MOST_BINS_PER_IMAGE * n * (2.0 * far + 1).prod(axis=1)))[n > 0].any():
+        raise RuntimeError(BAD_BINS)
+    small = n <= most_whole
+    kind = np.where(small, WHOLE, GROUPS if algorithm == "brute_force" else BLOCKS)
+    extent = np.maximum(box_high - box_low, width[:, None])
+    share = max(1, most_whole // 2)
+    block = np.maximum(2 * width, np.cbrt(extent.prod(axis=1) * (share / np.maximum(n, 1))))
+    blocks = np.floor(extent / block[:, None]).astype(np.int64) + 1
+    return {"far": far, "duals": duals, "images": images, "width": width, "kind": kind, "low": box_low, "high": box_high, "block": block, "blocks": blocks, "groups": -(-n // share)}
 
 
 def finite(x: Column) -> Column:
@@ -62,37 +145,34 @@ def scalar_structures(structures: DataFrame) -> DataFrame:
     return structures.select("structure_id", *cell, *(F.col("pbc")[k].alias(f"p_{a}") for k, a in enumerate(AXES)))
 
 
-def with_geometry(structures: DataFrame, counts: DataFrame, cutoff: float) -> DataFrame:
-    """Of each structure with atoms (counts: structure_id, n_atoms): cell,
-    flags, duals, ``r_a..r_c`` images to each side, ``n_images``. Cells of empty
-    structures are only checked for finite numbers."""
-    rows = scalar_structures(structures)
-    bad = ~finite(F.col(CELL[0]))
-    for c in CELL[1:]:
-        bad = bad | ~finite(F.col(c))
-    rows = rows.withColumn(CELL[0], fail_if(bad, "cell must contain only finite values", F.col(CELL[0])))
-    rows = rows.join(counts, "structure_id")
-    kinds = ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in rows.columns)
-    rows = rows.mapInArrow(_duals, f"{kinds}, {', '.join(f'{d} double' for d in DUAL)}, independent boolean")
-    rows = rows.withColumn(DUAL[0], fail_if(~F.col("independent"), "cell rows of periodic axes must be linearly independent", F.col(DUAL[0])))
-    far = {}
-    for a in AXES:
-        x, y, z = (F.col(f"d_{a}{x}") for x in XYZ)
-        r = F.when(F.col(f"p_{a}"), F.ceil(_checked_range(cutoff * F.sqrt(x * x + y * y + z * z) * (1 + 1e-12)))).otherwise(F.lit(0))
-        far[f"r_{a}"] = r.cast("long")
-    rows = rows.withColumns(far)
-    images = (2.0 * F.col("r_a") + 1) * (2.0 * F.col("r_b") + 1) * (2.0 * F.col("r_c") + 1)
-    return rows.withColumn("n_images", fail_if(images > MOST_IMAGES, "periodic image count exceeds the resource limit", images)).drop("independent")
+def matrix(batch: pa.RecordBatch, names: list[str], kind=np.float64) -> np.ndarray:
+    """Columns side by side; nulls of numbers become NaN."""
+    return np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in names], axis=1).astype(kind)
+
+
+def mapped(rows: DataFrame, add, added: str) -> DataFrame:
+    """``rows`` and the columns that ``add`` makes of each batch (name to array)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            new = add(batch)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(v) for v in new.values())], [*batch.schema.names, *new])
 
-def _checked_range(x: Column) -> Column:
-    return fail_if(~finite(x) | (x >= INT32), "periodic image count exceeds the resource limit", x)
+    kinds = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes)
+    return rows.mapInArrow(run, f"{kinds}, {added}")
 
 
-def widened(structures: DataFrame, slack: DataFrame) -> DataFrame:
-    """Image ranges for wraps that rounding may have moved (slack by axis)."""
-    more = {f"r_{a}": F.col(f"r_{a}") + F.when(F.col(f"p_{a}") & (F.col(f"slack_{a}") > 1e-6), F.lit(1)).otherwise(F.lit(0)) for a in AXES}
-    return structures.join(slack, "structure_id").withColumns(more)
+def with_geometry(structures: DataFrame, counts: DataFrame, cutoff: float) -> DataFrame:
+    """Of each structure with atoms (counts: structure_id, n_atoms): cell,
+    flags, duals, ``r_a..r_c`` images to each side, ``n_images``."""
+    rows = scalar_structures(structures).join(counts, "structure_id", "left").withColumn("n_atoms", F.coalesce("n_atoms", F.lit(0)).cast("long"))
+
+    def add(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+        duals, far = checked_duals(matrix(batch, CELL).reshape(-1, 3, 3), matrix(batch, PERIODIC, bool), batch.column("n_atoms").to_numpy(), cutoff)
+        return dict(zip(DUAL, duals.reshape(-1, 9).T.copy())) | {f"r_{a}": far[:, k].copy() for k, a in enumerate(AXES)} | {"n_images": (2.0 * far + 1).prod(axis=1)}
+
+    added = [*(f"{d} double" for d in DUAL), *(f"r_{a} long" for a in AXES), "n_images double"]
+    return mapped(rows, add, ", ".join(added)).where("n_atoms > 0")
 
 
 def image_table(structures: DataFrame) -> DataFrame:
@@ -103,25 +183,5 @@ def image_table(structures: DataFrame) -> DataFrame:
     return out.select("structure_id", *(F.col(f"n{a}").cast("int").alias(f"n{a}") for a in AXES))
 
 
-def along(shift: list[Column], x: str) -> Column:
-    """Component ``x`` of a shift times the cell."""
-    return shift[0] * F.col(f"c_a{x}") + shift[1] * F.col(f"c_b{x}") + shift[2] * F.col(f"c_c{x}")
-
-
-def with_wraps(atoms: DataFrame) -> DataFrame:
-    """atoms joined with geometry; adds ``w_a..w_c`` (long) and wrapped ``wx..wz``."""
-    place = [F.col(x).cast("double") for x in XYZ]
-    bad = ~finite(place[0]) | ~finite(place[1]) | ~finite(place[2])
-    added = {}
-    for a in AXES:
-        f = place[0] * F.col(f"d_{a}x") + place[1] * F.col(f"d_{a}y") + place[2] * F.col(f"d_{a}z")
-        f = fail_if(bad, "positions must contain only finite values", f)
-        low = F.floor(fail_if((f >= INT32) | (f < -INT32), "representative wraps exceed int32", f))
-        added[f"w_{a}"] = F.when(F.col(f"p_{a}"), low).otherwise(F.floor(fail_if(bad, "positions must contain only finite values", F.lit(0.0)))).cast("long")
-    out = atoms.withColumns(added)
-    wraps = [F.col(f"w_{a}").cast("double") for a in AXES]
-    return out.withColumns({f"w{x}": p - along(wraps, x) for x, p in zip(XYZ, place)})
-
-
 def is_single(atoms: DataFrame) -> bool:
     return all(isinstance(atoms.schema[x].dataType, FloatType) for x in XYZ)

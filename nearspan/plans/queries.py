@@ -128,8 +128,8 @@ def nl_cells_forced(spark, sf_dir):
 
 @query(_pairs_sql(NEAR))
 def nl_auto(spark, sf_dir):
-    """A low bound makes both branches of the choice run."""
-    return _pairs(spark, sf_dir, most_brute=5000).select(*SCALARS, "d")
+    """A low bound makes structures of both ways of searching."""
+    return _pairs(spark, sf_dir, most_whole=60).select(*SCALARS, "d")
 
 
 @query(_pairs_sql(NEAR, columns="D"))

@@ -102,8 +102,15 @@ def test_sources(spark, tmp_path):
     rows = sources.parse_sdf_rows(sources.read_archives(spark, str(tmp_path / "a.tar.gz"), wanted=wanted)).orderBy("ordinal").collect()
     assert [(r.source_id, r.z_number, r.x) for r in rows] == [("m/two.sdf", 6, 0.1), ("m/two.sdf", 17, 1.0), ("m/two.sdf", 1, 0.0)]
     for bad in ("x", SDF.replace("  3  2", "  9  2"), SDF.replace(" Cl ", " Xx ")):
-        with pytest.raises(ValueError):
-            sources.parse_sdf(bad)
+        with pytest.raises(PySparkException, match="m/x: "):
+            sources.parse_sdf_rows(spark.createDataFrame([("m/x", bad)], "name string, text string")).collect()
+    packed = SDF.replace("    0.1  0.2  0.3 C ", f"{-1234.5678:10.4f}{-123.4567:10.4f}{-2345.6789:10.4f} C ")
+    run_together = sources.parse_sdf_rows(spark.createDataFrame([("p", packed)], "name string, text string")).orderBy("ordinal").first()
+    assert (run_together.x, run_together.y, run_together.z, run_together.z_number) == (-1234.5678, -123.4567, -2345.6789, 6)
+    members = sources.read_archives(spark, str(tmp_path / "a.tar.gz"))
+    assert sources.all_members(members, wanted) is members
+    with pytest.raises(RuntimeError, match="three"):
+        sources.all_members(members, spark.createDataFrame([("m/three.sdf",)], "name string"))
     arrays = {"positions": np.arange(9.0).reshape(3, 3), "batch_ptr": np.array([0, 1, 3]), "cell": np.stack([np.eye(3)] * 2), "pbc": np.ones((2, 3), bool), "source_ids": np.array(["p", "q"])}
     data = sources.npz_bytes(**arrays)
     assert data == sources.npz_bytes(**arrays)

@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pytest
 
-from nearspan.operators.arrays import neighbor_arrays, pair_keys
+from nearspan.operators.arrays import edge_index, neighbor_arrays, pair_keys
 
 ZERO = np.zeros((3, 3))
 NO = (False,) * 3
@@ -67,7 +67,7 @@ def test_golden(spark):
     assert go(np.zeros((0, 3)), 1e-12 * np.eye(3), (True,) * 3, 1.0) == set()
 
 
-@pytest.mark.parametrize("options,count", zip(MODES, (52, 55, 26, 29)))
+@pytest.mark.parametrize("options,count", list(zip(MODES, (52, 55, 26, 29))))
 def test_slab_modes(spark, options, count):
     for algorithm in ("brute_force", "cell_list"):
         found = keys(spark, *G7, 2.4, algorithm=algorithm, **options)
@@ -117,10 +117,69 @@ def test_single_precision(spark):
     assert d.dtype == v.dtype == np.float32
 
 
+def test_single_precision_at_the_rounding_edge(spark):
+    """Displacements rounded in single precision fall below the cutoff though the exact ones don't."""
+    place, cutoff = line(-1.344727, -0.17916833, 0.9863904).astype(np.float32), 1.165558722615242
+    want = {(0, 1, 0, 0, 0), (1, 0, 0, 0, 0), (1, 2, 0, 0, 0), (2, 1, 0, 0, 0)}
+    for algorithm in ("auto", "brute_force", "cell_list"):
+        assert keys(spark, place, ZERO.astype(np.float32), NO, cutoff, algorithm=algorithm) == want
+    rng, places, cells, flags, cutoffs = np.random.default_rng(5), [], [], [], []
+    for case in range(60):
+        own = rng.uniform(-3, 3, (12, 3)).astype(np.float32)
+        cell = (np.diag(rng.uniform(2.5, 4, 3)) + np.tril(0.3 * rng.random((3, 3)), -1)).astype(np.float32)
+        places.append(own), cells.append(cell), flags.append(rng.random(3) < 0.5)
+    args = np.concatenate(places), np.array(cells), np.array(flags)
+    ptr = np.arange(0, 721, 12)
+    for pair in range(3):  # cutoffs at distances that occur, as single precision has them
+        d = args[0][12 * pair] - args[0][12 * pair + 5]
+        cutoff = float(np.sqrt((d[0] * d[0] + d[1] * d[1]) + d[2] * d[2])) * (1 + 1e-8)
+        assert keys(spark, *args, cutoff, ptr, algorithm="cell_list") == keys(spark, *args, cutoff, ptr, algorithm="brute_force")
+
+
+@pytest.mark.parametrize("pbc", [(False, False, False), (True, False, True), (True, True, True)])
+def test_large_structure_by_blocks(spark, pbc):
+    from nearspan.operators.arrays import to_frames
+    from nearspan.operators.neighbors import neighbor_pairs
+
+    rng = np.random.default_rng(3)
+    cell = np.array([(9, 0, 0), (1, 8, 0), (0.5, 1, 7.0)])
+    place = rng.random((400, 3)) @ cell
+    place[::7] += 2 * cell[0] - cell[2]
+    place[:40] = place[0] + rng.random((40, 3)) * 0.2  # a crowd
+    frames = to_frames(spark, place, cell[None], np.array([pbc]), np.array([0, 400]))
+    want = brute(place, cell, pbc, 1.3)
+    for options in ({"most_whole": 60}, {"most_whole": 60, "algorithm": "cell_list"}, {"most_whole": 60, "algorithm": "brute_force"}, {"cpu_threads": 3}):
+        found = [tuple(r) for r in neighbor_pairs(*frames, 1.3, **options).select("i", "j", "sx", "sy", "sz").collect()]
+        assert len(found) == len(want) and set(found) == want
+
+
+def test_one_group_in_parts(spark, monkeypatch):
+    """A group of more points than are held at a time."""
+    from nearspan.operators import neighbors
+    from nearspan.operators.kernel import RAW, SOURCE, Search
+
+    rng = np.random.default_rng(4)
+    place = rng.random((300, 3)) * 3
+    rows = [(0, 5, SOURCE if k < 50 else RAW, k % 300, *map(float, place[k % 300]), 0, 0, 0, *map(float, place[k % 300]), *([0.0] * 9), 0, 0, 0, 0.8) for k in range(350)]
+    kinds = "structure_id long, group long, role int, atom_id long, x double, y double, z double, w_a long, w_b long, w_c long, wx double, wy double, wz double, " + ", ".join(f"{c} double" for c in neighbors.CELL) + ", r_a int, r_b int, r_c int, width double"
+    monkeypatch.setattr(neighbors, "CALL_POINTS", 40)
+    monkeypatch.setattr(neighbors, "HELD_POINTS", 90)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "30")
+    try:
+        dealt = spark.createDataFrame(rows, kinds).coalesce(1).sortWithinPartitions("structure_id", "group", "role")
+        got = [(r.i, r.j) for r in neighbors._searched(dealt, Search(0.8, False, False, True), False).collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = [(i, j) for i in range(50) for j in [*range(50, 300), *range(50)] if i != j and np.sum((place[i] - place[j]) ** 2) < 0.64]
+    assert sorted(got) == sorted(want)
+
+
 def test_quantities(spark):
     args = np.array([(0.1, 0, 0), (0.9, 0, 0)]), np.diag([1.0, 4, 4]), np.array([True, False, False]), 0.3
     i, p, s, d, v, j = neighbor_arrays(spark, "iPSdDj", *args, sorted=True)
     assert i.tolist() == [0, 1] and j.tolist() == [1, 0] and p.tolist() == [[0, 1], [1, 0]] and s.tolist() == [[-1, 0, 0], [1, 0, 0]]
+    assert edge_index(p).tolist() == [[0, 1], [1, 0]]
     assert np.allclose(d, 0.2) and np.allclose(v[:, 0], [-0.2, 0.2]) and i.dtype == np.int64 and s.dtype == np.int32
     assert len(neighbor_arrays(spark, "jii", *args)) == 3 and neighbor_arrays(spark, "", *args) == ()
 
