@@ -1,23 +1,30 @@
 """Byte-level BPE encoding and decoding by a monoid tree reduction.
 
 Encodings of byte strings form a monoid: ``join(encode(x), encode(y))`` is
-``encode(x + y)``. A pre-token is cut into halves down to short leaves; the
-leaves are encoded and joined up the tree. A join re-encodes a window of tokens
-about the seam and lets it grow until the tokens outside are proven to stay.
+``encode(x + y)``. A pre-token is cut into halves down to single bytes, which
+encode themselves; all longer encodings come from joins up the tree. A join
+re-encodes a window of tokens about the seam, merging by ranks, and lets it grow
+until the tokens outside are proven to stay.
 
 The proof: a sequence of tokens is the encoding of its bytes if and only if each
 pair of neighbours is the encoding of the pair's bytes. The window is an
 encoding itself, and so are both outer parts; only the two pairs at the
 window's ends are new, and these are encoded and compared. A window that takes
-in everything is right at once.
+in everything is right at once. Texts are trees too, whose upper nodes join
+pre-tokens, over whose ends no merge reaches.
 
-Null texts are empty (no tokens); null ids, repeated rows, empty tables and
-other columns of any name are fine: one result for each row.
+A worker keeps the ids of pre-tokens, and of chunks of them, in bounded caches,
+so that it goes through the tree of each frequent one once. Decoding
+concatenates the tokens' bytes pair by pair, level by level.
+
+Null texts are empty (no tokens); null ids, repeated rows, empty tables, very
+long texts and other columns of any name are fine: one result for each row.
 """
 
 from __future__ import annotations
 
 import hashlib
+from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import pyarrow as pa
@@ -25,49 +32,74 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import held, slices, small_batches, strings
-from .pretokens import ChunkValues, read_ranks, vocabulary_path
-
-#: Bytes that are encoded at once; longer pre-tokens go through the tree.
-LEAF_BYTES = 32
-#: Pre-tokens whose ids a worker keeps.
-CACHE_ENTRIES = 300_000
-#: Ids that are decoded at once; longer sequences go through the tree.
-LEAF_IDS = 4096
+from .pretokens import ChunkValues, Kept, read_ranks, vocabulary_path
+
+#: Pre-tokens, and windows of a few tokens, whose ids a worker keeps.
+CACHE_ENTRIES, WINDOW_ENTRIES = 300_000, 500_000
+#: Tokens of windows that are kept, at most.
+KEPT_TOKENS = 4
 SLICE_BYTES = 2 << 20
 
 
 class TreeBPE:
-    def __init__(self, ranks: dict[bytes, int], pattern: str, leaf_bytes: int = LEAF_BYTES, entries: int = CACHE_ENTRIES):
-        import tiktoken
-
-        self.leaf = tiktoken.Encoding("tree", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
-        self.bytes = {i: b for b, i in ranks.items()}
-        self.leaf_bytes = leaf_bytes
+    def __init__(self, ranks: dict[bytes, int], pattern: str, entries: int = CACHE_ENTRIES):
+        self.ranks, self.bytes = ranks, {i: b for b, i in ranks.items()}
+        self.single = [ranks[bytes([b])] for b in range(256)]
+        self.windows = Kept(lambda ids: tuple(self.merge(ids)), WINDOW_ENTRIES)
+        self.joins = 0
         self.chunks = ChunkValues(pattern, lambda piece: tuple(self.encode_piece(piece.encode("utf-8", "surrogatepass"))), lambda parts: list(chain.from_iterable(parts)), entries)
 
+    def merge(self, ids) -> list[int]:
+        """The encoding of the bytes of some tokens: from single bytes, the
+        neighbours of the least rank are merged first, the leftmost of equals."""
+        raw = b"".join(map(self.bytes.__getitem__, ids))
+        ranks, n = self.ranks, len(raw)
+        stop = list(range(1, n + 1))  # where the part that begins here ends, 0 if none does
+        before = list(range(-1, n - 1))
+        queue = [(r, k, k + 2) for k in range(n - 1) if (r := ranks.get(raw[k : k + 2])) is not None]
+        heapify(queue)
+        while queue:
+            _, k, end = heappop(queue)
+            middle = stop[k]
+            if not middle or middle >= n or stop[middle] != end:
+                continue  # one of its parts has been merged since
+            stop[k], stop[middle] = end, 0
+            if end < n:
+                before[end] = k
+                if (r := ranks.get(raw[k : stop[end]])) is not None:
+                    heappush(queue, (r, k, stop[end]))
+            if (p := before[k]) >= 0 and (r := ranks.get(raw[p:end])) is not None:
+                heappush(queue, (r, p, end))
+        out, k = [], 0
+        while k < n:
+            out.append(ranks[raw[k : stop[k]]])
+            k = stop[k]
+        return out
+
+    def window(self, ids: tuple[int, ...]):
+        return self.windows[ids] if len(ids) <= KEPT_TOKENS else self.merge(ids)
+
     def stays(self, left: int, right: int) -> bool:
         """Whether the two tokens stay apart when they meet."""
-        return self.leaf(self.bytes[left] + self.bytes[right]) == [left, right]
+        return self.window((left, right)) == (left, right)
 
     def join(self, a: list[int], b: list[int]) -> list[int]:
-        if not a or not b:
-            return a + b
-        if self.stays(a[-1], b[0]):
-            return a + b
+        """The encoding of both parts' bytes, from the parts' encodings."""
+        self.joins += 1
         left = right = 1
         while True:
             left, right = min(left, len(a)), min(right, len(b))
-            window = self.leaf(b"".join(map(self.bytes.__getitem__, chain(a[-left:], b[:right]))))
+            window = self.window((*a[len(a) - left :], *b[:right]))
             left_holds = left == len(a) or self.stays(a[-left - 1], window[0])
             right_holds = right == len(b) or self.stays(window[-1], b[right])
             if left_holds and right_holds:
-                return a[:-left] + window + b[right:]
+                return [*a[: len(a) - left], *window, *b[right:]]
             left, right = left if left_holds else 2 * left, right if right_holds else 2 * right
 
     def encode_piece(self, piece: bytes) -> list[int]:
         """Halves, recursively; the depth is the logarithm of the length."""
-        if len(piece) <= self.leaf_bytes:
-            return self.leaf(piece) if piece else []
+        if len(piece) < 2:
+            return [self.single[b] for b in piece]
         half = len(piece) // 2
         return self.join(self.encode_piece(piece[:half]), self.encode_piece(piece[half:]))
 
@@ -76,11 +108,12 @@ class TreeBPE:
         return self.chunks.value(text)
 
     def decode(self, ids: list[int]) -> bytes:
-        """Bytes of ``ids``, concatenated up the tree."""
-        if len(ids) <= LEAF_IDS:
-            return b"".join(map(self.bytes.__getitem__, ids))
-        half = len(ids) // 2
-        return self.decode(ids[:half]) + self.decode(ids[half:])
+        """Bytes of ``ids``, neighbours concatenated up the tree."""
+        parts = [self.bytes[i] for i in ids]
+        while len(parts) > 1:
+            last = parts[-1:] if len(parts) % 2 else []
+            parts = [x + y for x, y in zip(parts[::2], parts[1::2])] + last
+        return parts[0] if parts else b""
 
 
 def _tree(path: str, pattern: str) -> TreeBPE:

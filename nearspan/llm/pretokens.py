@@ -95,7 +95,7 @@ BYTE_LETTERS = _byte_letters()
 INNER_SPACE = re.compile(r"\s (?=\s|\Z)")
 
 
-class _Kept(dict):
+class Kept(dict):
     """A bounded cache that makes what it lacks. What comes first stays: frequent
     keys come early."""
 
@@ -122,7 +122,7 @@ class ChunkValues:
 
     def __init__(self, pattern: str, measure, combine, entries: int):
         self.split, self.combine = Splitter(pattern), combine
-        self.pieces, self.chunks = _Kept(measure, entries), _Kept(self._chunk, entries)
+        self.pieces, self.chunks = Kept(measure, entries), Kept(self._chunk, entries)
 
     def _split(self, text: str):
         found = LATIN.findall(text) if text.isascii() else self.split(text)
