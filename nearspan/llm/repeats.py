@@ -2,28 +2,34 @@
 
 A window is a string of ``length`` bytes (100) within a text. Each byte of a
 window that also starts earlier - in a smaller id, or before in the text - is
-removed; windows are judged on the input. Only equal windows have to meet, so:
+removed; windows are judged on the input. Hashes bring texts together, suffix
+arrays decide:
 
 1. A window's anchor is its 32-byte gram of the least hash; it depends on the
    window's bytes alone. Windows that follow each other with one anchor form a
-   segment. Equal segments (by 128 bits of two independent hashes) repeat each
-   other whole: the earliest stays, first in each map task, then in the anchor's.
-2. Where different segments of one anchor are left, their bytes are fetched and
-   meet in a shard. The shard's suffix array is made by induced sorting, and the
-   permuted common prefixes show which windows are equal, byte by byte.
+   segment. A segment that looks like an earlier one (128 bits of two hashes)
+   claims to repeat it; claims of segments that follow each other are one. They
+   are found in each map task first, so that a task deals one of each kind, and
+   between tasks by anchor. Different segments of one anchor may share windows.
+2. The bytes that claims are about are fetched once, from both sides, and so
+   are the bytes of an anchor's different segments. They are dealt to shards, by
+   place in the claimed text or by anchor. The shard's suffix array is made by
+   induced sorting, and the permuted common prefixes show which windows are
+   equal. Only what they show is removed: no hash removes a byte.
 3. Each document's spans are joined and cut out.
 
-An anchor that occurs everywhere (about the edges of a very common line) would
-bring all its segments to one task. The windows of such anchors are compared one
-by one by 128-bit hashes instead, which spreads them evenly. A bounded sample of
-texts shows those that few texts suffice to show; all others are found by a count
-over all segments of all texts (of each anchor, the different segments whose hash
-is in a fixed share), so that no anchor brings a task more than about a shard.
-Both change the way, not the result.
-
-Null texts are empty. Rows without an id take no part: nothing is removed. Rows
-of one id with equal texts are one document; with different texts they are
-documents in the order of the texts' checksums. Empty tables give empty results.
+Nothing is gathered without bound. A claimed text with many copies goes to
+shards of ``SALTED`` copies each, every one with the claimed text; what a task
+holds of a long shard is cut into suffix arrays, again each with the claimed
+text. An anchor of more than ``CROWDED`` different segments (about the edges of
+a very common line) is too coarse: the windows of its segments make claims one
+by one, by their own hashes, which spread. All this follows exact counts over all
+texts and changes the way, not the result.
+
+Null texts are empty. Rows without an id take no part: nothing is removed. Ids
+have to be numbers. Rows of one id with equal texts are one document; with
+different texts they are documents in the order of the texts' checksums. Empty
+tables give empty results.
 """
 
 from __future__ import annotations
@@ -44,14 +50,12 @@ from .suffix_array import permuted_common_prefixes, suffix_array
 LENGTH, GRAM = 100, 32
 #: Bytes of text hashed at a time, and rows gathered before equal segments are put together.
 PIECE_BYTES, FLUSH_ROWS = 1 << 20, 200_000
-#: Bytes of segments in one suffix array.
-SHARD_BYTES = 1 << 20
-#: The sample of texts that shows common anchors: rows, characters of each, segments from which an
-#: anchor counts as common, and how many such anchors are broadcast at most.
-SAMPLE_ROWS, SAMPLE_CHARS, COMMON_SEGMENTS, MOST_COMMON = 2000, 8192, 16, 8192
-#: The count over all texts: one of so many segments, and counted ones from which an anchor counts
-#: as common. A segment has at most 168 bytes, so that less than about 0.7 MB comes together.
-COUNTED, CROWDED = 64, 64
+#: Bytes of segments in one suffix array, and of a claimed text in one shard.
+SHARD_BYTES, CHUNK_BYTES = 2 << 20, 4096
+#: Copies of a claimed segment in one shard.
+SALTED = 4096
+#: Different segments of an anchor up to which they meet in a shard; each has at most 168 bytes.
+CROWDED = 4096
 
 _RNG = np.random.default_rng(77)
 _VALUES = _RNG.integers(0, 1 << 63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -93,42 +97,36 @@ def least_in_windows(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(down[:n], up[width - 1 : width - 1 + n])
 
 
-def segments(data: np.ndarray, ends: np.ndarray, common: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
+def segments(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, single: bool = False) -> tuple[np.ndarray, ...]:
     """Of texts that follow each other in ``data`` and end at ``ends``: anchor,
-    other hash, start and end of each segment, and whether it is of a common
-    anchor (then it is a window). The windows of all segments are all windows."""
+    other hash, start and end of each segment. The windows of all segments are
+    all windows. With ``single``, each window is a segment with its own hash."""
     none = (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
     if len(data) < length:
         return none
     n, grams = len(data) - length + 1, length - GRAM + 1
-    hashes = _Hashes(data)
-    start = np.arange(len(data) - GRAM + 1)
-    gram = hashes.of(0, start, start + GRAM)
-    # the least hash of each window and its leftmost place, in one word
-    key = gram >> np.uint64(24) << np.uint64(24) | start.astype(np.uint64)
-    anchor = (least_in_windows(key, grams)[:n] & np.uint64((1 << 24) - 1)).astype(np.int64)
-    valid = np.zeros(n + length, bool)
     begins = np.r_[0, ends[:-1]]
     steps = np.zeros(len(data) + 2, np.int64)
     whole = ends - begins >= length
     np.add.at(steps, begins[whole], 1)
     np.add.at(steps, ends[whole] - length + 1, -1)
-    valid = np.cumsum(steps)[:n] > 0
-    at = np.flatnonzero(valid)
+    at = np.flatnonzero(np.cumsum(steps)[:n] > 0)
     if not len(at):
         return none
+    hashes = _Hashes(data)
+    if single:
+        return hashes.of(0, at, at + length), hashes.of(1, at, at + length), at, at + length
+    start = np.arange(len(data) - GRAM + 1)
+    gram = hashes.of(0, start, start + GRAM)
+    # the least hash of each window and its leftmost place, in one word
+    key = gram >> np.uint64(24) << np.uint64(24) | start.astype(np.uint64)
+    anchor = (least_in_windows(key, grams)[:n] & np.uint64((1 << 24) - 1)).astype(np.int64)
     fresh = np.r_[True, (at[1:] != at[:-1] + 1) | (anchor[at[1:]] != anchor[at[:-1]])]
     first, last = at[fresh], at[np.r_[fresh[1:], True]]
-    of = gram[anchor[first]]
-    if len(common):
-        hot = common[np.minimum(np.searchsorted(common, of), len(common) - 1)] == of
-        sizes = (last - first + 1)[hot]
-        windows = np.repeat(first[hot] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-        first, last, of = np.r_[first[~hot], windows], np.r_[last[~hot], windows], np.r_[of[~hot], hashes.of(0, windows, windows + length)]
-    return of, hashes.of(1, first, last + length), first, last + length
+    return gram[anchor[first]], hashes.of(1, first, last + length), first, last + length
 
 
-def pieces(texts: list[bytes], length: int = LENGTH) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def pieces(texts: list[bytes], length: int = LENGTH, most: int = PIECE_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Buffers of a bounded size: bytes, ends of their parts, each part's text
     and its place there. Long texts are cut so that each window is in one part."""
     parts, size = [], 0
@@ -138,9 +136,9 @@ def pieces(texts: list[bytes], length: int = LENGTH) -> Iterator[tuple[np.ndarra
         return data, np.cumsum([b - a for _, a, b in parts]), np.array([k for k, _, _ in parts]), np.array([a for _, a, _ in parts])
 
     for k, text in enumerate(texts):
-        for a in range(0, max(0, len(text) - length + 1), PIECE_BYTES - length):
-            b = min(len(text), a + PIECE_BYTES - 1)
-            if size + b - a > PIECE_BYTES and parts:
+        for a in range(0, max(0, len(text) - length + 1), most - length):
+            b = min(len(text), a + most - 1)
+            if size + b - a > most and parts:
                 yield done()
                 parts, size = [], 0
             parts.append((k, a, b))
@@ -149,195 +147,260 @@ def pieces(texts: list[bytes], length: int = LENGTH) -> Iterator[tuple[np.ndarra
         yield done()
 
 
-REMOVED, SEGMENT = 0, 1
-_ROW = "kind int, anchor long, other long, id long, tag long, start long, stop long"
-_NAMES = ["kind", "anchor", "other", "id", "tag", "start", "stop"]
+#: A place that repeats, or is, the place (a, b, origin) of id, tag and start; a
+#: segment by anchor (a) and other hash (b); such segments of an anchor that has too many.
+CLAIM, SEGMENT, MANY = 0, 1, 2
+_NAMES = ["kind", "a", "b", "id", "tag", "start", "stop", "origin"]
+_ROW = "kind int, " + ", ".join(f"{n} long" for n in _NAMES[1:])
+
 
+def _rows(*parts: tuple, names: list[str] = _NAMES) -> pa.RecordBatch:
+    """Parts of (kind, other columns) as one batch."""
+    kinds = np.concatenate([np.full(len(p[1]), p[0], np.int32) for p in parts])
+    return pa.RecordBatch.from_arrays([pa.array(kinds), *(pa.array(np.concatenate([p[k] for p in parts])) for k in range(1, len(names)))], names)
 
-def _merged(columns: list[np.ndarray]) -> list[np.ndarray]:
-    """Spans (id, tag, start, stop) with those that touch put together."""
-    key, tag, start, stop = columns
-    order = np.lexsort((start, tag, key))
-    key, tag, start, stop = (c[order] for c in (key, tag, start, stop))
-    if not len(key):
-        return [key, tag, start, stop]
-    own = np.r_[True, (key[1:] != key[:-1]) | (tag[1:] != tag[:-1])]
+
+def _merged(keys: list[np.ndarray], start: np.ndarray, stop: np.ndarray) -> list[np.ndarray]:
+    """Spans with those of equal keys that touch put together: keys, start, stop."""
+    order = np.lexsort((start, *keys[::-1]))
+    keys, start, stop = [k[order] for k in keys], start[order], stop[order]
+    if not len(start):
+        return [*keys, start, stop]
+    own = np.zeros(len(start), bool)
+    own[0] = True
+    for k in keys:
+        own[1:] |= k[1:] != k[:-1]
     group = np.cumsum(own) - 1
     # places of later groups lie beyond all of earlier ones
-    far = int(stop.max()) + 1
+    far = int(stop.max() - min(0, start.min())) + 1
     reach = np.maximum.accumulate(stop + group * far)
     fresh = own | np.r_[True, start[1:] + group[1:] * far > reach[:-1]]
-    return [key[fresh], tag[fresh], start[fresh], reach[np.r_[fresh[1:], True]] - group[fresh] * far]
-
-
-def _found(docs: DataFrame, common, length: int) -> DataFrame:
-    """Rows of ``_ROW``: segments, and spans removed by an earlier equal segment of the task."""
+    return [*(k[fresh] for k in keys), start[fresh], reach[np.r_[fresh[1:], True]] - group[fresh] * far]
+
+
+def _claims(place: list[np.ndarray], stop: np.ndarray, head: list[np.ndarray]) -> tuple:
+    """Rows of claims (of places id, tag, start, to such heads) and of their
+    heads to themselves, those that follow each other put together."""
+    key, tag, start = place
+    rid, rtag, away, key, tag, begin, end = _merged([head[0], head[1], start - head[2], key, tag], start, stop)
+    own = _merged([head[0], head[1]], head[2], head[2] + stop - start)
+    none = (CLAIM, *(np.zeros(0, np.int64) for _ in range(7)))
+    return (CLAIM, rid, rtag, key, tag, begin, end, begin - away) if len(key) else none, (CLAIM, own[0], own[1], own[0], own[1], own[2], own[3], own[2]) if len(key) else none
+
+
+class _Found:
+    """Segments of a task's texts: one of each kind, and claims of the others."""
+
+    def __init__(self, most_rows: int):
+        self.held: list[tuple[np.ndarray, ...]] = []
+        self.size, self.most = 0, most_rows
+
+    def add(self, anchor, other, key, tag, start, stop) -> Iterator[pa.RecordBatch]:
+        self.held.append((anchor, other, key, tag, start, stop))
+        self.size += len(anchor)
+        if self.size >= self.most:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if not self.size:
+            return
+        anchor, other, key, tag, start, stop = (np.concatenate([h[k] for h in self.held]) for k in range(6))
+        self.held, self.size = [], 0
+        order = np.lexsort((start, tag, key, other, anchor))
+        anchor, other, key, tag, start, stop = (c[order] for c in (anchor, other, key, tag, start, stop))
+        first = np.r_[True, (anchor[1:] != anchor[:-1]) | (other[1:] != other[:-1])]
+        head = np.flatnonzero(first)[np.cumsum(first) - 1]
+        # rows of one place (a document that occurs twice) don't repeat each other
+        later = (key != key[head]) | (tag != tag[head]) | (start != start[head])
+        of = head[later]
+        claims = _claims([key[later], tag[later], start[later]], stop[later], [key[of], tag[of], start[of]])
+        yield _rows((SEGMENT, anchor[first].view(np.int64), other[first].view(np.int64), key[first], tag[first], start[first], stop[first], np.zeros(int(first.sum()), np.int64)), *claims)
+
+
+def _found(docs: DataFrame, length: int) -> DataFrame:
+    """Rows of ``_ROW``: segments, and claims on earlier ones of the task."""
 
     def run(batches):
-        held: list[tuple[np.ndarray, ...]] = []
-        size = 0
-
-        def flush():
-            anchor, other, key, tag, start, stop = (np.concatenate([h[k] for h in held]) for k in range(6))
-            order = np.lexsort((start, tag, key, other, anchor))
-            anchor, other, key, tag, start, stop = (c[order] for c in (anchor, other, key, tag, start, stop))
-            first = np.r_[True, (anchor[1:] != anchor[:-1]) | (other[1:] != other[:-1])]
-            # rows of one place (a document that occurs twice) don't repeat each other
-            group = np.cumsum(first) - 1
-            head = np.flatnonzero(first)[group]
-            later = (key != key[head]) | (tag != tag[head]) | (start != start[head])
-            spans = _merged([c[later] for c in (key, tag, start, stop)])
-            n, m = int(first.sum()), len(spans[0])
-            # removed spans pass through the exchange under keys that spread
-            spread = mix(spans[0].view(np.uint64) + spans[2].astype(np.uint64))
-            columns = [np.r_[np.full(n, SEGMENT, np.int32), np.full(m, REMOVED, np.int32)], np.r_[anchor[first], spread].view(np.int64), np.r_[other[first], np.zeros(m, np.uint64)].view(np.int64)]
-            columns += [np.r_[c[first], s] for c, s in zip((key, tag, start, stop), spans)]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], _NAMES)
-
+        found = _Found(FLUSH_ROWS)
         for batch in slices(batches, "text", 2 * PIECE_BYTES):
             ids = batch.column("id").to_numpy()
             texts = [t.encode("utf-8", "surrogatepass") for t in strings(batch, "text")]
             tags = np.array([zlib.crc32(t) for t in texts], np.int64)
-            for data, ends, of, begins in pieces(texts, length):
-                anchor, other, first, stop = segments(data, ends, common.value, length)
+            for data, ends, of, begins in pieces(texts, length, PIECE_BYTES):
+                anchor, other, first, stop = segments(data, ends, length)
                 part = np.searchsorted(ends, first, side="right")
                 shift = begins[part] - np.r_[0, ends[:-1]][part]
-                held.append((anchor, other, ids[of[part]], tags[of[part]], first + shift, stop + shift))
-                size += len(anchor)
-                if size >= FLUSH_ROWS:
-                    yield flush()
-                    held, size = [], 0
-        if held:
-            yield flush()
+                yield from found.add(anchor, other, ids[of[part]], tags[of[part]], first + shift, stop + shift)
+        yield from found.flush()
 
     return docs.mapInArrow(run, _ROW)
 
 
-def _crowded_anchors(docs: DataFrame, common, length: int) -> np.ndarray:
-    """Anchors of more different segments over all texts than one task should
-    get, without those that are known. Equal segments count once, wherever they are."""
-
-    def run(batches):
-        held, size = [], 0
-
-        def flush():
-            both = np.unique(np.concatenate(held), axis=0).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(both[:, k]) for k in (0, 1)], ["anchor", "other"])
-
-        for batch in slices(batches, "text", 2 * PIECE_BYTES):
-            texts = [t.encode("utf-8", "surrogatepass") for t in strings(batch, "text")]
-            for data, ends, _, _ in pieces(texts, length):
-                anchor, other = segments(data, ends, np.zeros(0, np.uint64), length)[:2]
-                some = other % np.uint64(COUNTED) == 0
-                held.append(np.stack([anchor[some], other[some]], axis=1))
-                size += len(held[-1])
-                if size >= FLUSH_ROWS:
-                    yield flush()
-                    held, size = [], 0
-        if held:
-            yield flush()
-
-    counted = docs.select("text").mapInArrow(run, "anchor long, other long").distinct().groupBy("anchor").count()
-    # at most one anchor for CROWDED x COUNTED segments
-    found = counted.where(F.col("count") >= CROWDED).select("anchor").toArrow().column(0).to_numpy().view(np.uint64)
-    return np.union1d(common, found)
-
-
-def _common_anchors(docs: DataFrame, length: int) -> np.ndarray:
-    """Those a sample shows, and those that the count over all texts adds."""
-    return _crowded_anchors(docs, _sampled_anchors(docs, length), length)
-
-
-def _sampled_anchors(docs: DataFrame, length: int) -> np.ndarray:
-    """Anchors of many different segments in the heads of a few texts; only as
-    many partitions are read as have them."""
-    rows = docs.select(F.substring("text", 1, SAMPLE_CHARS).alias("text")).limit(SAMPLE_ROWS).collect()
-    texts = [(r["text"] or "").encode("utf-8", "surrogatepass") for r in rows]
-    none = np.zeros(0, np.uint64)
-    found = [segments(data, ends, none, length)[:2] for data, ends, _, _ in pieces(texts, length)]
-    if not found:
-        return none
-    both = np.unique(np.stack([np.concatenate([f[k] for f in found]) for k in (0, 1)], axis=1), axis=0)
-    anchors, n = np.unique(both[:, 0], return_counts=True)
-    common = np.flatnonzero(n >= COMMON_SEGMENTS)
-    return np.sort(anchors[common[np.argsort(-n[common], kind="stable")[:MOST_COMMON]]])
-
-
 def _met(found: DataFrame) -> DataFrame:
-    """By anchor: spans removed by an equal segment of another task, and the
-    earliest of each of several different segments of an anchor."""
+    """By anchor: claims of segments on the earliest of their kind, and one
+    segment of each kind where an anchor has several. The stream is in order of
+    anchor and kind; of the last ones only the earliest place, a count, and at
+    most ``CROWDED`` segments are held. ``salt`` numbers shards of copies."""
+    names = [*_NAMES, "salt"]
 
     def run(batches):
-        # of the last segment: anchor, other, id, tag and start of its earliest
-        # place and its stop, and whether its anchor is known to have several
-        last: list[np.ndarray] | None = None
-        several = False
+        last: list[np.ndarray] | None = None  # a, b, id, tag, start, stop of the last segment's kind: its earliest
+        nth = 0  # rows of that kind before
+        waiting: list[list[np.ndarray]] = []  # one segment of each kind of the last anchor
+        crowded = False
+
+        def segments_of(rows: list[np.ndarray], kind: int):
+            a, _, key, tag, start, stop = rows
+            zero = np.zeros(len(a), np.int64)
+            return (kind, a, zero, key, tag, start, stop, zero, zero)
 
         def judge(rows: list[np.ndarray]):
-            nonlocal last, several
-            kind, anchor, key, tag, start, stop = (rows[k] for k in (0, 1, 3, 4, 5, 6))
-            spans = kind == REMOVED
-            seg = [c[~spans] for c in rows[1:]]
-            out = [[c[spans] for c in (anchor, key, tag, start, stop)]]
-            kinds = [np.full(int(spans.sum()), REMOVED, np.int32)]
-            if len(seg[0]):
-                known = last is not None
-                if known:
-                    seg = [np.concatenate(x) for x in zip(last, seg)]
-                a, o, *place = seg
-                fresh_anchor = np.r_[True, a[1:] != a[:-1]]
-                first = fresh_anchor | np.r_[True, o[1:] != o[:-1]]
-                head = np.flatnonzero(first)[np.cumsum(first) - 1]
-                later = (place[0] != place[0][head]) | (place[1] != place[1][head]) | (place[2] != place[2][head])
-                group = np.cumsum(fresh_anchor) - 1
-                different = np.add.reduceat(first.astype(np.int64), np.flatnonzero(fresh_anchor))
-                many = different > 1
-                asked = first & many[group]
-                if known and several:
-                    many[0] = True
-                    asked = first & many[group]
-                    asked[0] = False  # it has been
-                out += [[c[x] for c in (a, *place)] for x in (later, asked)]
-                kinds += [np.full(int(later.sum()), REMOVED, np.int32), np.full(int(asked.sum()), SEGMENT, np.int32)]
-                last, several = [c[head[-1:]] for c in seg], bool(many[-1])
-            columns = [np.concatenate(kinds), *(np.concatenate(x) for x in zip(*out))]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["kind", "anchor", "id", "tag", "start", "stop"])
+            nonlocal last, nth, waiting, crowded
+            kind, a, b, key, tag, start, stop, origin = rows
+            claims = kind == CLAIM
+            out = [(CLAIM, *(c[claims] for c in (a, b, key, tag, start, stop, origin)), np.zeros(int(claims.sum()), np.int64))]
+            seg = [c[~claims] for c in (a, b, key, tag, start, stop)]
+            if not len(seg[0]):
+                return _rows(*out, names=names)
+            known = last is not None
+            if known:
+                seg = [np.concatenate(x) for x in zip(last, seg)]
+            a, b, key, tag, start, stop = seg
+            fresh = np.r_[True, a[1:] != a[:-1]]
+            first = fresh | np.r_[True, b[1:] != b[:-1]]
+            heads = np.flatnonzero(first)
+            head = heads[np.cumsum(first) - 1]
+            count = np.arange(len(a)) - head
+            if known:  # the first kind goes on
+                count[: heads[1] if len(heads) > 1 else len(a)] += nth
+            later = (key != key[head]) | (tag != tag[head]) | (start != start[head])
+            salt, of = count[later] // SALTED, head[later]
+            out.append((CLAIM, key[of], tag[of], key[later], tag[later], start[later], stop[later], start[of], salt))
+            # the earliest itself, once for each shard of its copies
+            shards = np.ones(len(of), bool)
+            shards[1:] = (of[1:] != of[:-1]) | (salt[1:] != salt[:-1])
+            of, salt = of[shards], salt[shards]
+            out.append((CLAIM, key[of], tag[of], key[of], tag[of], start[of], stop[of], start[of], salt))
+            last, nth = [c[head[-1:]] for c in seg], int(count[-1])
+            # segments of several kinds: of whole anchors at once, of the last as it goes on
+            if known:
+                heads = heads[1:]
+            if len(heads):
+                group = np.cumsum(fresh)[heads]
+                goes_on = known & (group == 1)
+                ended = group < group[-1]
+                if (waiting or crowded) and not goes_on.all():
+                    mine = [c[heads[goes_on]] for c in seg]
+                    out += wait(mine)
+                    out += done()
+                    heads, group, ended, goes_on = heads[~goes_on], group[~goes_on], ended[~goes_on], goes_on[~goes_on]
+                if len(heads):
+                    kinds = np.bincount(group)[group]
+                    some = ended & (kinds > 1)
+                    for which, k in ((some & (kinds <= CROWDED), SEGMENT), (some & (kinds > CROWDED), MANY)):
+                        out.append(segments_of([c[heads[which]] for c in seg], k))
+                    out += wait([c[heads[~ended]] for c in seg])
+            return _rows(*out, names=names)
+
+        def wait(rows: list[np.ndarray]):
+            nonlocal waiting, crowded
+            if len(rows[0]):
+                waiting.append(rows)
+            if crowded or sum(len(w[0]) for w in waiting) > CROWDED:
+                crowded = True
+                out = [segments_of(w, MANY) for w in waiting]
+                waiting = []
+                return out
+            return []
+
+        def done():
+            """The last anchor has ended."""
+            nonlocal waiting, crowded
+            several = sum(len(w[0]) for w in waiting) > 1
+            out = [segments_of(w, SEGMENT) for w in waiting] if several else []
+            waiting, crowded = [], False
+            return out
 
         for batch in batches:
             if batch.num_rows:
                 yield judge([batch.column(c).to_numpy() for c in _NAMES])
+        if some := done():
+            yield _rows(*some, names=names)
 
-    ordered = found.repartition(F.col("anchor")).sortWithinPartitions("anchor", "other", "id", "tag", "start")
-    return ordered.mapInArrow(run, "kind int, anchor long, id long, tag long, start long, stop long")
+    ordered = found.repartition(F.col("a")).sortWithinPartitions("a", "b", "id", "tag", "start")
+    return ordered.mapInArrow(run, f"{_ROW}, salt long")
 
 
-def equal_windows(parts: list[tuple[int, int, int, bytes]], length: int = LENGTH) -> list[tuple[int, int, int, int]]:
-    """parts: id, tag, place in the text, bytes. Spans (id, tag, start, stop) of
-    the windows of one shard that also start earlier."""
-    raw = b"\0".join(p[3] for p in parts)
-    sizes = np.array([len(p[3]) for p in parts])
+def equal_windows(ids: np.ndarray, tags: np.ndarray, starts: np.ndarray, parts: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
+    """Parts of texts: id, tag, place in the text, bytes. Spans (id, tag, start,
+    stop) of the windows of one shard that also start earlier."""
+    raw = b"\0".join(parts)
+    sizes = np.array([len(p) for p in parts])
     ends = np.cumsum(sizes + 1)
-    t = np.frombuffer(raw, np.uint8).astype(np.int64) + 2
-    t[ends[:-1] - 1] = 1
-    t = np.r_[t, 0]
+    t = np.zeros(len(raw) + 2, np.int64)
+    t[: len(raw)] = np.frombuffer(raw, np.uint8)
+    t[: len(raw)] += 2
+    t[ends - 1] = 1  # after each part, the last one too
     order = suffix_array(t, 258)
-    shared = permuted_common_prefixes(t, order)
+    shared = permuted_common_prefixes(t, order, length)
     part = np.repeat(np.arange(len(parts)), sizes + 1)
+    part = np.r_[part, len(parts) - 1]
     left = ends[part] - 1 - np.arange(len(part))  # bytes up to the part's end
     fits = order[left[order] >= length]
     # equal windows are neighbours in the array; a neighbour left out has no window
     joined = np.r_[False, (np.minimum(shared, left)[fits[1:]] >= length)][: len(fits)]
     if not joined.any():
-        return []
-    documents = sorted({p[:2] for p in parts})
-    rank = {d: k for k, d in enumerate(documents)}
-    place = np.array([rank[p[:2]] for p in parts])[part[fits]] << 40 | np.array([p[2] for p in parts])[part[fits]] + fits - (ends - sizes - 1)[part[fits]]
+        return [np.zeros(0, np.int64)] * 4
+    ranked = np.lexsort((tags, ids))
+    fresh = np.r_[False, (ids[ranked][1:] != ids[ranked][:-1]) | (tags[ranked][1:] != tags[ranked][:-1])]
+    document = np.empty(len(ids), np.int64)
+    document[ranked] = np.cumsum(fresh)
+    place = (document << 40 | starts)[part[fits]] + fits - (ends - sizes - 1)[part[fits]]
     heads = np.flatnonzero(~joined)
     least = np.minimum.reduceat(place, heads)[np.cumsum(~joined) - 1]
-    later = place[place > least]
-    doc, start = later >> 40, later & ((1 << 40) - 1)
-    ids, tags = np.array([d[0] for d in documents])[doc], np.array([d[1] for d in documents])[doc]
-    return list(zip(*(c.tolist() for c in _merged([ids, tags, start, start + length]))))
+    later = place > least
+    of, start = part[fits[later]], place[later] & ((1 << 40) - 1)
+    return _merged([ids[of], tags[of]], start, start + length)
+
+
+def _flat(batch: pa.RecordBatch, texts: list[bytes]) -> dict[str, np.ndarray]:
+    """What is wanted of a batch's texts, a row each, ``row`` first; what is of
+    another text of the id is left out."""
+    wanted = batch.column("wanted")
+    rows = np.repeat(np.arange(len(wanted)), pa.compute.list_value_length(wanted).to_numpy())
+    flat = wanted.flatten()
+    out = {"row": rows} | {f.name: flat.field(k).to_numpy() for k, f in enumerate(flat.type)}
+    tags = np.array([zlib.crc32(t) for t in texts], np.int64)
+    own = out["tag"] == tags[rows]
+    return {n: c[own] for n, c in out.items()}
+
+
+def _gathered(docs: DataFrame, asked: DataFrame, columns: list[str]) -> DataFrame:
+    """Texts with what is wanted of them; as much as a text has segments."""
+    wanted = asked.groupBy("id").agg(F.collect_list(F.struct(*columns)).alias("wanted"))
+    # always dealt by id: at any size the plan is the same, and the exchange of
+    # the texts serves the last join too
+    return docs.join(wanted.hint("merge"), "id")
+
+
+def _single(docs: DataFrame, many: DataFrame, length: int) -> DataFrame:
+    """Rows of ``_ROW`` for each window of segments whose anchors are crowded."""
+
+    def run(batches):
+        found = _Found(FLUSH_ROWS)
+        for batch in slices(batches, "text", PIECE_BYTES):
+            ids, texts = batch.column("id").to_numpy(), [t.encode("utf-8", "surrogatepass") for t in strings(batch, "text")]
+            w = _flat(batch, texts)
+            row, tag, start, stop = _merged([w["row"], w["tag"]], w["start"], w["stop"])
+            parts = [texts[r][a:b] for r, a, b in zip(row.tolist(), start.tolist(), stop.tolist())]
+            for data, ends, of, begins in pieces(parts, length, PIECE_BYTES):
+                anchor, other, first, last = segments(data, ends, length, single=True)
+                part = np.searchsorted(ends, first, side="right")
+                shift = begins[part] - np.r_[0, ends[:-1]][part] + start[of[part]]
+                yield from found.add(anchor, other, ids[row[of[part]]], tag[of[part]], first + shift, last + shift)
+        yield from found.flush()
+
+    return _gathered(docs, many, ["tag", "start", "stop"]).mapInArrow(run, _ROW)
 
 
 def _sharded(docs: DataFrame, asked: DataFrame, length: int) -> DataFrame:
@@ -345,38 +408,58 @@ def _sharded(docs: DataFrame, asked: DataFrame, length: int) -> DataFrame:
 
     def fetch(batches):
         for batch in slices(batches, "text", PIECE_BYTES):
-            out = []
-            for key, text, wanted in zip(batch.column("id").to_pylist(), strings(batch, "text"), batch.column("wanted").to_pylist()):
-                raw = text.encode("utf-8", "surrogatepass")
-                tag = zlib.crc32(raw)
-                out += [(w["anchor"], key, tag, w["start"], raw[w["start"] : w["stop"]]) for w in wanted if w["tag"] == tag]
-            columns = list(zip(*out)) if out else [[]] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["anchor", "id", "tag", "start", "bytes"])
+            ids, texts = batch.column("id").to_numpy(), [t.encode("utf-8", "surrogatepass") for t in strings(batch, "text")]
+            w = _flat(batch, texts)
+            claim = w["kind"] == CLAIM
+            row, tag, a, b, salt, away, start, stop = _merged([w[n][claim] for n in ("row", "tag", "a", "b", "salt")] + [(w["start"] - w["origin"])[claim]], w["start"][claim], w["stop"][claim])
+            # by the windows' places in the claimed text, in chunks
+            first, last = (start - away) // CHUNK_BYTES, np.maximum(start, stop - length) - away
+            n = last // CHUNK_BYTES - first + 1
+            piece = np.repeat(np.arange(len(row)), n)
+            chunk = first[piece] + np.arange(len(piece)) - np.repeat(np.cumsum(n) - n, n)
+            begin = np.maximum(start[piece], chunk * CHUNK_BYTES + away[piece])
+            end = np.minimum(stop[piece], (chunk + 1) * CHUNK_BYTES + length - 1 + away[piece])
+            row, tag, a, b, salt, away = (c[piece] for c in (row, tag, a, b, salt, away))
+            head = (ids[row] == a) & (tag == b) & (away == 0)
+            route = np.full(len(row), 1, np.uint64)
+            for c in (a, b, salt, chunk):
+                route = mix(route ^ c.view(np.uint64)) + np.uint64(1)
+            other = [w[n][~claim] for n in ("row", "tag", "start", "stop", "a")]
+            row, tag, begin, end = (np.r_[x, y] for x, y in zip((row, tag, begin, end), other))
+            route = np.r_[route.view(np.int64), mix(other[4].view(np.uint64)).view(np.int64)]
+            rest = np.r_[~head, np.ones(len(other[0]), bool)]
+            raw = [texts[r][x:y] for r, x, y in zip(row.tolist(), begin.tolist(), end.tolist())]
+            arrays = [pa.array(route), pa.array(rest.astype(np.int32)), pa.array(ids[row]), pa.array(tag), pa.array(begin), pa.array(raw, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["route", "rest", "id", "tag", "start", "bytes"])
 
     def run(batches):
-        held, size, own = [], 0, None
+        held: list[tuple[int, int, int, bytes]] = []
+        size, own, heads = 0, None, []  # heads: the claimed text of the route that goes on
 
         def spans():
-            found = equal_windows(held, length)
-            return pa.RecordBatch.from_arrays([pa.array([s[k] for s in found], pa.int64()) for k in range(4)], ["id", "tag", "start", "stop"])
+            ids, tags, starts, parts = zip(*held)
+            found = equal_windows(np.array(ids, np.int64), np.array(tags, np.int64), np.array(starts, np.int64), parts, length)
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["id", "tag", "start", "stop"])
 
         for batch in slices(batches, "bytes", SHARD_BYTES):
-            for anchor, *part in zip(*(batch.column(c).to_pylist() for c in ("anchor", "id", "tag", "start", "bytes"))):
-                if anchor != own and size >= SHARD_BYTES:
+            for route, rest, *part in zip(*(batch.column(c).to_pylist() for c in ("route", "rest", "id", "tag", "start", "bytes"))):
+                if size >= SHARD_BYTES and (route != own or heads):
                     yield spans()
-                    held, size = [], 0
-                own = anchor
-                held.append(tuple(part))
+                    # the texts that more copies of the route are held against
+                    held = heads[:] if route == own else []
+                    size = sum(len(h[3]) for h in held)
+                if route != own:
+                    own, heads = route, []
+                part = tuple(part)
+                if not rest:
+                    heads.append(part)
+                held.append(part)
                 size += len(part[3])
         if held:
             yield spans()
 
-    wanted = asked.groupBy("id").agg(F.collect_list(F.struct("anchor", "tag", "start", "stop")).alias("wanted"))
-    # always dealt by id: at any size the plan is the same, and the exchange of
-    # the texts serves the last join too
-    fetched = docs.join(wanted.hint("merge"), "id").mapInArrow(fetch, "anchor long, id long, tag long, start long, bytes binary")
-    shards = fetched.distinct().repartition(F.col("anchor")).sortWithinPartitions("anchor")
+    fetched = _gathered(docs, asked, ["kind", "tag", "start", "stop", "a", "b", "origin", "salt"]).mapInArrow(fetch, "route long, rest int, id long, tag long, start long, bytes binary")
+    shards = fetched.repartition(F.col("route")).sortWithinPartitions("route", "rest", "id", "tag", "start")
     return shards.mapInArrow(run, "id long, tag long, start long, stop long")
 
 
@@ -385,10 +468,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     tag is the checksum of the text that a span is of."""
     small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
-    common = docs.sparkSession.sparkContext.broadcast(_common_anchors(texts, length))
-    met = materialize(_met(_found(texts, common, length)), "segments")
-    span = ["id", "tag", "start", "stop"]
-    return met.where(F.col("kind") == REMOVED).select(*span).unionByName(_sharded(texts, met.where(F.col("kind") == SEGMENT), length))
+    met = materialize(_met(_found(texts, length)), "segments")
+    many = met.where(F.col("kind") == MANY)
+    asked = met.where(F.col("kind") != MANY)
+    if many.limit(1).count():  # else there is nothing to look at window by window
+        asked = asked.unionByName(materialize(_met(_single(texts, many, length)), "windows"))
+    return _sharded(texts, asked, length)
 
 
 def cut(raw: bytes, spans: list[tuple[int, int]], characters: bool = False) -> tuple[bytes, int, int]:

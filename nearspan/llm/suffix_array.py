@@ -2,107 +2,144 @@
 
 Suffixes are classified as smaller or larger than their successors. The leftmost
 smaller ones are sorted by their substrings, which are named; if names repeat,
-the string of names is sorted recursively. The order of all suffixes is then
-induced in two linear sweeps, one bucket of first symbols at a time: what a
-bucket's suffixes induce is a stable grouping by symbol, so a sweep is a few
-array operations for each symbol.
+the string of names is sorted recursively, at most half as long. The order of
+all suffixes is then induced in two linear sweeps over the buckets of first
+symbols. What some buckets' suffixes induce is a stable grouping by symbol; a
+step of a sweep takes as many buckets as induce nothing into each other, so
+that alphabets of many names take few steps too.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Alphabets up to this size are swept by bucket; larger ones, of names, are
-#: sorted by doubling their ranks, the bottom of the recursion.
-MOST_BUCKETS = 600
-
-
-def _doubled(names: np.ndarray) -> np.ndarray:
-    """Suffix array of a string whose last symbol is its unique least."""
-    n, rank, step = len(names), names.astype(np.int64), 1
-    while True:
-        after = np.full(n, -1, np.int64)
-        after[: n - step] = rank[step:]
-        key = rank * (int(rank.max()) + 2) + after + 1
-        order = np.argsort(key, kind="stable")
-        fresh = np.r_[0, (key[order][1:] != key[order][:-1]).astype(np.int64)]
-        ranked = np.cumsum(fresh)
-        if ranked[-1] == n - 1:
-            return order
-        rank = np.empty(n, np.int64)
-        rank[order] = ranked
-        step *= 2
+#: Suffixes that a step of a sweep takes at first, and at most.
+STEP, MOST_STEP = 256, 1 << 16
 
 
 def _place(order: np.ndarray, symbols: np.ndarray, fill: np.ndarray, into: np.ndarray, down: bool) -> None:
     """Appends ``order``, grouped by symbol and otherwise as it is, to the
     buckets: upwards from ``fill``, or downwards to it."""
-    if not len(order):
+    n = len(order)
+    if not n:
         return
     grouped = np.argsort(symbols, kind="stable")
-    sizes = np.bincount(symbols, minlength=len(fill))
-    starts = np.cumsum(sizes) - sizes
     by = symbols[grouped]
-    nth = np.arange(len(order)) - starts[by]
+    heads = np.flatnonzero(by[1:] != by[:-1]) + 1
+    nth = np.arange(n)
+    if len(heads):
+        sizes = np.empty(len(heads) + 1, np.int64)
+        sizes[0], sizes[-1], sizes[1:-1] = heads[0], n - heads[-1], heads[1:] - heads[:-1]
+        nth[heads[0] :] -= np.repeat(heads, sizes[1:])
+        first = np.empty(len(sizes), by.dtype)
+        first[0], first[1:] = by[0], by[heads]
+    else:
+        sizes, first = n, by[:1]
     if down:
         into[fill[by] - 1 - nth] = order[grouped]
-        fill -= sizes
+        fill[first] -= sizes
     else:
         into[fill[by] + nth] = order[grouped]
-        fill += sizes
+        fill[first] += sizes
+
+
+def _sweep(t: np.ndarray, found: np.ndarray, induced: np.ndarray, sizes: np.ndarray, down: bool) -> None:
+    """One sweep over ``found`` (-1: not yet known), upwards or downwards. The
+    suffix before each one that is met, if it is ``induced``, goes to the next
+    free place of its bucket, from the bucket's beginning or end."""
+    n, ends = len(t), np.cumsum(sizes)
+    heads = ends - sizes
+    fill = ends.copy() if down else heads.copy()
+    symbols = np.repeat(np.arange(len(sizes), dtype=t.dtype), sizes)  # by place in the array
+
+    def before(part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.flatnonzero(part > 0)
+        prior = part[at] - 1
+        some = induced[prior]
+        return prior[some], at[some]
+
+    def one(c: int) -> None:
+        """A bucket that induces into itself."""
+        done = ends[c] if down else heads[c]
+        while done != fill[c]:
+            part = found[fill[c] : done][::-1] if down else found[done : fill[c]]
+            done = int(fill[c])
+            prior, _ = before(part)
+            _place(prior, t[prior], fill, found, down)
+        prior, _ = before(found[heads[c] : done][::-1] if down else found[done : ends[c]])
+        _place(prior, t[prior], fill, found, down)
+
+    step, at = STEP, n if down else 0
+    while at > 0 if down else at < n:
+        if down:
+            c = int(symbols[at - 1])
+            last = int(symbols[max(0, at - step)])
+            to = int(heads[last])
+            prior, places = before(found[to:at][::-1])
+        else:
+            c = int(symbols[at])
+            last = int(symbols[min(n, at + step) - 1])
+            to = int(ends[last])
+            prior, places = before(found[at:to])
+        goal = t[prior]
+        nearest = int(goal.max() if down else goal.min()) if len(prior) else -1
+        if not len(prior) or (nearest < last if down else nearest > last):
+            _place(prior, goal, fill, found, down)
+            at, step = to, min(2 * step, MOST_STEP)
+        elif nearest != c:  # buckets up to the first that something goes to are whole
+            own = symbols[at - 1 - places] if down else symbols[at + places]
+            some = own > nearest if down else own < nearest
+            _place(prior[some], goal[some], fill, found, down)
+            stop = int(ends[nearest]) if down else int(heads[nearest])
+            step = max(16, 2 * abs(stop - at))
+            at = stop
+        else:
+            one(c)
+            at = int(heads[c]) if down else int(ends[c])
 
 
 def _induce(t: np.ndarray, smaller: np.ndarray, least: np.ndarray, buckets: int) -> np.ndarray:
     """The suffix array that the leftmost smaller suffixes, in order, induce."""
     n = len(t)
     sizes = np.bincount(t, minlength=buckets)
-    ends = np.cumsum(sizes)
-    heads = ends - sizes
     found = np.full(n, -1, np.int64)
-    tails = ends.copy()
-    _place(least[::-1], t[least[::-1]], tails, found, True)
-    fill = heads.copy()
-    for c in range(buckets):
-        if not sizes[c]:
-            continue
-        at = heads[c]
-        while at < fill[c]:
-            part, at = found[at : fill[c]], fill[c]
-            before = part[part > 0] - 1
-            before = before[~smaller[before]]
-            _place(before, t[before], fill, found, False)
-        before = found[tails[c] : ends[c]] - 1
-        before = before[before >= 0]
-        _place(before, t[before], fill, found, False)
-    fall = ends.copy()
-    for c in range(buckets - 1, -1, -1):
-        if not sizes[c]:
-            continue
-        at = ends[c]
-        while at > fall[c]:
-            part, at = found[fall[c] : at][::-1], fall[c]
-            before = part[part > 0] - 1
-            before = before[smaller[before]]
-            _place(before, t[before], fall, found, True)
-        part = found[heads[c] : fill[c]][::-1]
-        before = part[part > 0] - 1
-        before = before[smaller[before]]
-        _place(before, t[before], fall, found, True)
+    seeds = least[::-1]
+    _place(seeds, t[seeds], np.cumsum(sizes), found, True)
+    _sweep(t, found, ~smaller, sizes, False)
+    found[smaller[found] & (found >= 0)] = -1  # these are placed anew
+    found[0] = n - 1
+    _sweep(t, found, smaller, sizes, True)
     found[0] = n - 1
     return found
 
 
+def _smaller(t: np.ndarray) -> np.ndarray:
+    """Whether each suffix is smaller than the next; the last one, the least symbol, is."""
+    n = len(t)
+    smaller = np.ones(n, bool)
+    if n > 1:
+        differs = np.flatnonzero(t[:-1] != t[1:])
+        # a suffix compares to the next as the first unequal pair of symbols does
+        runs = np.diff(np.r_[-1, differs])
+        smaller[:-1] = np.repeat((t[:-1] < t[1:])[differs], runs)
+    return smaller
+
+
+def _leftmost(smaller: np.ndarray) -> np.ndarray:
+    leftmost = np.zeros(len(smaller), bool)
+    leftmost[1:] = smaller[1:] & ~smaller[:-1]
+    return leftmost
+
+
 def suffix_array(t: np.ndarray, buckets: int) -> np.ndarray:
     """Suffix array of symbols below ``buckets`` whose last is 0 and the only 0."""
     n = len(t)
     if n == 1:
         return np.zeros(1, np.int64)
-    differs = np.flatnonzero(t[:-1] != t[1:])
-    # a suffix compares to the next as the first unequal pair of symbols does
-    smaller = np.ones(n, bool)
-    smaller[:-1] = (t[:-1] < t[1:])[differs[np.searchsorted(differs, np.arange(n - 1))]]
-    leftmost = np.zeros(n, bool)
-    leftmost[1:] = smaller[1:] & ~smaller[:-1]
+    if buckets <= 1 << 16:
+        t = t.astype(np.uint16)  # short symbols are grouped by radix
+    smaller = _smaller(t)
+    leftmost = _leftmost(smaller)
     places = np.flatnonzero(leftmost)
     found = _induce(t, smaller, places, buckets)
     order = found[leftmost[found]]
@@ -122,14 +159,13 @@ def suffix_array(t: np.ndarray, buckets: int) -> np.ndarray:
     names = named[places]
     kinds = int(names.max()) + 1
     if kinds < len(names):
-        inner = suffix_array(names, kinds) if kinds <= MOST_BUCKETS else _doubled(names)
-        order = places[inner]
+        order = places[suffix_array(names, kinds)]
     return _induce(t, smaller, order, buckets)
 
 
-def permuted_common_prefixes(t: np.ndarray, order: np.ndarray, sampled: int = 8) -> np.ndarray:
+def permuted_common_prefixes(t: np.ndarray, order: np.ndarray, most: int | None = None, sampled: int = 8) -> np.ndarray:
     """For each place of ``t``, how many symbols (bytes here) its suffix shares
-    with the one before it in ``order``. Sampled places come first; a place
+    with the one before it in ``order``; from ``most`` on, at least ``most``. Sampled places come first; a place
     shares at most one symbol less than the place before it, so the others start
     from what is left of their sampled neighbour's."""
     n = len(t)
@@ -154,6 +190,8 @@ def permuted_common_prefixes(t: np.ndarray, order: np.ndarray, sampled: int = 8)
             shared[part] += np.where(x & np.uint64(0xFFFF), 0, np.where(x & np.uint64(0xFFFF0000), 1, np.where(x & np.uint64(0xFFFF00000000), 2, 3)))
             active = active[whole]
             shared[active] += 4
+            if most is not None:
+                active = active[shared[active] < most]
         return shared
 
     out = np.zeros(n, np.int64)

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import zlib
 
 import pytest
 
@@ -58,11 +59,10 @@ def test_passages(spark, passages):
     assert judged(spark.createDataFrame(passages, "doc_id long, text string").repartition(5)) == brute(passages)
 
 
-def test_small_pieces_and_common_anchors(spark, passages, monkeypatch):
-    monkeypatch.setattr(repeats, "PIECE_BYTES", 1000)
-    monkeypatch.setattr(repeats, "FLUSH_ROWS", 50)
-    monkeypatch.setattr(repeats, "SHARD_BYTES", 2000)
-    monkeypatch.setattr(repeats, "COMMON_SEGMENTS", 3)
+@pytest.mark.parametrize("crowded", [2, 50])
+def test_small_bounds(spark, passages, monkeypatch, crowded):
+    for name, value in {"PIECE_BYTES": 1000, "FLUSH_ROWS": 50, "SHARD_BYTES": 2000, "CHUNK_BYTES": 64, "SALTED": 3, "CROWDED": crowded}.items():
+        monkeypatch.setattr(repeats, name, value)
     assert judged(spark.createDataFrame(passages, "doc_id long, text string").repartition(5)) == brute(passages)
 
 
@@ -84,30 +84,56 @@ def test_cut():
     assert repeats.cut("aéb".encode(), [(2, 4)], characters=True) == ("aé".encode(), 1, 1)
 
 
-def test_common_passage_in_later_rows(spark, monkeypatch):
-    """No anchor brings many segments together, wherever its passage is."""
+def test_crowded_anchors_and_many_copies(spark, monkeypatch):
+    """No anchor and no claimed text brings a shard much together."""
     from pyspark.sql import functions as F
 
-    monkeypatch.setattr(repeats, "SAMPLE_ROWS", 10)
-    monkeypatch.setattr(repeats, "COUNTED", 1, raising=False)
-    monkeypatch.setattr(repeats, "CROWDED", 8, raising=False)
+    monkeypatch.setattr(repeats, "CROWDED", 8)
+    monkeypatch.setattr(repeats, "SALTED", 10)
+    monkeypatch.setattr(repeats, "FLUSH_ROWS", 40)
     r = random.Random(6)
     prose = lambda n: " ".join("".join(r.choices("abcde", k=r.randint(2, 7))) for _ in range(n))
-    passage = prose(40)
-    rows = [(d, prose(60)) for d in range(10)] + [(10 + d, f"{prose(30)} {passage} {prose(30)}") for d in range(60)]
+    passage, copied = prose(40), prose(60)
+    rows = [(d, prose(60)) for d in range(10)] + [(10 + d, f"{prose(30)} {passage} {prose(30)}") for d in range(60)] + [(100 + d, copied) for d in range(90)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:
         texts = docs.select(F.col("doc_id").alias("id"), "text")
-        common = spark.sparkContext.broadcast(repeats._common_anchors(texts, 100))
-        met = repeats._met(repeats._found(texts, common, 100)).where(F.col("kind") == repeats.SEGMENT)
-        assert all(x["count"] < 8 for x in met.groupBy("anchor").count().collect())
+        met = repeats._met(repeats._found(texts, 100)).cache()
+        assert all(x["count"] <= 8 for x in met.where(F.col("kind") == repeats.SEGMENT).groupBy("a").count().collect())
+        many = met.where(F.col("kind") == repeats.MANY)
+        assert many.count() > 8
+        copies = met.where((F.col("kind") == repeats.CLAIM) & (F.col("id") >= 100)).groupBy("a", "b", "origin", "salt").count().collect()
+        assert copies and all(x["count"] <= 11 + 40 for x in copies)
+        windows = repeats._met(repeats._single(texts, many, 100))
+        assert {x["kind"] for x in windows.collect()} == {repeats.CLAIM}
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert judged(docs) == brute(rows)
 
 
+def test_hashes_decide_nothing(spark, passages, monkeypatch):
+    """A claim that is wrong removes no byte."""
+    rows = [(1, "the first text has a hundred bytes and more " * 4), (2, "another one of as many bytes, but others too " * 4)]
+    texts = spark.createDataFrame(rows, "id long, text string")
+    tags = {d: zlib.crc32(t.encode()) for d, t in rows}
+    claims = [(repeats.CLAIM, 1, tags[1], d, tags[d], 0, 120, 0, 0) for d in (1, 2)]
+    asked = spark.createDataFrame(claims, f"{repeats._ROW}, salt long")
+    found = repeats._sharded(texts, asked, 100).collect()
+    assert {r.id for r in found} <= {1, 2} and all(r.id == 1 or brute(rows)[2][1] for r in found)
+    want = brute([(d, t[:120]) for d, t in rows])
+    assert {r.id for r in found} == {d for d, w in want.items() if w[1]}
+
+
+def test_crowded_anchor_at_real_bounds(spark):
+    """Thousands of texts about one passage, each with other text beside it."""
+    r = random.Random(9)
+    passage = " ".join("".join(r.choices("abcdefgh", k=5)) for _ in range(18))[:104]
+    rows = [(d, f"{d:08x}{r.getrandbits(200):050x}{passage}{r.getrandbits(200):050x}") for d in range(9000)]
+    assert judged(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)) == brute(rows)
+
+
 def test_met_in_small_batches(spark, passages, monkeypatch):
     monkeypatch.setattr(repeats, "FLUSH_ROWS", 50)
     monkeypatch.setattr(repeats, "small_batches", lambda spark: None)

@@ -2,7 +2,8 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from nearspan.llm.suffix_array import _doubled, permuted_common_prefixes, suffix_array
+from nearspan.llm import suffix_array as module
+from nearspan.llm.suffix_array import permuted_common_prefixes, suffix_array
 
 
 def check(s: bytes):
@@ -10,7 +11,6 @@ def check(s: bytes):
     want = sorted(range(len(t)), key=lambda i: t[i:].tolist())
     got = suffix_array(t, 257)
     assert got.tolist() == want
-    assert _doubled(t).tolist() == want
     shared = permuted_common_prefixes(t, got)
     for a, b in zip(want, want[1:]):
         n = 0
@@ -32,3 +32,36 @@ def test_longer():
     check(bytes(rng.integers(97, 100, 1500).astype(np.uint8)))
     word = [bytes(rng.integers(97, 123, 5).astype(np.uint8)) for _ in range(30)]
     check(b" ".join(word[k] for k in rng.integers(0, 30, 300)))
+
+
+def test_many_names(monkeypatch):
+    """Steps of few and of many buckets."""
+    rng = np.random.default_rng(2)
+    monkeypatch.setattr(module, "STEP", 3)
+    word = [bytes(rng.integers(97, 123, 6).astype(np.uint8)) for _ in range(60)]
+    check(b" ".join(word[k] for k in rng.integers(0, 60, 250)))
+    check(b" ".join(word[:9]) * 25)
+    check(bytes(rng.integers(0, 256, 900).astype(np.uint8)) * 2)
+    for text in (b"abcacbabc" * 60, b"a" * 200 + b"b" + b"a" * 200):
+        check(text)
+
+
+def test_common_prefixes_up_to_a_length():
+    t = np.r_[np.frombuffer(b"abcd" * 3000, np.uint8).astype(np.int64), 0]
+    order = suffix_array(t, 257)
+    assert np.array_equal(np.minimum(permuted_common_prefixes(t, order), 100), np.minimum(permuted_common_prefixes(t, order, 100), 100))
+
+
+def test_whole_shard_of_prose():
+    """A megabyte of text that repeats, checked by neighbours' order."""
+    rng = np.random.default_rng(3)
+    word = [bytes(rng.integers(97, 123, rng.integers(2, 9)).astype(np.uint8)) for _ in range(20_000)]
+    text = b" ".join(word[k] for k in rng.zipf(1.3, 60_000) % 20_000)
+    text += text[:300_000]
+    t = np.r_[np.frombuffer(text, np.uint8).astype(np.int64) + 1, 0]
+    order = suffix_array(t, 257)
+    assert np.array_equal(np.sort(order), np.arange(len(t)))
+    rank = np.empty(len(t), np.int64)
+    rank[order] = np.arange(len(t))
+    a, b = order[:-1], order[1:]
+    assert ((t[a] < t[b]) | (t[a] == t[b]) & (np.r_[rank, -1][a + 1] < np.r_[rank, -1][b + 1])).all()
