@@ -12,11 +12,14 @@ however many: whose guess lies below the answer's last score by no more than
 ``DEVIATIONS`` of the error that its remainder makes, were it turned at random.
 
 Equal vectors of a block are coded and scored once; the smallest ids stand for
-them, as many as an answer can hold. Queries go to the blocks in groups of a
-bounded size; each block answers a group with its own best, and these are merged.
+them, as many as an answer can hold. Queries are packed, and each pack is dealt
+to every group of blocks, where it passes by the blocks held; a group answers
+with its best, and these are merged by query. Nothing of queries or answers
+passes through the driver.
 
 Vectors that are null, zero, of another length than most, or with null or
-non-finite components take no part, neither do null ids. Rows of one id are all
+non-finite components take no part, neither do null ids; queries of another
+length than the vectors have no answer. Rows of one id are all
 candidates for others, but not for a query of that id. Empty tables give none.
 """
 
@@ -24,15 +27,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, small_batches
 
 #: Codebooks and codewords of each; rows they are trained on; beam width.
 BOOKS, WORDS, SAMPLE_ROWS, BEAM = 8, 256, 8000, 4
-#: Vectors in a block, candidates reranked in each, queries broadcast at a time.
-BLOCK_ROWS, RERANKED, QUERY_ROWS = 16_384, 384, 4096
+#: Vectors and bytes of a block, candidates reranked in each at first, queries in a pack.
+BLOCK_ROWS, BLOCK_BYTES, RERANKED, QUERY_ROWS = 16_384, 16 << 20, 384, 512
 #: Deviations by which a guess may be wrong; vectors whose exact scores are computed at a time.
 DEVIATIONS, SCORED = 3.0, 4096
 
@@ -90,8 +94,11 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.where(F.size("v") == (sizes[0]["size"] if sizes else 0))
 
 
+BLOCK = "ids binary, groups binary, codes binary, ratios binary, left binary, vectors binary"
+
+
 def build_index(rows: DataFrame, k: int, books: int = BOOKS, sample_rows: int = SAMPLE_ROWS, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, np.ndarray | None]:
-    """Blocks (ids, codes, ratios, vectors as bytes) in the shared folder, and the codebooks."""
+    """Blocks (block, ids, codes, ratios, vectors as bytes) in the shared folder, and the codebooks."""
     kind = "float" if "array<float>" in rows.schema["v"].dataType.simpleString() else "double"
     word = np.dtype("<f4" if kind == "float" else "<f8")
     n = rows.count()
@@ -123,29 +130,32 @@ def build_index(rows: DataFrame, k: int, books: int = BOOKS, sample_rows: int =
         return {"ids": ids[kept].astype("<i8").tobytes(), "groups": group[kept].astype("<i4").tobytes(), "codes": codes.tobytes(), "ratios": ratio.tobytes(), "left": left.tobytes(), "vectors": matrix[fresh].astype(word).tobytes()}
 
     def run(batches):
-        ids, parts, held = [], [], 0
+        ids, parts, held, number = [], [], 0, TaskContext.get().partitionId() << 24
 
         def flush():
-            return pa.RecordBatch.from_pylist([block(np.concatenate(ids), np.concatenate(parts))])
+            return pa.RecordBatch.from_pylist([{"block": number} | block(np.concatenate(ids), np.concatenate(parts))])
 
         for batch in batches:
-            for a in range(0, batch.num_rows, block_rows):
-                some = batch.slice(a, block_rows)
-                if held + some.num_rows > block_rows:
+            own = _matrix(batch.column("v"))
+            most = max(1, min(block_rows, BLOCK_BYTES // max(1, own.itemsize * own.shape[1])))
+            for a in range(0, batch.num_rows, most):
+                some = batch.slice(a, most)
+                if held + some.num_rows > most:
                     yield flush()
-                    ids, parts, held = [], [], 0
+                    ids, parts, held, number = [], [], 0, number + 1
                 ids.append(some.column("id").to_numpy())
-                parts.append(_matrix(some.column("v")))
+                parts.append(own[a : a + most])
                 held += some.num_rows
         if held:
             yield flush()
 
-    blocks = rows.mapInArrow(run, "ids binary, groups binary, codes binary, ratios binary, left binary, vectors binary")
+    blocks = rows.mapInArrow(run, f"block long, {BLOCK}")
     return materialize(blocks, "index"), codebooks
 
 
-def search_block(row: dict, word: np.dtype, books: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, reranked: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """query, id and score of each query's best in one block."""
+def search_block(row: dict, word: np.dtype, books: np.ndarray, tables: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, reranked: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """query, id and score of each query's best in one block. tables: products
+    of queries with all codewords."""
     ids, groups = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["groups"], "<i4")
     codes = np.ascontiguousarray(np.frombuffer(row["codes"], np.uint8).reshape(-1, len(books)).T)
     ratios, left = np.frombuffer(row["ratios"], "<f4"), np.frombuffer(row["left"], "<f4")
@@ -165,7 +175,6 @@ def search_block(row: dict, word: np.dtype, books: np.ndarray, query_ids: np.nda
         other = found != query_ids[q]
         return found[other], score[other]
 
-    tables = np.einsum("qd,mwd->qmw", queries.astype(np.float32), books, optimize=True)
     for q in range(len(queries)):
         guess = tables[q, 0][codes[0]]
         for m in range(1, len(books)):
@@ -186,30 +195,54 @@ def search_block(row: dict, word: np.dtype, books: np.ndarray, query_ids: np.nda
     return tuple(np.concatenate(x) for x in (out_q, out_i, out_s))
 
 
+def _packed(asked: DataFrame, query_rows: int) -> DataFrame:
+    """Queries (ids, vectors as bytes), a bounded number a row."""
+
+    def run(batches):
+        for batch in batches:
+            ids, own = batch.column("id").to_numpy(), _matrix(batch.column("v")).astype("<f8") if batch.num_rows else None
+            for a in range(0, batch.num_rows, query_rows):
+                part = slice(a, a + query_rows)
+                yield pa.RecordBatch.from_pylist([{"ids": ids[part].astype("<i8").tobytes(), "vectors": own[part].tobytes()}])
+
+    return asked.mapInArrow(run, "ids binary, vectors binary")
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", reranked: int = RERANKED, query_rows: int = QUERY_ROWS) -> DataFrame:
     """``(query_id, rank, id, score)``: the ``k`` largest inner products found."""
     spark = vectors.sparkSession
+    small_batches(spark)
     rows = usable(vectors, id_col, vector_col)
     asked = usable(queries, id_col, vector_col).dropDuplicates(["id", "v"])
     index, books = build_index(rows, k)
     word = np.dtype("<f4" if "array<float>" in rows.schema["v"].dataType.simpleString() else "<f8")
-    schema = "query_id long, id long, score double"
-    groups = max(1, -(-asked.count() // query_rows))
-    answers = spark.createDataFrame([], schema)
-    for g in range(groups):
-        some = asked.where(F.pmod(F.xxhash64("id"), F.lit(groups)) == g).collect()
-        if not some or books is None:
-            continue
-        shared = spark.sparkContext.broadcast((books, np.array([r["id"] for r in some]), np.array([r["v"] for r in some], np.float64)))
-
-        def run(batches, shared=shared):
-            for batch in batches:
-                for row in range(batch.num_rows):
-                    own = {c: batch.column(c)[row].as_py() for c in batch.schema.names}
-                    q, i, s = search_block(own, word, *shared.value, k, reranked)
+    shared = spark.sparkContext.broadcast(books)
+    groups = max(1, index.count())
+    block = index.withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int")).withColumn("turn", F.lit(0)).drop("block")
+    packs = _packed(asked, query_rows).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).withColumn("turn", F.lit(1))
+    dealt = block.unionByName(packs, allowMissingColumns=True).repartition("group").sortWithinPartitions("group", "turn")
+
+    def run(batches):
+        own, held = None, []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["group"] != own:
+                    own, held = row["group"], []
+                if not row["turn"]:
+                    held.append(row)
+                    continue
+                if not held:
+                    continue
+                query_ids = np.frombuffer(row["ids"], "<i8")
+                asked = np.frombuffer(row["vectors"], "<f8").reshape(len(query_ids), -1)
+                if asked.shape[1] != shared.value.shape[2]:
+                    continue
+                tables = np.einsum("qd,mwd->qmw", asked.astype(np.float32), shared.value, optimize=True)
+                for b in held:
+                    q, i, s = search_block(b, word, shared.value, tables, query_ids, asked, k, reranked)
                     yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(i), pa.array(s)], ["query_id", "id", "score"])
 
-        answers = answers.unionByName(index.mapInArrow(run, schema))
+    answers = dealt.mapInArrow(run, "query_id long, id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     # the same id may be found in several blocks
     best = answers.groupBy("query_id", "id").agg(F.max("score").alias("score"))

@@ -75,6 +75,27 @@ def test_recall_of_a_full_block(spark):
     assert sum(len(set(want[q]) & got[q]) for q in want) >= 0.95 * sum(map(len, want.values()))
 
 
+@pytest.mark.parametrize("kind", ["unit", "clusters"])
+def test_recall_of_other_kinds(spark, kind):
+    """Several blocks and packs, long vectors, and vectors in tight clusters."""
+    rng = np.random.default_rng(2)
+    vectors = rng.normal(size=(6000, 256 if kind == "unit" else 48))
+    if kind == "unit":
+        vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+    else:
+        vectors = rng.normal(size=(30, 48))[rng.integers(0, 30, 6000)] + 0.1 * vectors
+    vectors = vectors.astype(np.float32)
+    ids = np.arange(len(vectors))
+    rows = spark.createDataFrame(pa.table({"vec_id": ids, "score": np.zeros(6000), "embedding": pa.array(list(vectors), pa.list_(pa.float32()))})).repartition(3)
+    asked = np.flatnonzero(ids % 60 == 0)
+    want = exact(ids, vectors.astype(np.float64), asked, 20)
+    got = {q: set() for q in want}
+    for r in ann.nearest(rows, rows.where("vec_id % 60 = 0"), k=20, query_rows=16).collect():
+        got[r.query_id].add(r.vec_id)
+    assert all(len(g) == 20 for g in got.values())
+    assert sum(len(set(want[q]) & got[q]) for q in want) >= 0.95 * sum(map(len, want.values()))
+
+
 def test_equal_vectors_and_odd_rows(spark, monkeypatch):
     rng = np.random.default_rng(0)
     rows = [(k, [1.0, 2.0, 0.5]) for k in range(200)] + [(1000 + k, rng.normal(size=3).tolist()) for k in range(50)]
