@@ -4,15 +4,17 @@ A log of events is partitioned by conversation and sorted by sequence; folding
 it gives the final messages, which are rendered by a template. Events:
 
 * ``message`` opens a message of a turn (a second one of the same turn is a
-  message of its own);
+  message of its own). If the log has a column ``message``, events of one turn
+  belong to the message that it names; else, to the turn's latest;
 * ``delta`` appends to the turn's latest message, opening one if there is none;
 * ``edit`` replaces the text of the turn's latest message;
 * ``regenerate`` clears the turn's latest message for the deltas that follow;
 * ``delete`` removes the turn's latest message.
 
 Messages are rendered by turn, within a turn in the order they were opened.
-A partition is read in order and one conversation is held at a time, so memory
-is that of the longest conversation, which has to fit in a row anyway.
+A partition is read in order, in batches of a bounded size, and one conversation
+is held at a time, so memory is that of the longest conversation, which has to
+fit in a row anyway.
 
 The template marks each turn, and strings that could be taken for marks inside
 texts and roles are escaped, reversibly. ``loss_spans`` has the code points of
@@ -20,7 +22,8 @@ the assistant's texts in the rendered string.
 
 Null texts and roles are empty; null events are ``message``; null sequences and
 turns come first; rows without a conversation id form one conversation; ties
-are ordered by turn, role and text. Empty logs give no rows.
+are ordered by turn, role and text, repeated rows are events of their own. Other
+columns of any name are not read. Empty logs give no rows.
 """
 
 from __future__ import annotations
@@ -32,12 +35,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices, small_batches
+
 START, END = "<|im_start|>", "<|im_end|>"
 #: Control strings of chat templates in use.
 CONTROLS = [START, END, "<|endoftext|>", "<|im_sep|>", "<s>", "</s>", "<<SYS>>", "<</SYS>>", "[INST]", "[/INST]"]
 _ESCAPE = re.compile("|".join([r"\\", *(f"{re.escape(c[0])}(?={re.escape(c[1:])})" for c in CONTROLS)]))
 _CODE = {"\\": "\\\\", "<": "\\l", "[": "\\b"}
 _PLAIN = {"\\\\": "\\", "\\l": "<", "\\b": "[", "\\n": "\n"}
+SLICE_BYTES = 2 << 20
 _UNESCAPE = re.compile(r"\\[\\lbn]")
 
 
@@ -49,12 +55,13 @@ def unescape(text: str) -> str:
     return _UNESCAPE.sub(lambda m: _PLAIN[m[0]], text)
 
 
-def fold(events: list[tuple[int | None, str | None, str | None, str | None]]) -> list[tuple[str, str]]:
-    """events in order: turn, kind, role, text. Gives role and text by turn."""
+def fold(events: list[tuple]) -> list[tuple[str, str]]:
+    """events in order: turn, kind, role, text and, if messages are named, the
+    name. Gives role and text by turn."""
     messages: list[list] = []  # turn, role, parts
-    latest: dict[int | None, list[int]] = {}
-    for turn, kind, role, text in events:
-        own = latest.setdefault(turn, [])
+    latest: dict[tuple, list[int]] = {}
+    for turn, kind, role, text, *name in events:
+        own = latest.setdefault((turn, *name), [])
         if kind in (None, "message") or not own and kind != "delete":
             messages.append([turn, role or "", [text or ""]])
             own.append(len(messages) - 1)
@@ -96,10 +103,13 @@ def parse(formatted: str) -> list[tuple[str, str]]:
 
 
 def format_chats(events: DataFrame, loss_role: str = "assistant") -> DataFrame:
-    """events: conv_id, seq, turn, role, text and, if there, event. Gives
-    ``(conv_id, formatted, loss_spans)``, a row for each conversation."""
+    """events: conv_id, seq, turn, role, text and, if there, event and message
+    (a number). Gives ``(conv_id, formatted, loss_spans)``, a row for each
+    conversation."""
+    small_batches(events.sparkSession)
     kind = F.col("event").cast("string") if "event" in events.columns else F.lit(None).cast("string")
-    log = events.select("conv_id", F.col("seq").cast("long").alias("seq"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"), kind.alias("event"))
+    name = F.col("message").cast("long") if "message" in events.columns else F.lit(None).cast("long")
+    log = events.select("conv_id", F.col("seq").cast("long").alias("seq"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"), kind.alias("event"), name.alias("message"))
     id_type = log.schema["conv_id"].dataType.simpleString()
 
     def run(batches):
@@ -113,20 +123,20 @@ def format_chats(events: DataFrame, loss_role: str = "assistant") -> DataFrame:
                 ["conv_id", "formatted", "loss_spans"],
             )
 
-        for batch in batches:
+        for batch in slices(batches, "text", SLICE_BYTES):
             id_type = batch.schema.field("conv_id").type
             done = []
-            for key, turn, event, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "turn", "event", "role", "text"))):
+            for key, *event in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "turn", "event", "role", "text", "message"))):
                 if some and key != own:
                     done.append((own, log_of))
                     log_of = []
                 own, some = key, True
-                log_of.append((turn, event, role, text))
+                log_of.append(tuple(event))
             yield emit(done)
         if some:
             yield emit([(own, log_of)])
 
-    ordered = log.repartition(F.col("conv_id")).sortWithinPartitions("conv_id", "seq", "turn", "role", "text")
+    ordered = log.repartition(F.col("conv_id")).sortWithinPartitions("conv_id", "seq", "turn", "role", "text", "message")
     return ordered.mapInArrow(run, f"conv_id {id_type}, formatted string, loss_spans array<struct<start:long,end:long>>")
 
 
@@ -135,7 +145,7 @@ def read_back(chats: DataFrame) -> DataFrame:
     id_type = chats.schema["conv_id"].dataType.simpleString()
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, "formatted", SLICE_BYTES):
             out = []
             for formatted, spans in zip(batch.column("formatted").to_pylist(), batch.column("loss_spans").to_pylist()):
                 turns = parse(formatted)

@@ -19,11 +19,28 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(docs).select(F.col("_row.doc_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def chat_log(messages: DataFrame) -> DataFrame:
+    """The events that messages (conv_id, turn, role, text) come about by: an
+    assistant's first answer grows by a delta, is thrown away and regenerated,
+    and streamed anew in three deltas; others' messages are edited twice, the
+    second time to what they were. Rows of one turn are messages of their own."""
+    text, n = F.coalesce("text", F.lit("")), F.char_length(F.coalesce("text", F.lit("")))
+    third = F.ceil(n / 3).cast("int")
+    event = lambda kind, said: F.struct(F.lit(kind).alias("event"), said.cast("string").alias("said"))
+    answer = [event("message", text), event("delta", F.lit(" [INST] and more")), event("regenerate", F.lit(None)), *(event("delta", F.substring(text, third * k + 1, third)) for k in range(3))]
+    others = [event("message", text), event("edit", F.concat(F.lit("</s>"), F.substring(text, F.lit(1), third))), event("edit", text)]
+    rows = messages.withColumn("message", F.monotonically_increasing_id())
+    rows = rows.select("conv_id", "turn", "role", "message", F.posexplode(F.when(F.col("role") == "assistant", F.array(*answer)).otherwise(F.array(*others))).alias("step", "e"))
+    # all events of a turn come before the next turn's; a message's own follow each other
+    seq = F.coalesce(F.col("turn").cast("long"), F.lit(-(1 << 40))) * 8 + F.col("step")
+    return rows.select("conv_id", seq.alias("seq"), "turn", "role", "message", F.col("e.event").alias("event"), F.col("e.said").alias("text"))
+
+
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
-    log = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
-    return chat.read_back(chat.format_chats(log.withColumn("seq", F.col("turn"))))
+    messages = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    return chat.read_back(chat.format_chats(chat_log(messages)))
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,6 +114,15 @@ from log group by conv_id
 """
 
 _SUFFIXES = ", ".join(f"'{s}'" for s in url_filter.TWO_LABEL_SUFFIXES)
+
+
+def _strength_sql(groups: str) -> str:
+    """The strength of a level's prior; groups have n, bad and the level's mean m."""
+    one = "lgamma(s * m + bad) - lgamma(s * m) + lgamma(s * (1 - m) + n - bad) - lgamma(s * (1 - m)) - lgamma(s + n) + lgamma(s)"
+    return f"select arg_max(s, w) as s from (select s, coalesce(sum({one}) filter (n > 0), 0) + ln(s) - 2 * ln(1 + s) as w from grid left join {groups} on true group by s)"
+
+
+_DEVIATE = f"{url_filter.DEVIATE!r}::double"
 _URL_SQL = f"""
 with parts as (
     select page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{url_filter.UPPER}', '{url_filter.LOWER}') as host,
@@ -105,23 +131,26 @@ with parts as (
     select doc_id as page_id, max(case when quality = 0 or toxic = 1 then 1 else 0 end) as bad from labels
     where doc_id is not null and (quality = 0 or toxic = 1 or (quality is not null and toxic is not null)) group by doc_id
 ), hosts as (
-    select host, count(bad) as n, coalesce(sum(bad), 0) as bad, string_split(host, '.') as s from parts left join outcomes using (page_id) group by host
+    select host, count(bad)::double as n, coalesce(sum(bad), 0)::double as bad, string_split(regexp_replace(host, ':[0-9]*$', ''), '.') as s from parts left join outcomes using (page_id) group by host
 ), split as (
     select host, n, bad, array_to_string(s[greatest(1, len(s) - 1):], '.') as two, array_to_string(s[greatest(1, len(s) - 2):], '.') as three, s[len(s)] as one from hosts
 ), named as (
     select host, n, bad, case when two in ({_SUFFIXES}) then three else two end as domain, case when two in ({_SUFFIXES}) then two else one end as suffix from split
+), grid as (select unnest([{", ".join(f"{x}::double" for x in url_filter.STRENGTHS)}]) as s
 ), total as (select case when sum(n) > 0 then (sum(bad) + 1.0::double) / (sum(n) + 2) else 0.5::double end as m from named
-), s1 as (select suffix, sum(n) as n, sum(bad) as bad, m from named, total group by suffix, m
-), r1 as (select {{rho}} as rho from s1
-), s as (select suffix, (bad + (1 / rho - 1) * m) / (n + (1 / rho - 1)) as m from s1, r1
-), d1 as (select domain, suffix, sum(n) as n, sum(bad) as bad from named group by domain, suffix
-), d2 as (select d1.*, s.m from d1 join s using (suffix)
-), r2 as (select {{rho}} as rho from d2
-), d as (select domain, (bad + (1 / rho - 1) * m) / (n + (1 / rho - 1)) as m from d2, r2
-), h as (select named.host, n, bad, d.m from named join d using (domain)
-), r3 as (select {{rho}} as rho from h
-), post as (select host, (bad + (1 / rho - 1) * m) / (n + (1 / rho - 1)) as p, n + (1 / rho - 1) as size from h, r3
-), blocked as (select host from post where p - {url_filter.DEVIATIONS} * sqrt(p * (1 - p) / (size + 1)) > {url_filter.THRESHOLD}
+), g1 as (select suffix, sum(n) as n, sum(bad) as bad, m from named, total group by suffix, m
+), s1 as ({_strength_sql("g1")}
+), l1 as (select suffix, (bad + s * m) / (n + s) as m from g1, s1
+), g2 as (select domain, suffix, sum(n) as n, sum(bad) as bad, m from named join l1 using (suffix) group by domain, suffix, m
+), s2 as ({_strength_sql("g2")}
+), l2 as (select domain, suffix, (bad + s * m) / (n + s) as m from g2, s2
+), g3 as (select host, n, bad, m from named join l2 using (domain, suffix)
+), s3 as ({_strength_sql("g3")}
+), beta as (select host, bad + s * m as a, greatest(0.5, n - bad + s * (1 - m)) as b from g3, s3 where n > 0
+), terms as (select host, a, b, 1 / (9 * b) as u, 1 / (9 * a) as v from beta
+), roots as (select host, a, b, u, v, sqrt(greatest(0, (1 - u) * (1 - u) * v + (1 - v) * (1 - v) * u - {_DEVIATE} * {_DEVIATE} * u * v)) as root, (1 - u) * (1 - u) - {_DEVIATE} * {_DEVIATE} * u as under from terms
+), solved as (select host, b, a * pow(case when under > 0 then greatest(0, ((1 - u) * (1 - v) - {_DEVIATE} * root) / under) else 0 end, 3) as r from roots
+), blocked as (select host from solved, total where r / (b + r) > m
 ), ruled as (
     select page_id, host, path, case
         when (host = 'example.org' or ends_with(host, '.example.org')) and starts_with(path, '/en/1') then 'example.org/en/1'
@@ -132,11 +161,7 @@ with parts as (
 )
 select page_id, host, path, rule, case when rule in ('example.org/en/1', 'example.org/es/', 'com/de/') then 'block' when rule is not null then 'allow'
     when host in (select host from blocked) then 'block' else 'allow' end as verdict from ruled
-""".format(
-    rho=f"least({url_filter.MOST_CORRELATION}, greatest({url_filter.LEAST_CORRELATION}, coalesce("
-    "sum((bad - n * m) * (bad - n * m) - n * m * (1 - m)) filter (n > 0) / nullif(sum(n * (n - 1) * m * (1 - m)) filter (n > 0), 0), "
-    f"{url_filter.LEAST_CORRELATION})))"
-)
+"""
 
 _NEAR_SQL = r"""
 with recursive w as (

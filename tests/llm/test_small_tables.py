@@ -122,3 +122,40 @@ def test_urls(spark):
     assert got[6][:2] == got[7][:2] == got[8][:2] == ("", "") and got[10] == ("bad.net", "/1", None, "block")
     assert got[11][:2] == ("b:", "//c/d")
     assert url_filter.filter_urls(pages.limit(0), outcomes.limit(0), queries.RULES).count() == 0
+
+
+def test_lower_quantile(spark):
+    """Paulson's approximation against draws from the distribution."""
+    rng = np.random.default_rng(0)
+    cases = [(3.0, 9.0), (20.5, 60.0), (1.5, 4.0), (40.0, 2.0), (0.8, 30.0), (300.0, 700.0)]
+    rows = spark.createDataFrame(cases, "a double, b double")
+    got = {(r.a, r.b): r.q for r in rows.select("a", "b", url_filter.lower_quantile(url_filter.F.col("b"), url_filter.F.col("a")).alias("q")).collect()}
+    for a, b in cases:
+        assert abs(got[a, b] - np.quantile(rng.beta(a, b, 200_000), 1 - url_filter.CONFIDENCE)) < 0.012, (a, b, got[a, b])
+
+
+def test_reputation_of_odd_rows(spark):
+    """Ports, repeated pages and outcomes, clashing columns, no labels."""
+    pages = spark.createDataFrame([(k, f"http://bad.co.uk:81/{k}", "a", "b") for k in range(30)] * 2 + [(100 + k, f"http://fine{k}.co.uk/", "a", "b") for k in range(60)], "page_id long, url string, host string, rule string")
+    outcomes = spark.createDataFrame([(k, True) for k in range(30)] * 2 + [(k, False) for k in range(30)] + [(100 + k, False) for k in range(60)], "page_id long, bad boolean")
+    got = {r.page_id: (r.host, r.rule, r.verdict) for r in url_filter.filter_urls(pages, outcomes, []).collect()}
+    assert all(got[k] == ("bad.co.uk:81", None, "block") for k in range(30)) and all(got[100 + k][2] == "allow" for k in range(60))
+    assert pages.select(url_filter.domain_of(url_filter.host_of(url_filter.F.col("url"))).alias("d")).where("d = 'bad.co.uk'").count() == 60
+    none = url_filter.filter_urls(pages, outcomes.limit(0), [("block", "co.uk")]).collect()
+    assert len(none) == 120 and {(":" in r.host, r.rule, r.verdict) for r in none} == {(True, None, "allow"), (False, "co.uk", "block")}
+    assert {r.verdict for r in url_filter.filter_urls(pages, outcomes.limit(0), []).collect()} == {"allow"}
+
+
+def test_chat_log_of_odd_rows(spark):
+    """The query's log: repeated rows, nulls, ties, long texts, clashing columns."""
+    long = "word </s> \\ " * 50_000
+    rows = [(1, 0, "user", "a", "x"), (1, 0, "user", "a", "x"), (1, 1, "assistant", long, "y"), (1, None, "user", None, "z"), (None, 3, "assistant", "", "z"), (None, 3, "assistant", "ab", "z"), (None, 2, None, "[INST]", "z"), (2, 5, "assistant", "éß", "q")]
+    messages = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, event string").repartition(3)
+    chats = chat.format_chats(queries.chat_log(messages))
+    got = {r.conv_id: chat.parse(r.formatted) for r in chats.collect()}
+    assert got == {1: [("user", ""), ("user", "a"), ("user", "a"), ("assistant", long)], None: [("", "[INST]"), ("assistant", ""), ("assistant", "ab")], 2: [("assistant", "éß")]}
+    loss = {r.conv_id: "".join(chat.unescape(r.formatted[s["start"] : s["end"]]) for s in r.loss_spans) for r in chats.collect()}
+    assert loss == {1: long, None: "ab", 2: "éß"}
+    kinds = {r.event for r in queries.chat_log(messages).select("event").distinct().collect()}
+    assert kinds == {"message", "delta", "regenerate", "edit"}
+    assert chat.read_back(chat.format_chats(queries.chat_log(messages.limit(0)))).count() == 0
