@@ -2,24 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import materialize
 
+#: A key of more than one in so many of all rows is heavy: there are at most so
+#: many such keys (twice as many where rows count twice), whatever the rows are,
+#: so that they can be broadcast.
+HEAVY_SHARE = 1000
 
-def _with_least(pairs: DataFrame) -> DataFrame:
-    """pairs (u, v); adds m, the least of u and its neighbours. The least comes
-    from partial sums, so a node with many links is never one task's group."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m"))
-    return pairs.join(least, "u").withColumn("m", F.least("m", "u"))
 
+def spread_join(rows: DataFrame, by_key: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` with the one row of ``by_key`` (key, n, others) of each row's
+    key, if there is one; n is the number of rows of the key, ``total`` that of
+    all. Rows of heavy keys stay where they are, so none are one task's."""
+    others = [c for c in by_key.columns if c not in (key, "n")]
+    heavy = by_key.where(F.col("n") > max(1, total // HEAVY_SHARE)).select(key, F.struct(*others).alias("_heavy"))
+    known = rows.join(F.broadcast(heavy), key, "left")
+    light = known.where("_heavy is null").drop("_heavy").join(by_key.select(key, *others), key)
+    return light.unionByName(known.where("_heavy is not null").select(*rows.columns, *(F.col(f"_heavy.{c}").alias(c) for c in others)))
 
-def _star(links: DataFrame) -> DataFrame:
+
+def _with_least(pairs: DataFrame, n: int) -> DataFrame:
+    """pairs (u, v) of ``n`` links; adds m, the least of u and its neighbours,
+    from partial sums."""
+    least = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    return spread_join(pairs, least, "u", n).withColumn("m", F.least("m", "u"))
+
+
+def _star(links: DataFrame, n: int) -> DataFrame:
     """A large-star step, then a small-star step; links (a, b) with a > b."""
     both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    large = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-    small = _with_least(large)
+    large = _with_least(both, n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+    small = _with_least(large, n)
     own = small.select(F.col("u").alias("a"), F.col("m").alias("b"))
     others = small.select(F.col("v").alias("a"), F.col("m").alias("b"))
     return own.unionByName(others).where("a > b").distinct()
@@ -31,11 +47,17 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     The rounds alternate large and small stars, so their number is about the
     logarithm of the longest path; each is written before the next."""
     ordered = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    now, last = materialize(ordered, "links"), None
+
+    def written(rows: DataFrame) -> tuple[DataFrame, tuple]:
+        """The table and what tells it from another, seen as it is written."""
+        seen = Observation()
+        now = materialize(rows.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("s")), "links")
+        return now, (seen.get["n"], seen.get["s"])
+
+    now, last = written(ordered)
     for _ in range(most_rounds):
-        now = materialize(_star(now), "stars")
-        state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("s")).first()
-        if (state["n"], state["s"]) == last:
+        now, found = written(_star(now, last[0]))
+        if found == last:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        last = (state["n"], state["s"])
+        last = found
     raise RuntimeError("components did not settle")

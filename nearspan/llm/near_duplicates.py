@@ -6,16 +6,22 @@
 2. Classes that share a band key are candidates. Their signatures are compared
    batch by batch; after each batch the posterior of the similarity, given the
    matches so far, says whether it can still reach the threshold with more than
-   the chosen miss probability. What can, links the classes of a bucket loosely;
-   a bucket gives fewer loose links than it has members.
-3. Components of loose links are the groups within which links are sought. A
-   large one is dealt in blocks, each pair of blocks to one task, where
-   survivors of the same signature test are compared on their full sets, unless
-   found links connect them already. Links between texts are exact; groups are
-   not cut off at any size.
-4. Components of exact links, and the classes, give each row its component.
-
-Null and blank texts have no shingles and link with nothing; texts of fewer
+   the chosen miss probability. What can, links the classes of a bucket loosely:
+   a forest of stars, first about the member that is most like all, so that a
+   bucket gives about as many loose links as it has members. Their components
+   are groups; classes of different groups are no candidates.
+3. Loose links are verified on full sets. A set goes where its links are, so a
+   group of n near copies moves about n sets; stars of more than ``SALTED``
+   links are split. Components of what holds are labels.
+4. Only classes of one group with different labels may still be linked unseen.
+   Every such pair has a stray, a class without its group's most frequent label.
+   Strays, ``STRAYS`` at a time, meet all classes of their group as these pass by
+   in blocks of ``HELD``: survivors of the same signature test are verified on
+   full sets, unless found links connect them already. Nothing is cut off at any
+   size; a group of n classes with s strays moves n (1 + s / ``STRAYS``) sets.
+5. Components of all links that hold, and the classes, give each row its component.
+
+Ids have to be numbers. Null and blank texts have no shingles and link with nothing; texts of fewer
 words than a shingle are one shingle. Rows without an id take no part (component
 null, kept). Rows of one id are judged each by its own text; repeated rows get
 the same result. Empty tables give empty results. Only named columns are read.
@@ -32,13 +38,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import held, materialize, slices, small_batches, strings
-from .components import components
+from .components import components, spread_join
 
 HASHES, ROWS, BANDS = 128, 4, 22
 #: Hashes of a batch in the sequential test, and its miss probability.
 BATCH, MISS = 32, 1e-5
-#: Texts in a block of a large group; rows of a bucket that are held at a time.
-BLOCK, HELD = 256, 32_768
+#: Rows of a bucket held at a time, or of a group that pass by in one task; links
+#: of a star in one task; strays held at a time.
+HELD, SALTED, STRAYS = 32_768, 4096, 128
 SLICE_BYTES = 2 << 20
 WORD_CACHE = 250_000
 
@@ -137,6 +144,17 @@ def loose_links(ids: np.ndarray, signs: np.ndarray, percent: int) -> list[tuple[
     return out
 
 
+def centres(key_starts: np.ndarray, sizes: np.ndarray, signs: np.ndarray) -> np.ndarray:
+    """Of each bucket, the member whose signature agrees most with the most
+    frequent half bytes of all: what many copies are copies of."""
+    out = key_starts.copy()
+    for k in np.flatnonzero(sizes > 2):
+        own = signs[key_starts[k] : key_starts[k] + sizes[k]]
+        counts = np.stack([(own == v).sum(axis=0) for v in range(16)])
+        out[k] += int((own == counts.argmax(axis=0)).sum(axis=1).argmax())
+    return out
+
+
 def _unpack(column: pa.Array) -> np.ndarray:
     packed = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), HASHES // 2)
     return np.concatenate([packed >> 4, packed & 15], axis=1)
@@ -162,36 +180,41 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFr
 
 
 def _loose(reps: DataFrame, percent: int) -> DataFrame:
-    """Loose links (a, b) of classes that share a band key."""
+    """Loose links (a, b, salt) of classes that share a band key; salt counts
+    the parts of a's star."""
 
     def run(batches):
         parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         bucket = first = None  # a bucket longer than what is held: its key and first id
+        seen = 0  # its members so far
 
         def pairs(key, ids, signs, last, long=False):
-            nonlocal bucket, first
-            out: list[tuple[int, int]] = []
+            nonlocal bucket, first, seen
+            out: list[tuple[int, int, int]] = []
             starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             sizes = np.diff(np.r_[starts, len(key)])
-            lead = np.repeat(starts, sizes)
+            lead = np.repeat(centres(starts, sizes, signs), sizes)
             follow = np.flatnonzero(lead != np.arange(len(key)))
             continued = first is not None and key[0] == bucket
             if continued or long:  # every chunk of a long bucket is joined loosely to its first, which costs time but loses nothing
-                to = first if continued else int(ids[0])
-                out += [(to, int(x)) for x in ids[0 if continued else 1 : sizes[0]]]
+                to, before = (first, seen) if continued else (int(ids[0]), 0)
+                out += [(to, int(x), (before + k) // SALTED) for k, x in enumerate(ids[: sizes[0]]) if int(x) != to]
+                seen = before + int(sizes[0])
                 follow = follow[follow >= sizes[0]]
             found, _ = survive(signs[lead[follow]], signs[follow], percent) if len(follow) else (follow, None)
             linked = np.zeros(len(key), bool)
             linked[follow[found]] = True
-            out += zip(ids[lead[follow[found]]].tolist(), ids[follow[found]].tolist())
+            hit = follow[found]
+            begins = np.repeat(starts, sizes)
+            out += zip(ids[lead[hit]].tolist(), ids[hit].tolist(), ((hit - begins[hit]) // SALTED).tolist())
             rest = follow[~linked[follow]]
-            for s in np.unique(lead[rest]):  # buckets that their first member doesn't hold together
+            for s in np.unique(begins[rest]):  # buckets that their centre doesn't hold together
                 end = s + sizes[np.searchsorted(starts, s)]
-                out += loose_links(ids[s:end], signs[s:end], percent)
+                out += [(a, b, k // SALTED) for k, (a, b) in enumerate(loose_links(ids[s:end], signs[s:end], percent))]
             if not last:
                 if first is None or key[-1] != bucket:
-                    bucket, first = key[-1], int(ids[starts[-1]])
-            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+                    bucket, first, seen = key[-1], int(ids[starts[-1]]), int(sizes[-1])
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in range(3)], ["a", "b", "salt"])
 
         def joined():
             return (np.concatenate([h[k] for h in parts]) for k in range(3))
@@ -212,65 +235,121 @@ def _loose(reps: DataFrame, percent: int) -> DataFrame:
             yield pairs(*joined(), True)
 
     rows = reps.select("rep", "sign", F.explode("bands").alias("key"))
-    return rows.repartition(F.col("key")).sortWithinPartitions("key", "rep").mapInArrow(run, "a long, b long")
+    return rows.repartition(F.col("key")).sortWithinPartitions("key", "rep").mapInArrow(run, "a long, b long, salt long")
 
 
-def exact_links(ids: np.ndarray, side: np.ndarray, signs: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """A forest of the links among rows of one block (all of one side), or
-    between two. A pair is compared on full sets unless it is connected already."""
-    root = np.arange(len(ids))
-    out = []
-    across = side.any() and not side.all()
-    for p in np.flatnonzero(side == 0) if across else range(len(ids)):
-        others = np.flatnonzero(side == 1) if across else np.arange(p)
-        others = others[(root[others] != root[p]) & (ids[others] != ids[p])]
-        # sizes alone can rule a pair out
-        n, sizes = len(sets[p]), np.array([len(sets[q]) for q in others], np.int64)
-        others = others[(100 * np.minimum(n, sizes) >= percent * np.maximum(n, sizes))] if len(others) else others
-        if not len(others):
-            continue
-        found, matches = survive(signs[p : p + 1], signs[others], percent)
-        for q in others[found[np.argsort(-matches, kind="stable")]]:
-            if root[q] == root[p]:
-                continue
-            both = len(np.intersect1d(sets[p], sets[q], assume_unique=True))
-            if 100 * both >= percent * (len(sets[p]) + len(sets[q]) - both):
-                out.append((int(ids[p]), int(ids[q])))
-                root[root == root[q]] = root[p]
-    return out
+def _sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """Full sets (node, set) of the texts of some ids, hashes as words of eight bytes."""
 
+    def run(batches):
+        for batch in slices(batches, "text", SLICE_BYTES):
+            sets = [s.tobytes() for s in shingle_sets(strings(batch, "text"), width)]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], ["node", "set"])
 
-def _verified(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
-    """Exact links (a, b) within the groups (node, component)."""
-    members = groups.unionByName(groups.select(F.col("component").alias("node"), "component").distinct())
-    sizes = members.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = members.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text"))
     # always dealt by id: at any size the plan is the same
-    dealt_texts = texts.join(dealt.hint("merge"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt_texts = dealt_texts.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "node", "text").distinct()
+    return texts.join(nodes.hint("merge"), "node", "left_semi").mapInArrow(run, "node long, set binary")
 
-    def run(batches):
-        own, rows = None, []
 
-        def links():
-            side = np.array([h[0] for h in rows])
-            found = exact_links(np.array([h[1] for h in rows]), side, np.stack([h[2] for h in rows]), [h[3] for h in rows], percent) if len(rows) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sets (sorted, distinct) are as similar as ``percent``."""
+    small, large = sorted((len(a), len(b)))
+    if not small or 100 * small < percent * large:  # sizes alone rule it out
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= percent * (small + large - both)
 
-        for batch in slices(batches, "text", SLICE_BYTES):
-            sets = shingle_sets(strings(batch, "text"), width)
-            _, signs = signatures(sets)
-            for k, (*key, side, node) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("component", "i", "j", "side", "node")))):
-                if key != own:
-                    if rows:
-                        yield links()
-                    own, rows = key, []
-                rows.append((side, node, signs[k], sets[k]))
-        if rows:
-            yield links()
 
-    return dealt_texts.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "side", "node").mapInArrow(run, "a long, b long")
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b, salt), repeated or not, the links (a, b) that hold on full
+    sets. a's set is held, those of its b's pass by."""
+    once = pairs.where("a <> b").groupBy("a", "b").agg(F.min("salt").alias("salt"))
+    asked = once.select(F.col("a").alias("of"), "salt", F.col("b").alias("node"), F.lit(1).alias("turn"))
+    asked = asked.unionByName(once.select(F.col("a").alias("of"), "salt", F.col("a").alias("node"), F.lit(0).alias("turn")).distinct())
+
+    def run(batches):
+        own, held = None, []
+        for batch in slices(batches, "set", SLICE_BYTES):
+            found = []
+            for of, salt, turn, node, raw in zip(*(batch.column(c) for c in ("of", "salt", "turn", "node", "set"))):
+                own_set = np.frombuffer(raw.as_buffer(), np.uint64)
+                if (of.as_py(), salt.as_py()) != own:
+                    own, held = (of.as_py(), salt.as_py()), []
+                if not turn.as_py():
+                    held.append(own_set)
+                elif any(alike(h, own_set, percent) for h in held):
+                    found.append((own[0], node.as_py()))
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    dealt = asked.join(sets.hint("merge"), "node").repartition("of", "salt").sortWithinPartitions("of", "salt", "turn", "node")
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def _strays(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between classes of one group with different labels (node,
+    group, label), as far as they connect labels."""
+    counts = members.groupBy("group", "label").agg(F.count("*").alias("n"))
+    groups = counts.groupBy("group").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("most"), F.count("*").alias("labels"))
+    blocks = lambda n, size: F.ceil(n / size).cast("int")
+    groups = groups.where("labels > 1").select("group", "n", F.col("most.label").alias("usual"), blocks(F.col("n"), HELD).alias("parts"), blocks(F.col("n") - F.col("most.n"), STRAYS).alias("stray_parts"))
+    groups = materialize(groups, "groups")
+    total = members.count()
+    of = spread_join(members, groups, "group", total)
+    block = lambda seed, n: F.pmod(F.xxhash64("node", F.lit(seed)), n).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    strays = of.where("label <> usual").select("group", "node", "label", F.lit(0).alias("side"), block(1, F.col("stray_parts")).alias("i"), each(F.col("parts")).alias("j"))
+    passing = of.select("group", "node", "label", F.lit(1).alias("side"), block(2, F.col("parts")).alias("j"), each(F.col("stray_parts")).alias("i"))
+
+    def run(batches):
+        own, held = None, []  # held: node, label, set and signature of strays
+        root: dict[int, int] = {}  # of labels that found links connect
+
+        for batch in slices(batches, "set", SLICE_BYTES):
+            found = []
+            own_sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("set")]
+            _, signs = signatures(own_sets)
+            for k, (*key, side, node, label) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("group", "i", "j", "side", "node", "label")))):
+                if key != own:
+                    own, held, root, roots = key, [], {}, np.zeros(0, np.int64)
+                if not side:
+                    held.append((node, own_sets[k], signs[k]))
+                    roots = np.r_[roots, label]
+                    continue
+                mine = root.get(label, label)
+                other = np.flatnonzero(roots != mine)
+                if not len(other):
+                    continue
+                alive, matches = survive(signs[k][None], np.stack([held[x][2] for x in other]), percent)
+                for x in other[alive[np.argsort(-matches, kind="stable")]].tolist():
+                    if roots[x] != mine and alike(held[x][1], own_sets[k], percent):
+                        found.append((held[x][0], node))
+                        new = int(roots[x])
+                        root = {a: new if b == mine else b for a, b in root.items()} | {mine: new, label: new}
+                        roots[roots == mine] = new
+                        mine = new
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    dealt = strays.unionByName(passing).join(sets.hint("merge"), "node").repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", "side", "node")
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def _named(nodes: DataFrame, found: DataFrame, name: str) -> DataFrame:
+    """Nodes (node, others) with their components under a name."""
+    return nodes.join(found.withColumnRenamed("component", name), "node", "left").withColumn(name, F.coalesce(name, "node"))
+
+
+def links(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+    """(node, component) of classes by links that hold on full sets."""
+    loose = materialize(_loose(reps, percent), "loose")
+    groups = components(loose.select("a", "b"))
+    nodes = groups.select("node").unionByName(groups.select(F.col("component").alias("node")).distinct())
+    sets = materialize(_sets(docs, nodes, id_col, text_col, width), "sets")
+    first = components(_verified(loose, sets, percent))
+    members = materialize(_named(_named(nodes, groups, "group"), first, "label"), "members")
+    second = materialize(_strays(members, sets, percent), "strays")
+    if not second.limit(1).count():
+        return first
+    return components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(second))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 80) -> DataFrame:
@@ -280,8 +359,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     key = ["s1", "s2", "n"]
     reps = sketches.where("n > 0 and id is not null").groupBy(*key).agg(F.min("id").alias("rep"), F.first("sign").alias("sign"), F.first("bands").alias("bands"))
     reps = materialize(reps, "classes")
-    groups = components(_loose(reps, percent))
-    found = components(_verified(docs, groups, id_col, text_col, width, percent))
+    found = links(docs, reps, id_col, text_col, width, percent)
     named = reps.select(*key, "rep").join(found, F.col("rep") == F.col("node"), "left").select(*key, F.coalesce("component", "rep").alias("component_id"))
     rows = sketches.select("id", *key).join(named, key, "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce(F.col("component_id"), F.col("id")))

@@ -44,7 +44,9 @@ def test_whole_table(spark):
 
 
 def test_group_of_many_near_copies(spark, monkeypatch):
-    monkeypatch.setattr(nd, "BLOCK", 16)
+    monkeypatch.setattr(nd, "HELD", 16)
+    monkeypatch.setattr(nd, "SALTED", 20)
+    monkeypatch.setattr(nd, "STRAYS", 3)
     r = random.Random(5)
     vocabulary = [f"w{k}" for k in range(500)]
     base = r.choices(vocabulary, k=120)
@@ -106,7 +108,65 @@ def test_long_bucket_of_unlike_texts(spark, monkeypatch):
     reps = spark.createDataFrame([(d, bytearray(x.tobytes()), [7]) for d, x in enumerate(packed)], "rep long, sign binary, bands array<long>")
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     try:
-        got = nd._verified(docs, components(nd._loose(reps, 80)), "doc_id", "text", 4, 80).collect()
+        got = nd.links(docs, reps, "doc_id", "text", 4, 80).collect()
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
-    assert [tuple(sorted((r.a, r.b))) for r in got] == [(1, 10)]
+    assert [tuple(r) for r in got] == [(10, 1)]
+
+
+def test_many_near_copies_move_few_sets(spark):
+    """Ten thousand near copies, none equal: a few loose links and one set each."""
+    r = random.Random(8)
+    vocabulary = [f"w{k}" for k in range(4000)]
+    base = r.choices(vocabulary, k=100)
+    rows = []
+    for d in range(10_000):
+        own = base[:]
+        own[r.randrange(100)] = f"x{d}"
+        rows.append((d, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    sketches = nd._sketches(docs, "doc_id", "text", 4)
+    reps = sketches.select(F.col("id").alias("rep"), "sign", "bands").cache()
+    assert nd._loose(reps, 80).select("a", "b").distinct().count() <= 6 * len(rows)
+    got = nd.near_duplicates(docs).select("component_id").distinct().collect()
+    assert [x.component_id for x in got] == [0]
+
+
+def test_strays(spark, monkeypatch):
+    """All pairs of a group with different labels are compared, in small blocks too."""
+    texts = [" ".join(f"t{d % 6}w{k}" for k in range(80)) + f" end{d}" for d in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = nd._sets(docs, docs.select(F.col("doc_id").alias("node")), "doc_id", "text", 4).cache()
+    members = spark.createDataFrame([(d, 0, 0 if d < 12 else d) for d in range(30)], "node long, group long, label long")
+    for held, strays in ((32_768, 128), (5, 2)):
+        monkeypatch.setattr(nd, "HELD", held)
+        monkeypatch.setattr(nd, "STRAYS", strays)
+        root = {d: 0 if d < 12 else d for d in range(30)}
+        for r in nd._strays(members, sets, 80).collect():
+            assert r.a % 6 == r.b % 6
+            a, b = root[r.a], root[r.b]
+            root = {d: min(a, b) if x in (a, b) else x for d, x in root.items()}
+        assert set(root.values()) == {0}
+
+
+def test_group_about_a_text_that_is_not_first(spark):
+    """Copies of one text that aren't alike themselves are linked by its star."""
+    r = random.Random(3)
+    vocabulary = [f"w{k}" for k in range(5000)]
+    base = r.choices(vocabulary, k=200)
+    rows = [(500, " ".join(base))]
+    for d in range(300):
+        own = base[:]
+        for k in r.sample(range(50), 4):
+            own[4 * k] = f"x{d}y{k}"
+        rows.append((d, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = nd.near_duplicates(docs).collect()
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == brute(rows)
+
+
+def test_hub(spark):
+    """Links of one node are not one task's, and components are right."""
+    links = [(0, k) for k in range(1, 3000)] + [(5000 + k, 5001 + k) for k in range(20)]
+    found = components(spark.createDataFrame(links, "a long, b long").repartition(4)).collect()
+    assert {(r.node, r.component) for r in found} == {(k, 0) for k in range(1, 3000)} | {(5001 + k, 5000) for k in range(20)}
