@@ -36,6 +36,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,7 +52,7 @@ LENGTH, GRAM = 100, 32
 #: Bytes of text hashed at a time, and rows gathered before equal segments are put together.
 PIECE_BYTES, FLUSH_ROWS = 1 << 20, 200_000
 #: Bytes of segments in one suffix array, and of a claimed text in one shard.
-SHARD_BYTES, CHUNK_BYTES = 2 << 20, 4096
+SHARD_BYTES, CHUNK_BYTES = 6 << 20, 4096
 #: Copies of a claimed segment in one shard.
 SALTED = 4096
 #: Different segments of an anchor up to which they meet in a shard; each has at most 168 bytes.
@@ -99,9 +100,9 @@ def least_in_windows(values: np.ndarray, width: int) -> np.ndarray:
 
 def segments(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, single: bool = False) -> tuple[np.ndarray, ...]:
     """Of texts that follow each other in ``data`` and end at ``ends``: anchor,
-    other hash, start and end of each segment. The windows of all segments are
-    all windows. With ``single``, each window is a segment with its own hash."""
-    none = (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    other hash, start and end of each segment, and how far from its start its
+    anchor is. The windows of all segments are all windows. With ``single``, each window is a segment with its own hash."""
+    none = (np.zeros(0, np.uint64), np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3)))
     if len(data) < length:
         return none
     n, grams = len(data) - length + 1, length - GRAM + 1
@@ -115,7 +116,7 @@ def segments(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, single: b
         return none
     hashes = _Hashes(data)
     if single:
-        return hashes.of(0, at, at + length), hashes.of(1, at, at + length), at, at + length
+        return hashes.of(0, at, at + length), hashes.of(1, at, at + length), at, at + length, np.zeros(len(at), np.int64)
     start = np.arange(len(data) - GRAM + 1)
     gram = hashes.of(0, start, start + GRAM)
     # the least hash of each window and its leftmost place, in one word
@@ -123,7 +124,7 @@ def segments(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, single: b
     anchor = (least_in_windows(key, grams)[:n] & np.uint64((1 << 24) - 1)).astype(np.int64)
     fresh = np.r_[True, (at[1:] != at[:-1] + 1) | (anchor[at[1:]] != anchor[at[:-1]])]
     first, last = at[fresh], at[np.r_[fresh[1:], True]]
-    return gram[anchor[first]], hashes.of(1, first, last + length), first, last + length
+    return gram[anchor[first]], hashes.of(1, first, last + length), first, last + length, anchor[first] - first
 
 
 def pieces(texts: list[bytes], length: int = LENGTH, most: int = PIECE_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -148,7 +149,8 @@ def pieces(texts: list[bytes], length: int = LENGTH, most: int = PIECE_BYTES) ->
 
 
 #: A place that repeats, or is, the place (a, b, origin) of id, tag and start; a
-#: segment by anchor (a) and other hash (b); such segments of an anchor that has too many.
+#: segment by anchor (a, at origin from its start) and other hash (b); such segments
+#: of an anchor that has too many.
 CLAIM, SEGMENT, MANY = 0, 1, 2
 _NAMES = ["kind", "a", "b", "id", "tag", "start", "stop", "origin"]
 _ROW = "kind int, " + ", ".join(f"{n} long" for n in _NAMES[1:])
@@ -195,8 +197,8 @@ class _Found:
         self.held: list[tuple[np.ndarray, ...]] = []
         self.size, self.most = 0, most_rows
 
-    def add(self, anchor, other, key, tag, start, stop) -> Iterator[pa.RecordBatch]:
-        self.held.append((anchor, other, key, tag, start, stop))
+    def add(self, anchor, other, key, tag, start, stop, origin) -> Iterator[pa.RecordBatch]:
+        self.held.append((anchor, other, key, tag, start, stop, origin))
         self.size += len(anchor)
         if self.size >= self.most:
             yield from self.flush()
@@ -204,17 +206,22 @@ class _Found:
     def flush(self) -> Iterator[pa.RecordBatch]:
         if not self.size:
             return
-        anchor, other, key, tag, start, stop = (np.concatenate([h[k] for h in self.held]) for k in range(6))
+        anchor, other, key, tag, start, stop, origin = (np.concatenate([h[k] for h in self.held]) for k in range(7))
         self.held, self.size = [], 0
-        order = np.lexsort((start, tag, key, other, anchor))
-        anchor, other, key, tag, start, stop = (c[order] for c in (anchor, other, key, tag, start, stop))
+        order = np.argsort(anchor)
+        by = anchor[order]
+        same = by[1:] == by[:-1]
+        several = np.flatnonzero(np.r_[False, same] | np.r_[same, False])  # rows whose anchor is not alone
+        some = order[several]
+        order[several] = some[np.lexsort((start[some], tag[some], key[some], other[some], anchor[some]))]
+        anchor, other, key, tag, start, stop, origin = (c[order] for c in (anchor, other, key, tag, start, stop, origin))
         first = np.r_[True, (anchor[1:] != anchor[:-1]) | (other[1:] != other[:-1])]
         head = np.flatnonzero(first)[np.cumsum(first) - 1]
         # rows of one place (a document that occurs twice) don't repeat each other
         later = (key != key[head]) | (tag != tag[head]) | (start != start[head])
         of = head[later]
         claims = _claims([key[later], tag[later], start[later]], stop[later], [key[of], tag[of], start[of]])
-        yield _rows((SEGMENT, anchor[first].view(np.int64), other[first].view(np.int64), key[first], tag[first], start[first], stop[first], np.zeros(int(first.sum()), np.int64)), *claims)
+        yield _rows((SEGMENT, anchor[first].view(np.int64), other[first].view(np.int64), key[first], tag[first], start[first], stop[first], origin[first]), *claims)
 
 
 def _found(docs: DataFrame, length: int) -> DataFrame:
@@ -227,10 +234,10 @@ def _found(docs: DataFrame, length: int) -> DataFrame:
             texts = [t.encode("utf-8", "surrogatepass") for t in strings(batch, "text")]
             tags = np.array([zlib.crc32(t) for t in texts], np.int64)
             for data, ends, of, begins in pieces(texts, length, PIECE_BYTES):
-                anchor, other, first, stop = segments(data, ends, length)
+                anchor, other, first, stop, origin = segments(data, ends, length)
                 part = np.searchsorted(ends, first, side="right")
                 shift = begins[part] - np.r_[0, ends[:-1]][part]
-                yield from found.add(anchor, other, ids[of[part]], tags[of[part]], first + shift, stop + shift)
+                yield from found.add(anchor, other, ids[of[part]], tags[of[part]], first + shift, stop + shift, origin)
         yield from found.flush()
 
     return docs.mapInArrow(run, _ROW)
@@ -244,28 +251,28 @@ def _met(found: DataFrame) -> DataFrame:
     names = [*_NAMES, "salt"]
 
     def run(batches):
-        last: list[np.ndarray] | None = None  # a, b, id, tag, start, stop of the last segment's kind: its earliest
+        last: list[np.ndarray] | None = None  # all but the row's kind, of the earliest of the last segment's kind
         nth = 0  # rows of that kind before
         waiting: list[list[np.ndarray]] = []  # one segment of each kind of the last anchor
         crowded = False
 
         def segments_of(rows: list[np.ndarray], kind: int):
-            a, _, key, tag, start, stop = rows
+            a, _, key, tag, start, stop, origin = rows
             zero = np.zeros(len(a), np.int64)
-            return (kind, a, zero, key, tag, start, stop, zero, zero)
+            return (kind, a, zero, key, tag, start, stop, origin, zero)
 
         def judge(rows: list[np.ndarray]):
             nonlocal last, nth, waiting, crowded
             kind, a, b, key, tag, start, stop, origin = rows
             claims = kind == CLAIM
             out = [(CLAIM, *(c[claims] for c in (a, b, key, tag, start, stop, origin)), np.zeros(int(claims.sum()), np.int64))]
-            seg = [c[~claims] for c in (a, b, key, tag, start, stop)]
+            seg = [c[~claims] for c in (a, b, key, tag, start, stop, origin)]
             if not len(seg[0]):
                 return _rows(*out, names=names)
             known = last is not None
             if known:
                 seg = [np.concatenate(x) for x in zip(last, seg)]
-            a, b, key, tag, start, stop = seg
+            a, b, key, tag, start, stop, _ = seg
             fresh = np.r_[True, a[1:] != a[:-1]]
             first = fresh | np.r_[True, b[1:] != b[:-1]]
             heads = np.flatnonzero(first)
@@ -334,33 +341,45 @@ def _met(found: DataFrame) -> DataFrame:
 def equal_windows(ids: np.ndarray, tags: np.ndarray, starts: np.ndarray, parts: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
     """Parts of texts: id, tag, place in the text, bytes. Spans (id, tag, start,
     stop) of the windows of one shard that also start earlier."""
-    raw = b"\0".join(parts)
+    raw = b"\0".join(parts) + b"\0"
     sizes = np.array([len(p) for p in parts])
     ends = np.cumsum(sizes + 1)
-    t = np.zeros(len(raw) + 2, np.int64)
-    t[: len(raw)] = np.frombuffer(raw, np.uint8)
-    t[: len(raw)] += 2
-    t[ends - 1] = 1  # after each part, the last one too
+    begins = ends - sizes - 1
+    plain = np.frombuffer(raw, np.uint8)
+    t = np.zeros(len(raw) + 1, np.int32)
+    t[:-1] = plain
+    t[:-1] += 2
+    t[ends - 1] = 1  # after each part
     order = suffix_array(t, 258)
-    shared = permuted_common_prefixes(t, order, length)
+    order = order[1:]  # without the end of all
     part = np.repeat(np.arange(len(parts)), sizes + 1)
-    part = np.r_[part, len(parts) - 1]
-    left = ends[part] - 1 - np.arange(len(part))  # bytes up to the part's end
-    fits = order[left[order] >= length]
+    left = np.repeat(ends - 1, sizes + 1) - np.arange(len(part))  # bytes up to the part's end
+    window = left >= length
+    shared = permuted_common_prefixes(plain, order, length, window)
+    fits = order[window[order]]
     # equal windows are neighbours in the array; a neighbour left out has no window
-    joined = np.r_[False, (np.minimum(shared, left)[fits[1:]] >= length)][: len(fits)]
+    joined = np.zeros(len(fits), bool)
+    joined[1:] = shared[fits[1:]] >= length
     if not joined.any():
         return [np.zeros(0, np.int64)] * 4
     ranked = np.lexsort((tags, ids))
     fresh = np.r_[False, (ids[ranked][1:] != ids[ranked][:-1]) | (tags[ranked][1:] != tags[ranked][:-1])]
     document = np.empty(len(ids), np.int64)
     document[ranked] = np.cumsum(fresh)
-    place = (document << 40 | starts)[part[fits]] + fits - (ends - sizes - 1)[part[fits]]
-    heads = np.flatnonzero(~joined)
-    least = np.minimum.reduceat(place, heads)[np.cumsum(~joined) - 1]
-    later = place > least
-    of, start = part[fits[later]], place[later] & ((1 << 40) - 1)
-    return _merged([ids[of], tags[of]], start, start + length)
+    place = ((document << 40) + starts - begins)[part[fits]] + fits
+    heads = (~joined).nonzero()[0]
+    least = np.repeat(np.minimum.reduceat(place, heads), np.diff(np.r_[heads, len(fits)]))
+    later = np.zeros(len(part), bool)
+    later[fits[place > least]] = True
+    # runs of windows that touch, by place in the shard
+    at = later.nonzero()[0]
+    own = part[at]
+    first = np.ones(len(at), bool)
+    first[1:] = (own[1:] != own[:-1]) | (at[1:] > at[:-1] + length)
+    of = own[first]
+    start = at[first] - begins[of] + starts[of]
+    stop = at[np.r_[first[1:], True]] - begins[of] + starts[of] + length
+    return [ids[of], tags[of], start, stop]
 
 
 def _flat(batch: pa.RecordBatch, texts: list[bytes]) -> dict[str, np.ndarray]:
@@ -394,17 +413,17 @@ def _single(docs: DataFrame, many: DataFrame, length: int) -> DataFrame:
             row, tag, start, stop = _merged([w["row"], w["tag"]], w["start"], w["stop"])
             parts = [texts[r][a:b] for r, a, b in zip(row.tolist(), start.tolist(), stop.tolist())]
             for data, ends, of, begins in pieces(parts, length, PIECE_BYTES):
-                anchor, other, first, last = segments(data, ends, length, single=True)
+                anchor, other, first, last, origin = segments(data, ends, length, single=True)
                 part = np.searchsorted(ends, first, side="right")
                 shift = begins[part] - np.r_[0, ends[:-1]][part] + start[of[part]]
-                yield from found.add(anchor, other, ids[row[of[part]]], tag[of[part]], first + shift, last + shift)
+                yield from found.add(anchor, other, ids[row[of[part]]], tag[of[part]], first + shift, last + shift, origin)
         yield from found.flush()
 
     return _gathered(docs, many, ["tag", "start", "stop"]).mapInArrow(run, _ROW)
 
 
-def _sharded(docs: DataFrame, asked: DataFrame, length: int) -> DataFrame:
-    """Spans (id, tag, start, stop) that shards' suffix arrays show."""
+def _dealt(docs: DataFrame, asked: DataFrame, length: int) -> DataFrame:
+    """Bytes of texts by shard (route); those of the claimed text first (rest 0)."""
 
     def fetch(batches):
         for batch in slices(batches, "text", PIECE_BYTES):
@@ -424,42 +443,75 @@ def _sharded(docs: DataFrame, asked: DataFrame, length: int) -> DataFrame:
             route = np.full(len(row), 1, np.uint64)
             for c in (a, b, salt, chunk):
                 route = mix(route ^ c.view(np.uint64)) + np.uint64(1)
-            other = [w[n][~claim] for n in ("row", "tag", "start", "stop", "a")]
+            other = [w[n][~claim] for n in ("row", "tag", "start", "stop", "a", "origin")]
             row, tag, begin, end = (np.r_[x, y] for x, y in zip((row, tag, begin, end), other))
             route = np.r_[route.view(np.int64), mix(other[4].view(np.uint64)).view(np.int64)]
             rest = np.r_[~head, np.ones(len(other[0]), bool)]
+            which = np.r_[np.full(len(row) - len(other[0]), -1), np.arange(len(other[0]))]
+            # claims of a text to one shard whose places overlap are one; segments stay as they are
+            row, tag, route, rest, which, begin, end = _merged([row, tag, route, rest, which], begin, end)
+            at = np.r_[other[5], -1][which]
             raw = [texts[r][x:y] for r, x, y in zip(row.tolist(), begin.tolist(), end.tolist())]
-            arrays = [pa.array(route), pa.array(rest.astype(np.int32)), pa.array(ids[row]), pa.array(tag), pa.array(begin), pa.array(raw, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, ["route", "rest", "id", "tag", "start", "bytes"])
+            arrays = [pa.array(route), pa.array(rest.astype(np.int32)), pa.array(ids[row]), pa.array(tag), pa.array(begin), pa.array(at), pa.array(raw, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["route", "rest", "id", "tag", "start", "anchor", "bytes"])
+
+    asked = _gathered(docs, asked, ["kind", "tag", "start", "stop", "a", "b", "origin", "salt"])
+    return asked.mapInArrow(fetch, "route long, rest int, id long, tag long, start long, anchor long, bytes binary")
+
+
+def with_company(parts: list[tuple], length: int = LENGTH) -> list[tuple]:
+    """Of different segments of one anchor (id, tag, start, anchor, bytes), those
+    that can share a window with another: of what a window has beside its
+    anchor, half or more is on one side, and that side's bytes must be shared."""
+    half = (length - GRAM) // 2
+    sides = []
+    for *_, at, raw in parts:
+        sides.append((raw[at - half : at + GRAM] if at >= half else None, raw[at : at + GRAM + half] if len(raw) >= at + GRAM + half else None))
+    many = [{x for x, n in Counter(s[k] for s in sides).items() if n > 1} - {None} for k in (0, 1)]
+    return [p for p, (left, right) in zip(parts, sides) if left in many[0] or right in many[1]]
+
+
+def _decided(dealt: DataFrame, length: int) -> DataFrame:
+    """Spans (id, tag, start, stop) that shards' suffix arrays show."""
 
     def run(batches):
-        held: list[tuple[int, int, int, bytes]] = []
-        size, own, heads = 0, None, []  # heads: the claimed text of the route that goes on
+        held: list[tuple[int, int, int, int, bytes]] = []
+        # of the route that goes on: where it begins, its claimed text, whether it is an anchor's
+        size, own, begin, heads, anchored = 0, None, 0, [], False
 
         def spans():
-            ids, tags, starts, parts = zip(*held)
+            ids, tags, starts, _, parts = zip(*held)
             found = equal_windows(np.array(ids, np.int64), np.array(tags, np.int64), np.array(starts, np.int64), parts, length)
             return pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["id", "tag", "start", "stop"])
 
+        def ended():
+            nonlocal size
+            if anchored:
+                kept = with_company(held[begin:], length)
+                size -= sum(len(p[4]) for p in held[begin:]) - sum(len(p[4]) for p in kept)
+                held[begin:] = kept
+
         for batch in slices(batches, "bytes", SHARD_BYTES):
-            for route, rest, *part in zip(*(batch.column(c).to_pylist() for c in ("route", "rest", "id", "tag", "start", "bytes"))):
+            for route, rest, *part in zip(*(batch.column(c).to_pylist() for c in ("route", "rest", "id", "tag", "start", "anchor", "bytes"))):
+                if route != own:
+                    ended()
                 if size >= SHARD_BYTES and (route != own or heads):
                     yield spans()
                     # the texts that more copies of the route are held against
                     held = heads[:] if route == own else []
-                    size = sum(len(h[3]) for h in held)
-                if route != own:
-                    own, heads = route, []
+                    size, begin = sum(len(h[4]) for h in held), 0
                 part = tuple(part)
+                if route != own:
+                    own, heads, begin, anchored = route, [], len(held), part[3] >= 0
                 if not rest:
                     heads.append(part)
                 held.append(part)
-                size += len(part[3])
+                size += len(part[4])
+        ended()
         if held:
             yield spans()
 
-    fetched = _gathered(docs, asked, ["kind", "tag", "start", "stop", "a", "b", "origin", "salt"]).mapInArrow(fetch, "route long, rest int, id long, tag long, start long, bytes binary")
-    shards = fetched.repartition(F.col("route")).sortWithinPartitions("route", "rest", "id", "tag", "start")
+    shards = dealt.repartition(F.col("route")).sortWithinPartitions("route", "rest", "id", "tag", "start")
     return shards.mapInArrow(run, "id long, tag long, start long, stop long")
 
 
@@ -473,7 +525,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     asked = met.where(F.col("kind") != MANY)
     if many.limit(1).count():  # else there is nothing to look at window by window
         asked = asked.unionByName(materialize(_met(_single(texts, many, length)), "windows"))
-    return _sharded(texts, asked, length)
+    return _decided(_dealt(texts, asked, length), length)
 
 
 def cut(raw: bytes, spans: list[tuple[int, int]], characters: bool = False) -> tuple[bytes, int, int]:

@@ -25,7 +25,7 @@ def _place(order: np.ndarray, symbols: np.ndarray, fill: np.ndarray, into: np.nd
         return
     grouped = np.argsort(symbols, kind="stable")
     by = symbols[grouped]
-    heads = np.flatnonzero(by[1:] != by[:-1]) + 1
+    heads = (by[1:] != by[:-1]).nonzero()[0] + 1
     nth = np.arange(n)
     if len(heads):
         sizes = np.empty(len(heads) + 1, np.int64)
@@ -43,31 +43,42 @@ def _place(order: np.ndarray, symbols: np.ndarray, fill: np.ndarray, into: np.nd
         fill[first] += sizes
 
 
-def _sweep(t: np.ndarray, found: np.ndarray, induced: np.ndarray, sizes: np.ndarray, down: bool) -> None:
+def _sweep(t: np.ndarray, found: np.ndarray, induced: np.ndarray, run: np.ndarray, sizes: np.ndarray, down: bool) -> None:
     """One sweep over ``found`` (-1: not yet known), upwards or downwards. The
     suffix before each one that is met, if it is ``induced``, goes to the next
-    free place of its bucket, from the bucket's beginning or end."""
+    free place of its bucket, from the bucket's beginning or end. ``run`` says
+    how many equal symbols lie before each place."""
     n, ends = len(t), np.cumsum(sizes)
     heads = ends - sizes
     fill = ends.copy() if down else heads.copy()
     symbols = np.repeat(np.arange(len(sizes), dtype=t.dtype), sizes)  # by place in the array
 
     def before(part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.flatnonzero(part > 0)
+        at = (part > 0).nonzero()[0]
         prior = part[at] - 1
         some = induced[prior]
         return prior[some], at[some]
 
     def one(c: int) -> None:
-        """A bucket that induces into itself."""
-        done = ends[c] if down else heads[c]
-        while done != fill[c]:
-            part = found[fill[c] : done][::-1] if down else found[done : fill[c]]
-            done = int(fill[c])
-            prior, _ = before(part)
-            _place(prior, t[prior], fill, found, down)
-        prior, _ = before(found[heads[c] : done][::-1] if down else found[done : ends[c]])
-        _place(prior, t[prior], fill, found, down)
+        """A bucket that induces into itself: by runs of its symbol. Of those
+        that are there, first each one's prior suffix follows in their order,
+        then what lies before these, as far as the runs go."""
+        seeds = found[fill[c] : ends[c]][::-1] if down else found[heads[c] : fill[c]]
+        far = run[seeds]
+        of = np.repeat(np.arange(len(seeds)), far)
+        nth = np.arange(1, len(of) + 1) - np.repeat(np.cumsum(far) - far, far)
+        order = np.lexsort((of, nth))
+        more = seeds[of[order]] - nth[order]
+        if down:
+            found[fill[c] - len(more) : fill[c]] = more[::-1]
+            fill[c] -= len(more)
+        else:
+            found[fill[c] : fill[c] + len(more)] = more
+            fill[c] += len(more)
+        prior, _ = before(found[heads[c] : ends[c]][::-1] if down else found[heads[c] : ends[c]])
+        goal = t[prior]
+        other = goal != c
+        _place(prior[other], goal[other], fill, found, down)
 
     step, at = STEP, n if down else 0
     while at > 0 if down else at < n:
@@ -102,13 +113,15 @@ def _induce(t: np.ndarray, smaller: np.ndarray, least: np.ndarray, buckets: int)
     """The suffix array that the leftmost smaller suffixes, in order, induce."""
     n = len(t)
     sizes = np.bincount(t, minlength=buckets)
-    found = np.full(n, -1, np.int64)
+    found = np.full(n, -1, least.dtype)
     seeds = least[::-1]
     _place(seeds, t[seeds], np.cumsum(sizes), found, True)
-    _sweep(t, found, ~smaller, sizes, False)
+    run = np.arange(n, dtype=least.dtype)
+    run -= np.maximum.accumulate(np.where(np.r_[True, t[1:] != t[:-1]], run, 0))
+    _sweep(t, found, ~smaller, run, sizes, False)
     found[smaller[found] & (found >= 0)] = -1  # these are placed anew
     found[0] = n - 1
-    _sweep(t, found, smaller, sizes, True)
+    _sweep(t, found, smaller, run, sizes, True)
     found[0] = n - 1
     return found
 
@@ -140,11 +153,11 @@ def suffix_array(t: np.ndarray, buckets: int) -> np.ndarray:
         t = t.astype(np.uint16)  # short symbols are grouped by radix
     smaller = _smaller(t)
     leftmost = _leftmost(smaller)
-    places = np.flatnonzero(leftmost)
+    places = np.flatnonzero(leftmost).astype(np.int32 if n < 1 << 31 else np.int64)
     found = _induce(t, smaller, places, buckets)
     order = found[leftmost[found]]
     # names: equal to the one before if length and symbols are
-    length = np.zeros(n, np.int64)
+    length = np.zeros(n, places.dtype)
     length[places] = np.diff(np.r_[places, n - 1]) + 1
     a, b = order[:-1], order[1:]
     same = length[a] == length[b]
@@ -154,7 +167,7 @@ def suffix_array(t: np.ndarray, buckets: int) -> np.ndarray:
         equal = t[a[active] + k] == t[b[active] + k]
         same[active[~equal]] = False
         active, k = active[equal], k + 1
-    named = np.empty(n, np.int64)
+    named = np.empty(n, places.dtype)
     named[order] = np.cumsum(np.r_[0, ~same])
     names = named[places]
     kinds = int(names.max()) + 1
@@ -163,40 +176,47 @@ def suffix_array(t: np.ndarray, buckets: int) -> np.ndarray:
     return _induce(t, smaller, order, buckets)
 
 
-def permuted_common_prefixes(t: np.ndarray, order: np.ndarray, most: int | None = None, sampled: int = 8) -> np.ndarray:
-    """For each place of ``t``, how many symbols (bytes here) its suffix shares
-    with the one before it in ``order``; from ``most`` on, at least ``most``. Sampled places come first; a place
-    shares at most one symbol less than the place before it, so the others start
-    from what is left of their sampled neighbour's."""
-    n = len(t)
-    before = np.full(n, -1, np.int64)
+def permuted_common_prefixes(t: np.ndarray, order: np.ndarray, most: int | None = None, wanted: np.ndarray | None = None, sampled: int = 8) -> np.ndarray:
+    """For each place of ``t`` (symbols of 8 or 16 bits), how many symbols its
+    suffix shares with the one before it in ``order``; from ``most`` on, at
+    least ``most``. Sampled places come first; a place shares at most one symbol
+    less than the place before it, so the others start from what is left of
+    their sampled neighbour's. Symbols are compared by words of eight bytes.
+    Places that are not ``wanted`` may have less than they share."""
+    n, size = len(t), t.dtype.itemsize
+    each = 8 // size
+    before = np.full(n, -1, order.dtype)
     before[order[1:]] = order[:-1]
-    padded = np.r_[t.astype(np.uint16), np.arange(1000, 1004, dtype=np.uint16)]
-    four = padded[:n].astype(np.uint64)
-    for k in range(1, 4):
-        four |= padded[k : n + k].astype(np.uint64) << np.uint64(16 * k)
+    padded = np.zeros(n + each, t.dtype)
+    padded[:n] = t
+    words = np.ndarray((n,), "<u8", padded.tobytes(), strides=(size,))
 
     def extend(places: np.ndarray, shared: np.ndarray) -> np.ndarray:
-        active = np.flatnonzero(before[places] >= 0)
+        active = (before[places] >= 0).nonzero()[0]
+        if most is not None:
+            active = active[shared[active] < most]
+        i = places[active] + shared[active]
+        j = before[places[active]] + shared[active]
         while len(active):
-            i = places[active] + shared[active]
-            j = before[places[active]] + shared[active]
             inside = (i < n) & (j < n)
-            active, i, j = active[inside], i[inside], j[inside]
-            x = four[i] ^ four[j]
+            if not inside.all():
+                active, i, j = active[inside], i[inside], j[inside]
+            x = words[i] ^ words[j]
             whole = x == 0
-            part = active[~whole]
-            x = x[~whole]
-            shared[part] += np.where(x & np.uint64(0xFFFF), 0, np.where(x & np.uint64(0xFFFF0000), 1, np.where(x & np.uint64(0xFFFF00000000), 2, 3)))
-            active = active[whole]
-            shared[active] += 4
+            part = ~whole
+            x = x[part]
+            shared[active[part]] += (np.bitwise_count((x & -x) - np.uint64(1)) // (8 * size)).astype(shared.dtype)
+            active, i, j = active[whole], i[whole] + each, j[whole] + each
+            shared[active] += each
             if most is not None:
-                active = active[shared[active] < most]
+                left = shared[active] < most
+                active, i, j = active[left], i[left], j[left]
         return shared
 
-    out = np.zeros(n, np.int64)
+    out = np.zeros(n, order.dtype)
     some = np.arange(0, n, sampled)
-    out[some] = extend(some, np.zeros(len(some), np.int64))
-    rest = np.flatnonzero(np.arange(n) % sampled)
+    out[some] = extend(some, np.zeros(len(some), order.dtype))
+    others = (np.arange(n) % sampled).astype(bool)
+    rest = (others if wanted is None else others & wanted).nonzero()[0]
     out[rest] = extend(rest, np.maximum(0, out[rest - rest % sampled] - rest % sampled))
     return out

@@ -120,7 +120,7 @@ def test_hashes_decide_nothing(spark, passages, monkeypatch):
     tags = {d: zlib.crc32(t.encode()) for d, t in rows}
     claims = [(repeats.CLAIM, 1, tags[1], d, tags[d], 0, 120, 0, 0) for d in (1, 2)]
     asked = spark.createDataFrame(claims, f"{repeats._ROW}, salt long")
-    found = repeats._sharded(texts, asked, 100).collect()
+    found = repeats._decided(repeats._dealt(texts, asked, 100), 100).collect()
     assert {r.id for r in found} <= {1, 2} and all(r.id == 1 or brute(rows)[2][1] for r in found)
     want = brute([(d, t[:120]) for d, t in rows])
     assert {r.id for r in found} == {d for d, w in want.items() if w[1]}
