@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -9,16 +11,19 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no shared folder (tests, one machine).
-FALLBACK_DIR = "/tmp/checkpoints"
+#: Used only where the session names no shared folder and all tasks run on one machine.
+LOCAL_DIR = os.path.join(tempfile.gettempdir(), "checkpoints")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the cluster names it."""
+    """The folder all executors share, as the cluster names it. Only a local
+    session may go without one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return (path or FALLBACK_DIR).rstrip("/")
+    if not path and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (path or LOCAL_DIR).rstrip("/")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -27,7 +32,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.written_to = path
+    return back
+
+
+def discard(written: DataFrame) -> None:
+    """Deletes a table that ``materialize`` wrote and nothing reads any more."""
+    path = written.sparkSession._jvm.org.apache.hadoop.fs.Path(written.written_to)
+    path.getFileSystem(written.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 _HELD: dict[tuple, object] = {}
@@ -54,10 +67,21 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+#: Splits up to which a table with fewer of them than half the cores is dealt anew.
+FEW_SPLITS = 16
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """``rows``; a table of a few splits is dealt by a key, so that all cores
+    have a part of it. Larger ones stay as they are read."""
+    n, cores = rows.rdd.getNumPartitions(), rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, key) if n <= FEW_SPLITS and 2 * n <= cores else rows
+
+
 def strings(batch: pa.RecordBatch, name: str) -> list[str]:
     """A text column as Python strings, null as the empty string."""
     return [x or "" for x in batch.column(name).to_pylist()]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 #: A key of more than one in so many of all rows is heavy: there are at most so
 #: many such keys (twice as many where rows count twice), whatever the rows are,
@@ -56,7 +56,9 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     now, last = written(ordered)
     for _ in range(most_rounds):
-        now, found = written(_star(now, last[0]))
+        before = now
+        now, found = written(_star(before, last[0]))
+        discard(before)
         if found == last:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
         last = found

@@ -6,9 +6,11 @@ relative frequencies of letter trigrams of the whole text, so a prediction is
 one table lookup for each position.
 
 The machines are trained on the driver from a bounded sample of labelled texts
-(``SAMPLE_PER_LANGUAGE`` of at most ``MAX_LANGUAGES`` languages, chosen by a
-hash of the text); their weights, at most one column of 2**16 floats for each
-machine, are broadcast. Prediction reads only the text.
+(``SAMPLE_PER_LANGUAGE`` of each language, chosen by a hash of the id, each text
+once); more than ``MOST_LANGUAGES`` languages are an error, as are machines of
+more than ``MOST_MODEL_BYTES``, which are broadcast: a column of 2**16 floats for
+each family and each pair of languages of a family. Prediction reads only the
+text.
 
 Null texts, empty texts and texts without a letter get ``und`` with score 0, and
 so do all texts if no label was given. Null labels teach nothing. Null ids and
@@ -18,6 +20,7 @@ repeated rows pass through, one result each; empty tables give empty results.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -28,9 +31,9 @@ from pyspark.sql import functions as F
 
 from .common import slices, small_batches, strings
 
-#: Bounds of the training sample.
+#: Bounds of the training sample and of the model.
 SAMPLE_PER_LANGUAGE = 400
-MAX_LANGUAGES = 128
+MOST_LANGUAGES, MOST_MODEL_BYTES = 1000, 1 << 30
 BINS = 1 << 16
 SLICE_BYTES = 2 << 20
 UNKNOWN = "und"
@@ -97,8 +100,14 @@ class Model:
         bins, starts = trigram_bins(texts)
         sizes = np.diff([*starts, starts[-1] + len(texts[-1].encode("utf-8", "replace")) + 2])
 
-        def margin(m: Machine) -> np.ndarray:
-            return np.add.reduceat(m.weights[bins], starts, dtype=np.float64)[: len(texts)] / sizes + m.bias
+        def margin(m: Machine, rows: np.ndarray | None = None) -> np.ndarray:
+            """Of all texts, or of some: only their bins are looked up."""
+            if rows is None or len(rows) == len(texts):
+                return np.add.reduceat(m.weights[bins], starts, dtype=np.float64)[: len(texts)] / sizes + m.bias
+            own = sizes[rows]
+            first = np.cumsum(own) - own
+            at = np.repeat(starts[rows] - first, own) + np.arange(own.sum())
+            return np.add.reduceat(m.weights[bins[at]], first, dtype=np.float64) / own + m.bias
 
         names = sorted(self.families)
         if len(names) == 1:
@@ -116,15 +125,14 @@ class Model:
             languages = self.families[family]
             if not len(rows):
                 continue
-            votes = np.zeros((len(texts), len(languages)))
+            votes = np.zeros((len(rows), len(languages)))
             for m in self.pairs[family]:
-                p = _sigmoid(margin(m))
+                p = _sigmoid(margin(m, rows))
                 votes[:, languages.index(m.positive)] += p
                 votes[:, languages.index(m.negative)] += 1 - p
-            best = votes.argmax(axis=1)[rows]
-            found[rows] = np.array(languages, object)[best]
+            found[rows] = np.array(languages, object)[votes.argmax(axis=1)]
             if len(languages) > 1:
-                score[rows] *= votes.max(axis=1)[rows] / (len(languages) - 1)
+                score[rows] *= votes.max(axis=1) / (len(languages) - 1)
         lettered = [has_letter(t) for t in texts]
         return (
             [f if ok else UNKNOWN for f, ok in zip(found, lettered)],
@@ -180,10 +188,20 @@ def train(sample: list[tuple[str, bytes, bytes, int]]) -> Model:
     return Model(families, layer, pairs)
 
 
-def learn(labelled: DataFrame, text: str, lang: str, per_language: int = SAMPLE_PER_LANGUAGE, most_languages: int = MAX_LANGUAGES) -> Model:
-    """Trains on at most about ``per_language`` texts of each language."""
-    rows = labelled.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).where("text is not null and lang is not null")
-    counted = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
+def learn(labelled: DataFrame, text: str, lang: str, id_col: str = "doc_id", per_language: int = SAMPLE_PER_LANGUAGE, most_languages: int = MOST_LANGUAGES) -> Model:
+    """Trains on about ``per_language`` different texts of each language. Rows
+    without an id are chosen by their text."""
+    key = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.col(text).cast("string")))
+    rows = labelled.select(key.alias("key"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).where("text is not null and lang is not null")
+    counted = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages + 1).collect()
+    if len(counted) > most_languages:
+        raise ValueError(f"more than {most_languages} languages")
+    if not counted:
+        return Model({}, [], {})
+    families = Counter(_FAMILY_OF.get(r["lang"], r["lang"]) for r in counted)
+    machines = len(families) + sum(n * (n - 1) // 2 for n in families.values())
+    if machines * BINS * 4 > MOST_MODEL_BYTES:
+        raise ValueError(f"{machines} machines are more than are broadcast")
     share = F.lit(0.0)
     for r in counted:
         share = F.when(F.col("lang") == r["lang"], min(1.0, per_language / r["count"])).otherwise(share)
@@ -199,9 +217,7 @@ def learn(labelled: DataFrame, text: str, lang: str, per_language: int = SAMPLE_
             kinds = (pa.string(), pa.binary(), pa.binary(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["lang", "bins", "counts", "n"])
 
-    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share * (1 << 20))
-    if not counted:
-        return Model({}, [], {})
+    sample = rows.where(F.pmod("key", F.lit(1 << 20)) < share * (1 << 20)).select("text", "lang").distinct()
     kept = sample.mapInArrow(featurize, "lang string, bins binary, counts binary, n long").limit(2 * per_language * len(counted)).collect()
     return train(sorted((r["lang"], bytes(r["bins"]), bytes(r["counts"]), r["n"]) for r in kept))
 

@@ -34,10 +34,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held, materialize, slices, small_batches, strings
+from .common import discard, held, materialize, slices, small_batches, strings
 from .components import components, spread_join
 
 HASHES, ROWS, BANDS = 128, 4, 22
@@ -160,6 +160,11 @@ def _unpack(column: pa.Array) -> np.ndarray:
     return np.concatenate([packed >> 4, packed & 15], axis=1)
 
 
+def text_hash(text: Column) -> Column:
+    """Tells the texts of rows with one id apart; of a null text that of an empty one."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def _sketches(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     def run(batches):
         for batch in slices(batches, "text", SLICE_BYTES):
@@ -169,14 +174,15 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFr
             packed = (signs[:, : HASHES // 2] << 4 | signs[:, HASHES // 2 :]).tobytes()
             half = HASHES // 2
             arrays = [
-                batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(sums[:, 0].view(np.int64)), pa.array(sums[:, 1].view(np.int64)),
+                batch.column("id"), batch.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()), pa.array(sums[:, 0].view(np.int64)), pa.array(sums[:, 1].view(np.int64)),
                 pa.array([packed[k * half : (k + 1) * half] for k in range(len(sets))], pa.binary()),
                 pa.ListArray.from_arrays(np.arange(0, len(sets) * BANDS + 1, BANDS, dtype=np.int32), pa.array(keys.view(np.int64).ravel())),
             ]
-            yield pa.RecordBatch.from_arrays(arrays, ["id", "n", "s1", "s2", "sign", "bands"])
+            yield pa.RecordBatch.from_arrays(arrays, ["id", "text_hash", "n", "s1", "s2", "sign", "bands"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, n long, s1 long, s2 long, sign binary, bands array<long>")
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_hash(text).alias("text_hash"), text.alias("text"))
+    return rows.mapInArrow(run, "id long, text_hash long, n long, s1 long, s2 long, sign binary, bands array<long>")
 
 
 def _loose(reps: DataFrame, percent: int) -> DataFrame:
@@ -347,13 +353,16 @@ def links(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, width: i
     first = components(_verified(loose, sets, percent))
     members = materialize(_named(_named(nodes, groups, "group"), first, "label"), "members")
     second = materialize(_strays(members, sets, percent), "strays")
+    for done in (loose, sets, members):
+        discard(done)
     if not second.limit(1).count():
         return first
     return components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(second))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 80) -> DataFrame:
-    """``(id, n_shingles, component_id, kept)`` for every row of ``docs``."""
+    """``(id, n_shingles, component_id, kept, text_hash)`` for every row of
+    ``docs``; ``text_hash`` is of the text that the verdict is about."""
     small_batches(docs.sparkSession)
     sketches = materialize(_sketches(docs, id_col, text_col, width), "sketches")
     key = ["s1", "s2", "n"]
@@ -361,6 +370,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = materialize(reps, "classes")
     found = links(docs, reps, id_col, text_col, width, percent)
     named = reps.select(*key, "rep").join(found, F.col("rep") == F.col("node"), "left").select(*key, F.coalesce("component", "rep").alias("component_id"))
-    rows = sketches.select("id", *key).join(named, key, "left")
+    rows = sketches.select("id", "text_hash", *key).join(named, key, "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce(F.col("component_id"), F.col("id")))
-    return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+    return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"), "text_hash")

@@ -43,19 +43,19 @@ def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     rows = rows.withColumn("_words", F.filter(F.split("_text", WORD_GAP), lambda w: w != ""))
     rows = rows.withColumn("_lines", F.filter(F.split("_text", "\n"), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]"))))
     rows = rows.withColumn("_n", F.size("_words"))
-    # three-word windows by hash and place; in order of the hash, equal ones are neighbours
-    windows = F.when(
-        F.col("_n") >= 3,
-        F.array_sort(F.transform(F.sequence(F.lit(0), F.col("_n") - 3), lambda i: F.struct(F.xxhash64(_at("_words", i), _at("_words", i + 1), _at("_words", i + 2)).alias("h"), i.alias("i")))),
-    )
-    rows = rows.withColumn("_windows", windows)
-    twice = F.zip_with(
-        F.slice("_windows", F.lit(1), F.greatest(F.size("_windows") - 1, F.lit(0))),
-        F.slice("_windows", F.lit(2), F.greatest(F.size("_windows") - 1, F.lit(0))),
-        lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])),
-    )
-    starts = F.array_distinct(F.flatten(F.filter(twice, lambda x: x.isNotNull())))
-    covered = F.array_distinct(F.flatten(F.transform(starts, lambda i: F.array(i, i + 1, i + 2))))
+    # each word is hashed once; windows of three by hash and place, in order of
+    # the hash, where equal ones are neighbours
+    rows = rows.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w)))
+    last = F.greatest(F.col("_n") - 3, F.lit(0))
+    windows = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(F.xxhash64(*(F.get("_hashes", i + k) for k in range(3))).alias("h"), i.alias("i")))
+    rows = rows.withColumn("_windows", F.array_sort(windows))
+    # how many windows of each place's hash are its neighbours; starts of repeated ones, in order
+    same = lambda i, j: F.coalesce(F.get("_windows", i)["h"] == F.get("_windows", j)["h"], F.lit(False))
+    repeated = F.filter(F.sequence(F.lit(0), last), lambda k: same(k, k + 1) | ((k > 0) & same(k, F.greatest(k - 1, F.lit(0)))))
+    rows = rows.withColumn("_starts", F.when(F.col("_n") >= 3, F.array_sort(F.transform(repeated, lambda k: F.get("_windows", k)["i"]))).otherwise(F.array().cast("array<int>")))
+    # a window adds as many words as the next one starts after it, three at most
+    gaps = F.zip_with(F.slice("_starts", F.lit(2), F.greatest(F.size("_starts") - 1, F.lit(0))), F.slice("_starts", F.lit(1), F.greatest(F.size("_starts") - 1, F.lit(0))), lambda b, a: F.least(b - a, F.lit(3)))
+    covered = F.when(F.size("_starts") > 0, F.aggregate(gaps, F.lit(3), lambda total, gap: total + gap)).otherwise(F.lit(0))
     # the partition's number, times 0, keeps filters on statistics above this
     # projection: pushed below, they would take the texts apart again for each use
     rows = rows.withColumn("_stats", F.struct(
@@ -63,7 +63,7 @@ def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
         F.char_length(F.regexp_replace("_text", WORD_GAP, "")).cast("long").alias("word_chars"),
         (F.char_length("_text") - F.char_length(F.translate("_text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        F.coalesce(F.size(covered), F.lit(0)).cast("long").alias("n_repeat_words"),
+        covered.cast("long").alias("n_repeat_words"),
         F.size("_lines").cast("double").alias("n_lines"),
         (F.char_length("_text") - F.char_length(F.regexp_replace("_text", r"[A-Z\xC0-\xDE]", ""))).cast("double").alias("n_upper"),
         (F.char_length("_text") - F.char_length(F.translate("_text", "!?;:/\\{}[]=~^_@+", ""))).cast("double").alias("n_marks"),
@@ -72,10 +72,6 @@ def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return rows.select("_row", "_stats")
 
 
-def _at(column: str, i: Column) -> Column:
-    return F.col(column)[i]
-
-
 def features(stats: str = "_stats") -> dict[str, Column]:
     s = {c: F.col(f"{stats}.{c}").cast("double") for c in [*COUNTS, "n_lines", "n_upper", "n_marks", "n_distinct"]}
     per = lambda a, b: F.when(s[b] > 0, s[a] / s[b]).otherwise(F.lit(0.0))
@@ -182,14 +178,17 @@ def cover(x: np.ndarray, bad: np.ndarray, seed: int = 0) -> list[Rule]:
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """A list for the rows labelled 0, from at most ``sample_rows`` labels."""
+    """A list for the rows labelled 0, from at most ``sample_rows`` labelled ids,
+    chosen by hash. Of several labels of an id the least counts, of several texts
+    the first in order."""
     known = labels.select(F.col(label_id).alias("_id"), F.col(label_col).cast("int").alias("_label")).where("_id is not null and _label is not null")
+    known = known.groupBy("_id").agg(F.min("_label").alias("_label"))
     n = known.count()
     share = min(1.0, sample_rows / max(1, n))
     chosen = known.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < share * (1 << 20)).limit(sample_rows)
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    # the sample is bounded, so sending it to all is
-    sampled = texts.join(F.broadcast(chosen), "_id").select("_label", "_text")
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    # the sample is bounded, so sending it to all is, and so is a row an id of it
+    sampled = texts.join(F.broadcast(chosen), "_id").groupBy("_id", "_label").agg(F.min("_text").alias("_text")).select("_label", "_text")
     stats = with_statistics(sampled, "_text")
     of = features()
     rows = stats.where(~base_failed()).select(F.col("_row._label").alias("label"), *(of[f].alias(f) for f in FEATURES)).collect()

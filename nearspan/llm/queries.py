@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import ann, chat, language_id, quality_rules, url_filter
 from .bpe import encode_texts
-from .common import table
+from .common import spread, table
 from .near_duplicates import near_duplicates
 from .packing import pack
 from .repeats import remove_repeats
@@ -15,7 +15,7 @@ from .token_counts import count_tokens
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _documents(spark, sf_dir, "doc_id", "text")
     return remove_repeats(docs).select(F.col("_row.doc_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
@@ -44,7 +44,7 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return count_tokens(table(spark, sf_dir, "documents"))
+    return count_tokens(_documents(spark, sf_dir, "doc_id", "text"))
 
 
 def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +53,7 @@ def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = _documents(spark, sf_dir, "doc_id", "text", "lang")
     labelled = docs.where(~language_id.held_out() & F.col("doc_id").isNotNull())
     model = language_id.learn(labelled, "text", "lang")
     found = language_id.predict(docs.select("doc_id", "text"), model)
@@ -61,7 +61,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _documents(spark, sf_dir, "doc_id", "text")
     rules = quality_rules.learn(docs, table(spark, sf_dir, "labels"))
     return quality_rules.judge(docs, rules).select(F.col("_row.doc_id").alias("doc_id"), *quality_rules.COUNTS, "base_failed", "kept")
 
@@ -76,15 +76,20 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_texts(table(spark, sf_dir, "documents"), keep_ids=False).drop("ids")
+    return encode_texts(_documents(spark, sf_dir, "doc_id", "text"), keep_ids=False).drop("ids")
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"))
+    return pack(_documents(spark, sf_dir, "doc_id", "text"))
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
+    return near_duplicates(_documents(spark, sf_dir, "doc_id", "text"), width=4, percent=80).drop("text_hash")
+
+
+def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return spread(docs.select(*columns) if columns else docs, "doc_id")
 
 
 QUERIES = {

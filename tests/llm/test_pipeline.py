@@ -1,4 +1,6 @@
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from nearspan.llm import language_id, quality_rules
@@ -90,3 +92,51 @@ def test_quality_counts(spark):
         assert got[d] == (*n, failed, not failed), d
     assert quality_rules.judge(docs.limit(0), []).count() == 0
     assert quality_rules.learn(docs.limit(0), spark.createDataFrame([], "doc_id long, quality int")) == []
+
+
+def test_list_of_rules_as_columns(spark):
+    """The conditional expressions say what the rules say, rule by rule, and the
+    learned list of the table is one of them."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    learned = quality_rules.learn(docs.unionByName(docs), labels.unionByName(labels))
+    made = [(quality_rules.Condition("n_words", False, 80.0), quality_rules.Condition("upper_share", True, 0.02)), (quality_rules.Condition("distinct_word_share", False, 0.6),)]
+    assert learned and learned == quality_rules.learn(docs, labels)
+    of = quality_rules.features()
+    for rules in (learned, made, []):
+        rows = quality_rules.with_statistics(docs).select(*(of[f].alias(f) for f in quality_rules.FEATURES), quality_rules.verdict(rules).alias("kept")).collect()
+        x = np.array([[r[f] for f in quality_rules.FEATURES] for r in rows])
+        hit = np.zeros(len(x), bool)
+        for rule in rules:
+            hit |= quality_rules._covers(rule, x)
+        assert [r.kept for r in rows] == (~hit).tolist()
+        assert rules == [] or hit.any()
+
+
+def test_learning_from_odd_rows(spark):
+    long = "das ist ein langer text " * 40_000
+    rows = [(k, f"the cat and the dog number {k} sat on the mat", "en") for k in range(30)] + [(100 + k, f"der hund und die katze nummer {k} sind im haus", "de") for k in range(30)]
+    rows += [(200, "le chat et le chien sont dans la maison", "fr")] * 50 + [(None, "el gato y el perro", "es"), (300, long, "de"), (301, None, "en"), (302, "x", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("lang_pred", F.lit("old"))
+    model = language_id.learn(docs, "text", "lang")
+    assert sorted(code for own in model.families.values() for code in own) == ["de", "en", "es", "fr"]
+    got = language_id.predict(docs, model).collect()
+    assert len(got) == len(rows) and {r.lang_pred for r in got if r.doc_id in (200, 300)} == {"fr", "de"}
+    assert len([r for r in got if r.doc_id == 200]) == 50
+    with pytest.raises(ValueError, match="languages"):
+        language_id.learn(docs, "text", "lang", most_languages=2)
+
+
+def test_stages_on_odd_rows(spark):
+    """Empty tables, null ids, repeated ids and rows, nulls in any column."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    text = docs.where("length(text) > 2000 and lang = 'en'").orderBy("doc_id").first().text
+    other = " ".join(f"word{k} and the other {k * k}" for k in range(90))
+    rows = [(1, text, "en", "a", 1), (1, other, None, None, None), (2, text + " tail", "en", "a", 1), (2, other[::-1], "en", "b", 2), (None, text, "en", "a", 1), (3, None, "en", "a", 0), (1, text, "en", "a", 1)]
+    odd = spark.createDataFrame(rows, docs.schema)
+    kept = corpus_pipeline.near_duplicate(spark, odd, SF).collect()
+    assert sorted(str((r.doc_id, r.text and r.text[:9])) for r in kept) == sorted(str(x) for x in [(1, text[:9]), (1, text[:9]), (1, other[:9]), (2, other[::-1][:9]), (None, text[:9]), (3, None)])
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0, name
+        found = stage(spark, odd, SF)
+        assert found.count() >= 0 and (name == "packing" or found.schema == odd.schema), name
