@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearspan.llm import language_id, quality_rules
-from nearspan.llm.common import materialize, table
-from nearspan.llm.near_duplicates import near_duplicates
+from nearspan.llm.common import materialize, spread, table
+from nearspan.llm.near_duplicates import near_duplicates, text_hash
 from nearspan.llm.packing import pack
 from nearspan.llm.repeats import remove_repeats
 
@@ -34,10 +34,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of texts that are alike in five-word shingles, the one of
-    the smallest id stays; so do rows without an id."""
+    the smallest id stays; so do rows without an id. The verdict is on a text, not
+    on an id: of rows with one id those stay whose own text does. Rows that repeat
+    a document, id and text, stay or go together."""
     judged = near_duplicates(docs, width=5, percent=80)
-    gone = judged.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone.hint("merge"), F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = judged.where(~F.col("kept")).select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_hash")).distinct()
+    own = (F.col("doc_id") == F.col("_gone")) & (text_hash(F.col("text")) == F.col("_hash"))
+    return docs.join(gone.hint("merge"), own, "left_anti")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,7 +67,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages in order, each written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"), "doc_id")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
