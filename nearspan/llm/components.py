@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -31,8 +32,43 @@ def _with_least(pairs: DataFrame, n: int) -> DataFrame:
     return spread_join(pairs, least, "u", n).withColumn("m", F.least("m", "u"))
 
 
+#: Links that a task joins at a time.
+HELD_LINKS = 1 << 18
+
+
+def _contracted(links: DataFrame) -> DataFrame:
+    """Links (a, b), a > b, that connect what ``links`` do: of each part that a
+    task reads, a star about the least node of each of the part's components."""
+
+    def run(batches):
+        root: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while (y := root.get(x, x)) != x:
+                root[x] = root.get(y, y)
+                x = y
+            return x
+
+        def stars():
+            found = [(x, t) for x in root if (t := top(x)) != x]
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+                a, b = top(a), top(b)
+                root[max(a, b)] = root[min(a, b)] = min(a, b)
+            if len(root) >= HELD_LINKS:
+                yield stars()
+                root.clear()
+        if root:
+            yield stars()
+
+    return links.mapInArrow(run, "a long, b long")
+
+
 def _star(links: DataFrame, n: int) -> DataFrame:
     """A large-star step, then a small-star step; links (a, b) with a > b."""
+    links = _contracted(links)
     both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
     large = _with_least(both, n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
     small = _with_least(large, n)
@@ -44,8 +80,9 @@ def _star(links: DataFrame, n: int) -> DataFrame:
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """links (a, b) of any order, repeated or not. Gives (node, component), the
     least node of its component, for each node but the least ones themselves.
-    The rounds alternate large and small stars, so their number is about the
-    logarithm of the longest path; each is written before the next."""
+    Each round joins what a task reads, then alternates large and small stars, so
+    their number is about the logarithm of the longest path at most; each is
+    written before the next."""
     ordered = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
     def written(rows: DataFrame) -> tuple[DataFrame, tuple]:

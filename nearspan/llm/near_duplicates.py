@@ -23,8 +23,9 @@
 
 Ids have to be numbers. Null and blank texts have no shingles and link with nothing; texts of fewer
 words than a shingle are one shingle. Rows without an id take no part (component
-null, kept). Rows of one id are judged each by its own text; repeated rows get
-the same result. Empty tables give empty results. Only named columns are read.
+null, kept). Rows of one id and different texts have each its own set and, if
+it equals another's, that one's class; found links are an id's, so what a near
+copy among them links to, all of them do. Repeated rows get the same result. Empty tables give empty results. Only named columns are read.
 """
 
 from __future__ import annotations
