@@ -34,9 +34,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of texts that are alike in five-word shingles, the one of
-    the smallest id stays; so do rows without an id. The verdict is on a text, not
-    on an id: of rows with one id those stay whose own text does. Rows that repeat
-    a document, id and text, stay or go together."""
+    the smallest id stays; so do rows without an id. Of rows with one id
+    and different texts those go whose own text does. Rows that repeat a document,
+    id and text, stay or go together."""
     judged = near_duplicates(docs, width=5, percent=80)
     gone = judged.where(~F.col("kept")).select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_hash")).distinct()
     own = (F.col("doc_id") == F.col("_gone")) & (text_hash(F.col("text")) == F.col("_hash"))
