@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,27 +80,23 @@ def radius_of_gyration(atoms: DataFrame) -> DataFrame:
 
 
 def shape_ratios(atoms: DataFrame) -> DataFrame:
-    """Singular values of centred positions over the largest. They are roots of
-    the eigenvalues of a 3 x 3 matrix of sums, so only six numbers a structure
-    reach Python."""
-    import numpy as np
-
+    """Singular values of centred positions over the largest, rounded to 8
+    digits; null where there are fewer points than axes. They are roots of the
+    eigenvalues of a 3 x 3 matrix of sums, which have a closed form."""
     base = atoms.groupBy("structure_id").agg(*(F.avg(x).alias(f"m{x}") for x in "xyz"))
     off = atoms.join(base, "structure_id")
     of = {x: F.col(x).cast("double") - F.col(f"m{x}") for x in "xyz"}
     pairs = ["xx", "xy", "xz", "yy", "yz", "zz"]
     sums = off.groupBy("structure_id").agg(*(F.sum(of[p[0]] * of[p[1]]).alias(p) for p in pairs), F.count("*").alias("n"))
-    kind = sums.schema["structure_id"].dataType.simpleString()
-
-    def roots(frames):
-        for f in frames:
-            m = f[["xx", "xy", "xz", "xy", "yy", "yz", "xz", "yz", "zz"]].to_numpy(float).reshape(-1, 3, 3)
-            s = np.sqrt(np.maximum(np.linalg.eigvalsh(m)[:, ::-1], 0))
-            ratio = np.where(s[:, :1] > 0, s / np.where(s[:, :1] > 0, s[:, :1], 1), 0.0)
-            ratio[np.arange(3) >= f["n"].to_numpy()[:, None]] = np.nan  # fewer points than axes
-            out = f[["structure_id"]].copy()
-            for k in range(3):
-                out[f"ratio_{k + 1}"] = np.round(ratio[:, k], 8)
-            yield out
-
-    return sums.mapInPandas(roots, f"structure_id {kind}, ratio_1 double, ratio_2 double, ratio_3 double")
+    xx, xy, xz, yy, yz, zz = map(F.col, pairs)
+    mean = (xx + yy + zz) / 3
+    sums = sums.withColumn("mean", mean).withColumn("size", F.sqrt(((xx - mean) ** 2 + (yy - mean) ** 2 + (zz - mean) ** 2 + 2 * (xy * xy + xz * xz + yz * yz)) / 6))
+    a, b, c = ((x - F.col("mean")) / F.col("size") for x in (xx, yy, zz))
+    d, e, f = (x / F.col("size") for x in (xy, xz, yz))
+    half_det = (a * (b * c - f * f) - d * (d * c - f * e) + e * (d * f - b * e)) / 2
+    angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), half_det))) / 3
+    turned = lambda k: F.col("mean") + 2 * F.col("size") * F.cos(F.when(F.col("size") > 0, angle).otherwise(F.lit(0.0)) + k * 2 * math.pi / 3)
+    sums = sums.withColumn("big", turned(0)).withColumn("small", turned(1))
+    roots = [F.col("big"), 3 * F.col("mean") - F.col("big") - F.col("small"), F.col("small")]
+    ratio = lambda x: F.when(F.col("big") > 0, F.sqrt(F.greatest(F.lit(0.0), x) / F.col("big"))).otherwise(F.lit(0.0))
+    return sums.select("structure_id", *(F.when(F.col("n") > k, F.round(ratio(x), 8)).alias(f"ratio_{k + 1}") for k, x in enumerate(roots)))

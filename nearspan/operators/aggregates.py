@@ -53,3 +53,10 @@ def timing_summary(runs: DataFrame) -> DataFrame:
     return runs.groupBy("name").agg(
         F.median("seconds").alias("median_s"), F.min("seconds").alias("min_s"), F.max("seconds").alias("max_s"), (F.max("pairs") / F.median("seconds")).alias("pairs_per_s")
     )
+
+
+def summary(rows: DataFrame, ids: str, others: list[str]) -> DataFrame:
+    """One row: numbers of rows and of different ids, and of each other column
+    the number of different values, the least and the most."""
+    of = [f(c).alias(f"{n}_{c}") for c in others for n, f in (("n", F.countDistinct), ("min", F.min), ("max", F.max))]
+    return rows.agg(F.count("*").alias("n_rows"), F.countDistinct(ids).alias("n_ids"), *of)

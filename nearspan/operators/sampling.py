@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from nearspan.functions import hash_score
 
+from .ordered import running_sum
+
 
 def bottom_k(rows: DataFrame, key: str, seed: int, k: int) -> DataFrame:
     """The ``k`` rows of the least scores: a top-k of each task, then of those."""
@@ -46,3 +48,12 @@ def rows_by_key(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
 def nearest_by(rows: DataFrame, *order: Column) -> DataFrame:
     """The first row of an order."""
     return rows.orderBy(*order).limit(1)
+
+
+def median_ranked(rows: DataFrame, order: str, key: str) -> DataFrame:
+    """The row in the middle of an order (ties by key): of n rows the one that
+    n // 2 rows come before. Places come from running sums over ranges."""
+    n = rows.count()
+    placed = running_sum(rows.groupBy(order).agg(F.sort_array(F.collect_list(key)).alias("_keys")).withColumn("_n", F.size("_keys")), order, "_n", "_stop")
+    middle = placed.where((F.col("_stop") > n // 2) & (F.col("_stop") - F.col("_n") <= n // 2))
+    return middle.select(F.get("_keys", (F.lit(n // 2) - F.col("_stop") + F.col("_n")).cast("int")).alias(key), order)

@@ -8,10 +8,15 @@ it tries all shifts in a wide range by the direct formula.
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearspan import functions as fn
+from nearspan import sources
 from nearspan.operators import aggregates, checks, sampling, transform
 from nearspan.operators.geometry import image_table, with_geometry
 from nearspan.operators.neighbors import neighbor_pairs, project
@@ -370,6 +375,111 @@ def minibatches(spark, sf_dir):
     return transform.minibatches(_read(spark, sf_dir, "events").select(F.col("user_id").alias("structure_id")).distinct(), SEED, 32)
 
 
-@query(None)
+_SHAPE_SQL = f"""
+with a as ({_atoms_sql()}), m as (select structure_id, avg(x) as mx, avg(y) as my, avg(z) as mz, count(*) as n from a group by 1),
+s as (select structure_id, n, sum((x - mx) * (x - mx)) as xx, sum((x - mx) * (y - my)) as xy, sum((x - mx) * (z - mz)) as xz, sum((y - my) * (y - my)) as yy, sum((y - my) * (z - mz)) as yz, sum((z - mz) * (z - mz)) as zz from a join m using (structure_id) group by 1, 2),
+c as (select *, -(xx + yy + zz) as c2, xx * yy + xx * zz + yy * zz - xy * xy - xz * xz - yz * yz as c1, -(xx * yy * zz + 2 * xy * xz * yz - xx * yz * yz - yy * xz * xz - zz * xy * xy) as c0 from s),
+q as (select *, c2 * c2 - 3 * c1 as p, 4.5 * c1 * c2 - c2 * c2 * c2 - 13.5 * c0 as r from c),
+t as (select *, acos(greatest(-1, least(1, r / pow(p, 1.5)))) / 3 as t from q),
+l as (select structure_id, n, (2 * sqrt(p) * cos(t) - c2) / 3 as l1, (2 * sqrt(p) * cos(t - 2 * pi() / 3) - c2) / 3 as l2, (2 * sqrt(p) * cos(t + 2 * pi() / 3) - c2) / 3 as l3 from t)
+select structure_id, round(1.0::double, 5) as ratio_1, case when n > 1 then round(sqrt(greatest(0, l2) / l1), 5) end as ratio_2, case when n > 2 then round(sqrt(greatest(0, l3) / l1), 5) end as ratio_3 from l
+"""
+
+
+@query(_SHAPE_SQL)
 def shape_ratios(spark, sf_dir):
-    return fn.shape_ratios(atoms_of(spark, sf_dir))
+    """The SQL solves the characteristic polynomial instead."""
+    found = fn.shape_ratios(atoms_of(spark, sf_dir))
+    return found.select("structure_id", *(F.round(f"ratio_{k}", 5).alias(f"ratio_{k}") for k in (1, 2, 3)))
+
+
+@query("""
+with a as (select cast(label as bigint) as structure_id, vec_id as atom_id, embedding[1] as x, embedding[2] as y, embedding[3] as z from embeddings),
+p as (select structure_id, s.atom_id as i, t.atom_id as j, t.x - s.x as dx, t.y - s.y as dy, t.z - s.z as dz from a s join a t using (structure_id) where s.atom_id <> t.atom_id)
+select structure_id, i, j, cast(0 as integer) as sx, cast(0 as integer) as sy, cast(0 as integer) as sz from p where (dx * dx + dy * dy) + dz * dz < cast(0.1::double * 0.1::double as float)
+""")
+def nl_float32_cells(spark, sf_dir):
+    """Single precision by bins and blocks."""
+    e = F.col("embedding")
+    atoms = _read(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("structure_id"), F.col("vec_id").alias("atom_id"), *(e[k].alias(x) for k, x in enumerate("xyz")))
+    return neighbor_pairs(atoms, structures_of(spark, sf_dir, False), 0.1, algorithm="cell_list", most_whole=60).select(*SCALARS)
+
+
+@query(f"select i as p1, j as p2, sx as s1, sy as s2, sz as s3, dx as d1, dy as d2, dz as d3 from ({_pairs_sql(NEAR, columns='D')})")
+def nl_pairs_and_displacements(spark, sf_dir):
+    found = project(_pairs(spark, sf_dir), "PSD")
+    return found.select(*(F.col(c)[k].alias(f"{n}{k + 1}") for c, n, size in (("pair", "p", 2), ("shift", "s", 3), ("displacement", "d", 3)) for k in range(size)))
+
+
+@query(f"""with p as ({_pairs_sql(NEAR, columns='')}), n as (select structure_id, count(*) as n, sum(i * 31 + j * 17 + sx * 5 + sy * 3 + sz) as s from p group by 1)
+select structure_id, n as n_pairs, cast(s as bigint) as weighted from n""")
+def pair_digest_counts(spark, sf_dir):
+    """Numbers of pairs as the digest counts them, and a sum that SQL can make too."""
+    pairs = _pairs(spark, sf_dir)
+    weighted = pairs.groupBy("structure_id").agg(F.sum(F.col("i") * 31 + F.col("j") * 17 + F.col("sx") * 5 + F.col("sy") * 3 + F.col("sz")).alias("weighted"))
+    return checks.pair_digest(pairs).select("structure_id", "n_pairs").join(weighted, "structure_id")
+
+
+@query("select o_orderkey, o_totalprice from (select o_orderkey, o_totalprice, row_number() over (order by o_totalprice, o_orderkey) as r, count(*) over () as n from orders) where r = n // 2 + 1")
+def median_ranked(spark, sf_dir):
+    return sampling.median_ranked(_read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", "o_orderkey")
+
+
+@query("""with s as (select cast(label as bigint) as structure_id, count(*) as n from embeddings group by 1), v as (select structure_id, n, 1 + structure_id * 0.25::double as f from s),
+l as (select structure_id, n, 4.0 * f as la, sqrt(0.25 * f * f + 25.0) as lb, sqrt(0.0625 * f * f + 36.25) as lc from v)
+select structure_id, n as n_atoms from l order by abs(n - 64), abs(greatest(la, lb, lc) / least(la, lb, lc) - 1.5), structure_id limit 1""")
+def nearest_size_and_shape(spark, sf_dir):
+    counts = atoms_of(spark, sf_dir).groupBy("structure_id").agg(F.count("*").alias("n_atoms"))
+    rows = counts.join(fn.cell_metrics(_varied(spark, sf_dir)).select("structure_id", "anisotropy"), "structure_id")
+    return sampling.nearest_by(rows, F.abs(F.col("n_atoms") - 64), F.abs(F.col("anisotropy") - 1.5), F.col("structure_id")).select("structure_id", "n_atoms")
+
+
+@query("select o_orderpriority as name, median(o_totalprice) as median_s, min(o_totalprice) as min_s, max(o_totalprice) as max_s, max(o_custkey) / median(o_totalprice) as pairs_per_s from orders group by 1")
+def timing_summary(spark, sf_dir):
+    rows = _read(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("name"), F.col("o_totalprice").alias("seconds"), F.col("o_custkey").alias("pairs"))
+    return aggregates.timing_summary(rows)
+
+
+@query("select count(*) as n_rows, count(distinct o_custkey) as n_ids, count(distinct o_orderstatus) as n_o_orderstatus, min(o_orderstatus) as min_o_orderstatus, max(o_orderstatus) as max_o_orderstatus, count(distinct o_orderkey) as n_o_orderkey, min(o_orderkey) as min_o_orderkey, max(o_orderkey) as max_o_orderkey from orders")
+def dataset_summary(spark, sf_dir):
+    return aggregates.summary(_read(spark, sf_dir, "orders"), "o_custkey", ["o_orderstatus", "o_orderkey"])
+
+
+_ELEMENTS = list(fn.ATOMIC_NUMBERS)
+
+
+@query(f"""with n as (select unnest(range(0, 3)) as k) select cast(vec_id as varchar) as source_id, k as ordinal, cast(([{', '.join(map(str, fn.ATOMIC_NUMBERS.values()))}])[(vec_id + k) % {len(_ELEMENTS)} + 1] as integer) as z_number,
+round(embedding[3 * k + 1]::double * 10, 4) as x, round(embedding[3 * k + 2]::double * 10, 4) as y, round(embedding[3 * k + 3]::double * 10, 4) as z from embeddings, n""")
+def sdf_atoms(spark, sf_dir):
+    """Molecules of three atoms each, written as MDL V2000 and parsed."""
+    e, names = F.col("embedding"), F.array(*map(F.lit, _ELEMENTS))
+    line = lambda k: F.format_string("%10.4f%10.4f%10.4f %-3s 0  0\n", *(F.round(e[3 * k + m].cast("double") * 10, 4) for m in range(3)), F.get(names, ((F.col("vec_id") + k) % len(_ELEMENTS)).cast("int")))
+    head = F.concat(F.lit("m\n\n\n  3  0  0  0  0  0  0  0  0  0999 V2000\n"), *(line(k) for k in range(3)), F.lit("M  END\n"))
+    files = _read(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("name"), head.alias("text"))
+    return sources.parse_sdf_rows(files)
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A new folder beside the checkpoints, which all executors share."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{base or os.path.join(tempfile.gettempdir(), 'checkpoints')}/{name}-{uuid.uuid4().hex}"
+
+
+@query("select c_custkey, c_name, c_acctbal, c_custkey || '|' || c_nationkey as keys from customer")
+def csv_round_trip(spark, sf_dir):
+    """Written with lists joined by bars, read by names in another order."""
+    path = _scratch(spark, "csv")
+    rows = _read(spark, sf_dir, "customer")
+    sources.write_csv(rows.select("c_name", F.array("c_custkey", F.col("c_nationkey").cast("long")).alias("keys"), "c_acctbal", "c_custkey", "c_mktsegment"), path)
+    kinds = ", ".join(f"{n} {t}" for n, t in rows.select("c_custkey", "c_name", "c_acctbal").dtypes)
+    return sources.read_csv(spark, path, f"{kinds}, keys string")
+
+
+@query("select r_regionkey, r_name from region")
+def json_round_trip(spark, sf_dir):
+    path = _scratch(spark, "json")
+    rows = _read(spark, sf_dir, "region").select("r_regionkey", "r_name")
+    sources.write_json(rows, path)
+    return spark.read.schema(rows.schema).json(path)

@@ -20,7 +20,8 @@ from nearspan.streaming import neighbor_stream, split
 from tests.conftest import SF
 
 LIGHT = ["nl_finite_full", "nl_periodic_half_self", "nl_auto", "nl_quantities", "nl_time_of_day", "batch_offsets", "structure_of_atom", "minibatches", "images", "supercell_2x2x2", "half_to_full", "full_to_half",
-         "hash_stratified_sample", "bottom_k_per_bin_excl", "argmin_per_group", "cell_metrics", "radius_of_gyration", "pair_digests_agree", "pair_diff_brute_vs_cells"]
+         "hash_stratified_sample", "bottom_k_per_bin_excl", "argmin_per_group", "cell_metrics", "radius_of_gyration", "pair_digests_agree", "pair_diff_brute_vs_cells", "shape_ratios", "nl_float32_cells", "nl_pairs_and_displacements", "pair_digest_counts",
+         "median_ranked", "nearest_size_and_shape", "timing_summary", "dataset_summary", "sdf_atoms", "csv_round_trip", "json_round_trip"]
 
 
 @pytest.mark.parametrize("name", LIGHT)
