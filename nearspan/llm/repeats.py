@@ -52,7 +52,7 @@ LENGTH, GRAM = 100, 32
 #: Bytes of text hashed at a time, and rows gathered before equal segments are put together.
 PIECE_BYTES, FLUSH_ROWS = 1 << 20, 200_000
 #: Bytes of segments in one suffix array, and of a claimed text in one shard.
-SHARD_BYTES, CHUNK_BYTES = 6 << 20, 4096
+SHARD_BYTES, CHUNK_BYTES = 4 << 20, 4096
 #: Copies of a claimed segment in one shard.
 SALTED = 4096
 #: Different segments of an anchor up to which they meet in a shard; each has at most 168 bytes.
