@@ -14,7 +14,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Suffixes that a step of a sweep takes at first, and at most.
-STEP, MOST_STEP = 256, 1 << 16
+STEP, MOST_STEP = 256, 1 << 14
 
 
 def _place(order: np.ndarray, symbols: np.ndarray, fill: np.ndarray, into: np.ndarray, down: bool) -> None:
