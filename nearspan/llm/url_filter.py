@@ -85,17 +85,15 @@ def _log_gamma(x: Column) -> Column:
 
 
 def _strength(groups: DataFrame, mean: Column) -> float:
-    """The most probable strength of a level's prior; one row of sums comes back."""
-    n, bad = F.col("n"), F.col("bad")
-
-    def log_likelihood(s: float) -> Column:
-        parts = [(s * mean, bad, 1), (s * (1 - mean), n - bad, 1), (F.lit(s), n, -1)]
-        return sum((sign * (_log_gamma(a + k) - _log_gamma(a)) for a, k, sign in parts), F.lit(0.0))
-
-    row = groups.where(n > 0).agg(*(F.sum(log_likelihood(s)).alias(f"s{k}") for k, s in enumerate(STRENGTHS))).first()
+    """The most probable strength of a level's prior; a sum for each comes back."""
+    n, bad, s = F.col("n"), F.col("bad"), F.col("_s")
+    parts = [(s * F.col("_mean"), bad, 1), (s * (1 - F.col("_mean")), n - bad, 1), (s, n, -1)]
+    log_likelihood = sum((sign * (_log_gamma(a + k) - _log_gamma(a)) for a, k, sign in parts), F.lit(0.0))
+    # a row for each strength, so that the expression is one
+    each = groups.where(n > 0).select("n", "bad", mean.alias("_mean"), F.explode(F.array(*map(F.lit, STRENGTHS))).alias("_s"))
+    sums = {r["_s"]: r["w"] for r in each.groupBy("_s").agg(F.sum(log_likelihood).alias("w")).collect()}
     # on a grid of equal ratios, flat in 1 / (1 + s)
-    weights = [(row[k] or 0.0) + math.log(s) - 2 * math.log1p(s) for k, s in enumerate(STRENGTHS)]
-    return STRENGTHS[max(range(len(STRENGTHS)), key=weights.__getitem__)]
+    return max(STRENGTHS, key=lambda x: sums.get(x, 0.0) + math.log(x) - 2 * math.log1p(x))
 
 
 def _shrunk(mean: Column, strength: float) -> Column:
