@@ -32,8 +32,8 @@ def _with_least(pairs: DataFrame, n: int) -> DataFrame:
     return spread_join(pairs, least, "u", n).withColumn("m", F.least("m", "u"))
 
 
-#: Links that a task joins at a time.
-HELD_LINKS = 1 << 18
+#: Nodes that a task joins at a time.
+HELD_NODES = 1 << 20
 
 
 def _contracted(links: DataFrame) -> DataFrame:
@@ -57,7 +57,7 @@ def _contracted(links: DataFrame) -> DataFrame:
             for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
                 a, b = top(a), top(b)
                 root[max(a, b)] = root[min(a, b)] = min(a, b)
-            if len(root) >= HELD_LINKS:
+            if len(root) >= HELD_NODES:
                 yield stars()
                 root.clear()
         if root:
@@ -66,12 +66,15 @@ def _contracted(links: DataFrame) -> DataFrame:
     return links.mapInArrow(run, "a long, b long")
 
 
-def _star(links: DataFrame, n: int) -> DataFrame:
-    """A large-star step, then a small-star step; links (a, b) with a > b."""
-    links = _contracted(links)
+def _large_star(links: DataFrame, n: int) -> DataFrame:
+    """Links (a, b), a > b: each node's larger neighbours move to its least one."""
     both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    large = _with_least(both, n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-    small = _with_least(large, n)
+    return _with_least(both, n).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a > b").distinct()
+
+
+def _small_star(links: DataFrame, n: int) -> DataFrame:
+    """Links (a, b), a > b: each node and its smaller neighbours move to the least of these."""
+    small = _with_least(links.select(F.col("a").alias("u"), F.col("b").alias("v")), n)
     own = small.select(F.col("u").alias("a"), F.col("m").alias("b"))
     others = small.select(F.col("v").alias("a"), F.col("m").alias("b"))
     return own.unionByName(others).where("a > b").distinct()
@@ -80,10 +83,11 @@ def _star(links: DataFrame, n: int) -> DataFrame:
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """links (a, b) of any order, repeated or not. Gives (node, component), the
     least node of its component, for each node but the least ones themselves.
-    Each round joins what a task reads, then alternates large and small stars, so
-    their number is about the logarithm of the longest path at most; each is
-    written before the next."""
-    ordered = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    Each task joins what it reads. What is left of these links is joined by one
+    task, if that can hold it; else rounds alternate large and small stars and
+    join what a task reads, so that their number is about the logarithm of the
+    longest path at most. Each step is written before the next, as its plan reads
+    its input several times."""
 
     def written(rows: DataFrame) -> tuple[DataFrame, tuple]:
         """The table and what tells it from another, seen as it is written."""
@@ -91,11 +95,19 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         now = materialize(rows.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("s")), "links")
         return now, (seen.get["n"], seen.get["s"])
 
-    now, last = written(ordered)
-    for _ in range(most_rounds):
-        before = now
-        now, found = written(_star(before, last[0]))
+    def then(before: DataFrame, rows: DataFrame) -> tuple[DataFrame, tuple]:
+        after = written(rows)
         discard(before)
+        return after
+
+    now, last = written(_contracted(links.where("a <> b").select("a", "b")).distinct())
+    if 2 * last[0] <= HELD_NODES:
+        now, _ = then(now, _contracted(now.coalesce(1)))
+        return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    for _ in range(most_rounds):
+        now, (n, _) = then(now, _large_star(now, last[0]))
+        now, _ = then(now, _small_star(now, n))
+        now, found = then(now, _contracted(now).distinct())
         if found == last:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
         last = found

@@ -4,6 +4,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
+from nearspan.llm import components as cc
 from nearspan.llm import near_duplicates as nd
 from nearspan.llm.components import components
 from tests.conftest import SF
@@ -170,3 +171,59 @@ def test_hub(spark):
     links = [(0, k) for k in range(1, 3000)] + [(5000 + k, 5001 + k) for k in range(20)]
     found = components(spark.createDataFrame(links, "a long, b long").repartition(4)).collect()
     assert {(r.node, r.component) for r in found} == {(k, 0) for k in range(1, 3000)} | {(5001 + k, 5000) for k in range(20)}
+
+
+def _counted(spark, monkeypatch):
+    """Counts the rows that joining within tasks makes, as often as it runs."""
+    rows = spark.sparkContext.accumulator(0)
+    contracted = cc._contracted
+
+    def run(batches):
+        for batch in batches:
+            rows.add(batch.num_rows)
+            yield batch
+
+    monkeypatch.setattr(cc, "_contracted", lambda links: contracted(links).mapInArrow(run, "a long, b long"))
+    return rows
+
+
+def test_links_are_joined_once(spark, monkeypatch):
+    """A group of twice the size makes twice the rows, each but a few times."""
+    rows, made = _counted(spark, monkeypatch), []
+    for n in (2000, 4000):
+        before = rows.value
+        links = spark.createDataFrame([(0, k) for k in range(1, n)], "a long, b long").repartition(4)
+        assert components(links).where("component = 0").count() == n - 1
+        made.append(rows.value - before)
+        assert made[-1] <= 3 * n
+    assert made[1] <= 2.2 * made[0]
+
+
+def test_components_beyond_one_task(spark, monkeypatch):
+    """Rounds of stars, where links are more than a task can hold."""
+    monkeypatch.setattr(cc, "HELD_NODES", 16)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    rows = _counted(spark, monkeypatch)
+    r = random.Random(2)
+    links = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(1, 90)] + [(r.randrange(300, 400), r.randrange(300, 400)) for _ in range(60)]
+    root = {n: n for p in links for n in p}
+    for _ in range(100):
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    try:
+        got = {x.node: x.component for x in components(spark.createDataFrame(links, "a long, b long").repartition(5)).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == {n: c for n, c in root.items() if n != c}
+    assert rows.value <= 10 * len(links)
+
+
+def test_components_take_few_stages(spark):
+    """What the driver keeps of each stage and broadcast is what fills its memory."""
+    links = spark.createDataFrame([(k, k + 1) for k in range(0, 400)], "a long, b long").repartition(8)
+    tracker = spark.sparkContext._jsc.sc().dagScheduler()
+    before = tracker.nextJobId()
+    found = components(links)
+    assert tracker.nextJobId() - before <= 6
+    assert found.where("component = 0").count() == 400
