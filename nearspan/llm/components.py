@@ -100,7 +100,9 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         discard(before)
         return after
 
-    now, last = written(_contracted(links.where("a <> b").select("a", "b")).distinct())
+    ordered = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    # the exchange keeps this Python step out of tasks of another one, which would need twice the workers
+    now, last = written(_contracted(ordered.distinct()).distinct())
     if 2 * last[0] <= HELD_NODES:
         now, _ = then(now, _contracted(now.coalesce(1)))
         return now.select(F.col("a").alias("node"), F.col("b").alias("component"))

@@ -227,3 +227,14 @@ def test_components_take_few_stages(spark):
     found = components(links)
     assert tracker.nextJobId() - before <= 6
     assert found.where("component = 0").count() == 400
+
+
+def test_no_task_has_two_python_steps(spark, monkeypatch):
+    """Workers stay when a step is over, each with its memory."""
+    plans, materialize = [], cc.materialize
+    monkeypatch.setattr(cc, "materialize", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or materialize(df, name))
+    links = spark.createDataFrame([(k, k + 1) for k in range(9)], "a long, b long").mapInArrow(lambda batches: batches, "a long, b long")
+    assert components(links).count() == 9
+    for plan in plans:
+        steps = ["MapInArrow" in line for line in plan.splitlines() if "MapInArrow" in line or "Exchange" in line]
+        assert any(steps) and not any(x and y for x, y in zip(steps, steps[1:]))
