@@ -2,7 +2,9 @@
 
 Suffixes are classified as smaller or larger than their successors. The leftmost
 smaller ones are sorted by their substrings, which are named; if names repeat,
-the string of names is sorted recursively, at most half as long. The order of
+the string of names is sorted recursively, at most half as long. Substrings are
+sorted by words of as many symbols as 64 bits hold, equal ones by their next
+words, so that a level is induced once. The order of
 all suffixes is then induced in two linear sweeps over the buckets of first
 symbols. What some buckets' suffixes induce is a stable grouping by symbol; a
 step of a sweep takes as many buckets as induce nothing into each other, so
@@ -49,15 +51,18 @@ def _sweep(t: np.ndarray, found: np.ndarray, induced: np.ndarray, run: np.ndarra
     free place of its bucket, from the bucket's beginning or end. ``run`` says
     how many equal symbols lie before each place."""
     n, ends = len(t), np.cumsum(sizes)
+    none = t.dtype.type(np.iinfo(t.dtype).max)
+    # the symbol before each suffix, if it is induced; also of what is not known
+    prior_symbol = np.full(n + 1, none, t.dtype)
+    prior_symbol[1:n] = np.where(induced[: n - 1], t[: n - 1], none)
     heads = ends - sizes
     fill = ends.copy() if down else heads.copy()
     symbols = np.repeat(np.arange(len(sizes), dtype=t.dtype), sizes)  # by place in the array
 
-    def before(part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = (part > 0).nonzero()[0]
-        prior = part[at] - 1
-        some = induced[prior]
-        return prior[some], at[some]
+    def before(part: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        goal = prior_symbol[part]
+        at = (goal != none).nonzero()[0]
+        return part[at] - 1, goal[at], at
 
     def one(c: int) -> None:
         """A bucket that induces into itself: by runs of its symbol. Of those
@@ -75,8 +80,7 @@ def _sweep(t: np.ndarray, found: np.ndarray, induced: np.ndarray, run: np.ndarra
         else:
             found[fill[c] : fill[c] + len(more)] = more
             fill[c] += len(more)
-        prior, _ = before(found[heads[c] : ends[c]][::-1] if down else found[heads[c] : ends[c]])
-        goal = t[prior]
+        prior, goal, _ = before(found[heads[c] : ends[c]][::-1] if down else found[heads[c] : ends[c]])
         other = goal != c
         _place(prior[other], goal[other], fill, found, down)
 
@@ -86,13 +90,12 @@ def _sweep(t: np.ndarray, found: np.ndarray, induced: np.ndarray, run: np.ndarra
             c = int(symbols[at - 1])
             last = int(symbols[max(0, at - step)])
             to = int(heads[last])
-            prior, places = before(found[to:at][::-1])
+            prior, goal, places = before(found[to:at][::-1])
         else:
             c = int(symbols[at])
             last = int(symbols[min(n, at + step) - 1])
             to = int(ends[last])
-            prior, places = before(found[at:to])
-        goal = t[prior]
+            prior, goal, places = before(found[at:to])
         nearest = int(goal.max() if down else goal.min()) if len(prior) else -1
         if not len(prior) or (nearest < last if down else nearest > last):
             _place(prior, goal, fill, found, down)
@@ -144,35 +147,68 @@ def _leftmost(smaller: np.ndarray) -> np.ndarray:
     return leftmost
 
 
+def _named(t: np.ndarray, places: np.ndarray, buckets: int) -> tuple[np.ndarray, int]:
+    """Names of the substrings from each of the leftmost smaller ``places`` to
+    the next, in their order, and how many there are. A substring that others
+    begin with is greater than these: where it ends, on a smaller suffix, they
+    go on with a larger one, which is less. So what follows an end is greatest."""
+    n, m = len(t), len(places)
+    bits = buckets.bit_length()
+    each, pad = 64 // bits, np.uint64((1 << bits) - 1)
+    length = np.diff(np.r_[places, n - 1]) + 1
+    padded = np.zeros(n + each, t.dtype)
+    padded[:n] = t
+
+    def words(start: np.ndarray, left: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(start), np.uint64)
+        for k in range(each):
+            symbols = padded[start + k].astype(np.uint64)
+            symbols[left <= k] = pad
+            out = out << np.uint64(bits) | symbols
+        return out
+
+    word = words(places, length)
+    order = np.argsort(word)
+    word = word[order]
+    fresh = np.ones(m, bool)
+    fresh[1:] = word[1:] != word[:-1]
+    active = np.arange(m)
+    done = 0
+    while True:
+        # places in the order whose substring goes on, and is equal to a neighbour's so far
+        alone = fresh[active] & np.r_[fresh, True][active + 1]
+        some = ~alone & (word & pad != pad)
+        active = active[some]
+        if not len(active):
+            break
+        done += each
+        own = order[active]
+        word = words(np.minimum(places[own] + done, n), length[own] - done)
+        group = np.cumsum(fresh[active])
+        by = np.lexsort((word, group))
+        order[active], word = own[by], word[by]
+        fresh[active[1:]] |= word[1:] != word[:-1]
+    names = np.empty(m, places.dtype)
+    names[order] = np.cumsum(fresh) - 1
+    return names, int(fresh.sum())
+
+
 def suffix_array(t: np.ndarray, buckets: int) -> np.ndarray:
     """Suffix array of symbols below ``buckets`` whose last is 0 and the only 0."""
     n = len(t)
     if n == 1:
         return np.zeros(1, np.int64)
-    if buckets <= 1 << 16:
+    if buckets < 1 << 16:
         t = t.astype(np.uint16)  # short symbols are grouped by radix
     smaller = _smaller(t)
     leftmost = _leftmost(smaller)
     places = np.flatnonzero(leftmost).astype(np.int32 if n < 1 << 31 else np.int64)
-    found = _induce(t, smaller, places, buckets)
-    order = found[leftmost[found]]
-    # names: equal to the one before if length and symbols are
-    length = np.zeros(n, places.dtype)
-    length[places] = np.diff(np.r_[places, n - 1]) + 1
-    a, b = order[:-1], order[1:]
-    same = length[a] == length[b]
-    active, k = np.flatnonzero(same), 0
-    while len(active):
-        active = active[k < length[a[active]]]
-        equal = t[a[active] + k] == t[b[active] + k]
-        same[active[~equal]] = False
-        active, k = active[equal], k + 1
-    named = np.empty(n, places.dtype)
-    named[order] = np.cumsum(np.r_[0, ~same])
-    names = named[places]
-    kinds = int(names.max()) + 1
+    names, kinds = _named(t, places, buckets)
     if kinds < len(names):
         order = places[suffix_array(names, kinds)]
+    else:
+        order = np.empty_like(places)
+        order[names] = places
     return _induce(t, smaller, order, buckets)
 
 

@@ -65,3 +65,34 @@ def test_whole_shard_of_prose():
     rank[order] = np.arange(len(t))
     a, b = order[:-1], order[1:]
     assert ((t[a] < t[b]) | (t[a] == t[b]) & (np.r_[rank, -1][a + 1] < np.r_[rank, -1][b + 1])).all()
+
+
+def test_a_level_is_induced_once(monkeypatch):
+    """Substrings are sorted by themselves; only the order of all suffixes is induced."""
+    calls = {"levels": 0, "induced": 0}
+    whole, induce = module.suffix_array, module._induce
+
+    def counted(*a):
+        calls["levels"] += 1
+        return whole(*a)
+
+    def induced(*a):
+        calls["induced"] += 1
+        return induce(*a)
+
+    monkeypatch.setattr(module, "suffix_array", counted)
+    monkeypatch.setattr(module, "_induce", induced)
+    rng = np.random.default_rng(5)
+    t = np.r_[rng.integers(1, 5, 4000), 0]
+    t[2000:3000] = t[:1000]
+    got = module.suffix_array(t, 5)
+    assert got.tolist() == sorted(range(len(t)), key=lambda i: t[i:].tolist())
+    assert calls["levels"] > 2 and calls["induced"] == calls["levels"]
+
+
+def test_substrings_of_many_words():
+    """Substrings longer than a word, equal up to a word's end, and some that others begin with."""
+    down = bytes(range(250, 100, -1))
+    check(b"".join(down[a:] + down[:b] for a in (0, 3, 60) for b in (6, 7, 8, 13, 14, 15, 140, 149)) * 2)
+    check(b"zyxwvuab" * 9 + b"zyxwvuaa" * 9 + b"zyxwvua" * 9 + b"zyxwvuaaaaaaaaab" * 5 + b"zyxwvuaaaaaaaaaa0" * 5)
+    check(bytes([255] * 20 + [0] * 20) * 8 + bytes([255, 254] * 30))
