@@ -1,16 +1,17 @@
 """Byte-level BPE encoding and decoding by a monoid tree reduction.
 
 Encodings of byte strings form a monoid: ``join(encode(x), encode(y))`` is
-``encode(x + y)``. A pre-token is cut into halves down to single bytes, which
-encode themselves; all longer encodings come from joins up the tree. A join
-re-encodes a window of tokens about the seam, merging by ranks, and lets it grow
-until the tokens outside are proven to stay.
+``encode(x + y)``. A pre-token's leaves are its single bytes, which encode
+themselves; all longer encodings come from joins of neighbours, level by level up
+the tree. A join re-encodes a window of tokens about the seam, merging by ranks,
+and lets it grow until the tokens outside are proven to stay.
 
 The proof: a sequence of tokens is the encoding of its bytes if and only if each
 pair of neighbours is the encoding of the pair's bytes. The window is an
 encoding itself, and so are both outer parts; only the two pairs at the
-window's ends are new, and these are encoded and compared. A window that takes
-in everything is right at once. Texts are trees too, whose upper nodes join
+window's ends can be new, and those that are get encoded and compared. If the two
+tokens at the seam stay, no pair is new. A window that takes in everything is
+right at once. Texts are trees too, whose upper nodes join
 pre-tokens, over whose ends no merge reaches.
 
 A worker keeps the ids of pre-tokens, and of chunks of them, in bounded caches,
@@ -26,6 +27,7 @@ from __future__ import annotations
 import hashlib
 from heapq import heapify, heappop, heappush
 from itertools import chain
+from operator import add
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -44,10 +46,11 @@ SLICE_BYTES = 2 << 20
 class TreeBPE:
     def __init__(self, ranks: dict[bytes, int], pattern: str, entries: int = CACHE_ENTRIES):
         self.ranks, self.bytes = ranks, {i: b for b, i in ranks.items()}
+        self.ones = {i: (i,) for i in ranks.values()}
         self.single = [ranks[bytes([b])] for b in range(256)]
         self.windows = Kept(lambda ids: tuple(self.merge(ids)), WINDOW_ENTRIES)
         self.joins = 0
-        self.chunks = ChunkValues(pattern, lambda piece: tuple(self.encode_piece(piece.encode("utf-8", "surrogatepass"))), lambda parts: list(chain.from_iterable(parts)), entries)
+        self.chunks = ChunkValues(pattern, lambda piece: self.encode_piece(piece.encode("utf-8", "surrogatepass")), lambda parts: list(chain.from_iterable(parts)), entries)
 
     def merge(self, ids) -> list[int]:
         """The encoding of the bytes of some tokens: from single bytes, the
@@ -76,32 +79,47 @@ class TreeBPE:
             k = stop[k]
         return out
 
-    def window(self, ids: tuple[int, ...]):
-        return self.windows[ids] if len(ids) <= KEPT_TOKENS else self.merge(ids)
+    def window(self, ids: tuple[int, ...]) -> tuple[int, ...]:
+        return self.windows[ids] if len(ids) <= KEPT_TOKENS else tuple(self.merge(ids))
 
-    def stays(self, left: int, right: int) -> bool:
-        """Whether the two tokens stay apart when they meet."""
-        return self.window((left, right)) == (left, right)
-
-    def join(self, a: list[int], b: list[int]) -> list[int]:
+    def join(self, a: tuple[int, ...], b: tuple[int, ...]) -> tuple[int, ...]:
         """The encoding of both parts' bytes, from the parts' encodings."""
         self.joins += 1
+        seam = a[-1], b[0]
+        window = self.windows[seam]
+        if window == seam:
+            return a + b
         left = right = 1
         while True:
-            left, right = min(left, len(a)), min(right, len(b))
-            window = self.window((*a[len(a) - left :], *b[:right]))
-            left_holds = left == len(a) or self.stays(a[-left - 1], window[0])
-            right_holds = right == len(b) or self.stays(window[-1], b[right])
+            first, last = window[0], window[-1]
+            # a pair of one part's own tokens stays, as the part is an encoding
+            left_holds = left == len(a) or first == a[-left] or self.windows[pair := (a[-left - 1], first)] == pair
+            right_holds = right == len(b) or last == b[right - 1] or self.windows[pair := (last, b[right])] == pair
             if left_holds and right_holds:
-                return [*a[: len(a) - left], *window, *b[right:]]
-            left, right = left if left_holds else 2 * left, right if right_holds else 2 * right
-
-    def encode_piece(self, piece: bytes) -> list[int]:
-        """Halves, recursively; the depth is the logarithm of the length."""
-        if len(piece) < 2:
-            return [self.single[b] for b in piece]
-        half = len(piece) // 2
-        return self.join(self.encode_piece(piece[:half]), self.encode_piece(piece[half:]))
+                return a[: len(a) - left] + window + b[right:]
+            if not left_holds:
+                left = min(2 * left, len(a))
+            if not right_holds:
+                right = min(2 * right, len(b))
+            window = self.window(a[len(a) - left :] + b[:right])
+
+    def encode_piece(self, piece: bytes) -> tuple[int, ...]:
+        """Neighbours are joined, level by level; what is left over at a level's
+        end goes up as it is. The depth is the logarithm of the length."""
+        if not piece:
+            return ()
+        leaves = list(map(self.single.__getitem__, piece))
+        # of two bytes the window is everything
+        ids = iter(leaves)
+        parts = list(map(self.windows.__getitem__, zip(ids, ids)))
+        self.joins += len(parts)
+        if len(leaves) % 2:
+            parts.append(self.ones[leaves[-1]])
+        while len(parts) > 1:
+            last = parts[-1:] if len(parts) % 2 else []
+            own = iter(parts)
+            parts = list(map(self.join, own, own)) + last
+        return parts[0]
 
     def encode(self, text: str) -> list[int]:
         """Ids of the text; those of its pre-tokens follow each other."""
@@ -109,10 +127,11 @@ class TreeBPE:
 
     def decode(self, ids: list[int]) -> bytes:
         """Bytes of ``ids``, neighbours concatenated up the tree."""
-        parts = [self.bytes[i] for i in ids]
+        parts = list(map(self.bytes.__getitem__, ids))
         while len(parts) > 1:
             last = parts[-1:] if len(parts) % 2 else []
-            parts = [x + y for x, y in zip(parts[::2], parts[1::2])] + last
+            own = iter(parts)
+            parts = list(map(add, own, own)) + last
         return parts[0] if parts else b""
 
 

@@ -61,6 +61,35 @@ def test_tree_on_long_pieces():
         assert tree.encode(text) == library.encode_ordinary(text)
 
 
+def test_join_looks_at_what_is_new():
+    """If the tokens at the seam stay, no other pair is encoded again."""
+    tree = TreeBPE(RANKS, P.PATTERN)
+    looked = []
+
+    class Counted(type(tree.windows)):
+        def __getitem__(self, ids):
+            looked.append(ids)
+            return super().__getitem__(ids)
+
+    tree.windows = Counted(tree.windows.make, tree.windows.entries)
+    a, b = (tuple(library.encode_ordinary(x)) for x in ("zqjx", "#qzj"))
+    assert len(a) > 1 and len(b) > 1 and tree.merge(a + b) == [*a, *b]
+    assert tuple(tree.join(a, b)) == a + b
+    assert looked == [(a[-1], b[0])]
+
+
+def test_join_at_every_place():
+    """Any two parts' encodings give the whole's, however far the seam's merges reach."""
+    r = random.Random(7)
+    for alphabet, n in ((b"a", 40), (b"ab", 30), (b"aeinrst", 40), (b"=- ", 50), (bytes(range(256)), 20)):
+        for _ in range(6):
+            raw = bytes(r.choices(alphabet, k=n))
+            whole = TREE.merge([TREE.single[x] for x in raw])
+            for k in range(1, n):
+                a, b = (tuple(TREE.merge([TREE.single[x] for x in part])) for part in (raw[:k], raw[k:]))
+                assert list(TREE.join(a, b)) == whole
+
+
 def test_whole_table_comes_from_joins(spark):
     """Every pre-token of two bytes or more is made by joins, one for each byte
     but the first, and the whole table's digests are the library's."""
