@@ -52,7 +52,7 @@ LENGTH, GRAM = 100, 32
 #: Bytes of text hashed at a time, and rows gathered before equal segments are put together.
 PIECE_BYTES, FLUSH_ROWS = 1 << 20, 200_000
 #: Bytes of segments in one suffix array, and of a claimed text in one shard.
-SHARD_BYTES, CHUNK_BYTES = 4 << 20, 4096
+SHARD_BYTES, CHUNK_BYTES = 2 << 20, 4096
 #: Copies of a claimed segment in one shard.
 SALTED = 4096
 #: Different segments of an anchor up to which they meet in a shard; each has at most 168 bytes.
@@ -86,6 +86,13 @@ class _Hashes:
         _, down = _powers(which)
         return mix((self.sums[which][end] - self.sums[which][start]) * down[start] + (end - start).astype(np.uint64))
 
+    def all(self, which: int, width: int) -> np.ndarray:
+        """Of all substrings of a width, by place."""
+        _, down = _powers(which)
+        sums = self.sums[which]
+        n = len(sums) - width
+        return mix((sums[width:] - sums[:n]) * down[:n] + np.uint64(width))
+
 
 def least_in_windows(values: np.ndarray, width: int) -> np.ndarray:
     """The least of each ``width`` values in a row."""
@@ -117,10 +124,9 @@ def segments(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, single: b
     hashes = _Hashes(data)
     if single:
         return hashes.of(0, at, at + length), hashes.of(1, at, at + length), at, at + length, np.zeros(len(at), np.int64)
-    start = np.arange(len(data) - GRAM + 1)
-    gram = hashes.of(0, start, start + GRAM)
+    gram = hashes.all(0, GRAM)
     # the least hash of each window and its leftmost place, in one word
-    key = gram >> np.uint64(24) << np.uint64(24) | start.astype(np.uint64)
+    key = gram >> np.uint64(24) << np.uint64(24) | np.arange(len(gram), dtype=np.uint64)
     anchor = (least_in_windows(key, grams)[:n] & np.uint64((1 << 24) - 1)).astype(np.int64)
     fresh = np.r_[True, (at[1:] != at[:-1] + 1) | (anchor[at[1:]] != anchor[at[:-1]])]
     first, last = at[fresh], at[np.r_[fresh[1:], True]]

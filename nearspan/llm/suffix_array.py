@@ -199,7 +199,10 @@ def suffix_array(t: np.ndarray, buckets: int) -> np.ndarray:
     if n == 1:
         return np.zeros(1, np.int64)
     if buckets < 1 << 16:
-        t = t.astype(np.uint16)  # short symbols are grouped by radix
+        # symbols that occur, numbered anew; short ones are grouped by radix
+        used = np.bincount(t, minlength=buckets) > 0
+        buckets = int(used.sum())
+        t = (np.cumsum(used) - 1).astype(np.uint8 if buckets < 1 << 8 else np.uint16)[t]
     smaller = _smaller(t)
     leftmost = _leftmost(smaller)
     places = np.flatnonzero(leftmost).astype(np.int32 if n < 1 << 31 else np.int64)

@@ -96,3 +96,14 @@ def test_substrings_of_many_words():
     check(b"".join(down[a:] + down[:b] for a in (0, 3, 60) for b in (6, 7, 8, 13, 14, 15, 140, 149)) * 2)
     check(b"zyxwvuab" * 9 + b"zyxwvuaa" * 9 + b"zyxwvua" * 9 + b"zyxwvuaaaaaaaaab" * 5 + b"zyxwvuaaaaaaaaaa0" * 5)
     check(bytes([255] * 20 + [0] * 20) * 8 + bytes([255, 254] * 30))
+
+
+def test_bytes_are_short_symbols(monkeypatch):
+    """A text's symbols are numbered anew, in a byte each, up to 255 kinds."""
+    types, induce = [], module._induce
+    monkeypatch.setattr(module, "_induce", lambda t, *a: types.append(t.dtype) or induce(t, *a))
+    check(b"the words of a text, of the text's words")
+    assert types[-1] == np.uint8
+    for kinds, dtype in ((254, np.uint8), (255, np.uint16), (256, np.uint16)):
+        check(bytes(range(256 - kinds, 256)) * 3 + bytes(range(255, 255 - kinds, -1)))
+        assert types[-1] == dtype
