@@ -524,14 +524,20 @@ def _decided(dealt: DataFrame, length: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """Spans ``(id, tag, start, stop)`` of bytes to remove; they may overlap.
     tag is the checksum of the text that a span is of."""
-    small_batches(docs.sparkSession)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
+    return _spans(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null"), length)
+
+
+def _spans(rows: DataFrame, length: int) -> DataFrame:
+    """The same of rows with an ``id``, ``text`` and other columns, which the
+    last step carries along, so that its exchange is the one of ``rows``."""
+    small_batches(rows.sparkSession)
+    texts = rows.select("id", "text")
     met = materialize(_met(_found(texts, length)), "segments")
     many = met.where(F.col("kind") == MANY)
     asked = met.where(F.col("kind") != MANY)
     if many.limit(1).count():  # else there is nothing to look at window by window
         asked = asked.unionByName(materialize(_met(_single(texts, many, length)), "windows"))
-    return _decided(_dealt(texts, asked, length), length)
+    return _decided(_dealt(rows, asked, length), length)
 
 
 def cut(raw: bytes, spans: list[tuple[int, int]], characters: bool = False) -> tuple[bytes, int, int]:
@@ -563,13 +569,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """All columns of ``docs`` in a struct ``_row``, and ``kept_text`` (null
     unless ``characters``, which keeps it valid), ``n_bytes``, ``n_removed``,
     ``n_spans``, ``kept_sha256`` of the bytes left."""
-    spans = repeated_spans(docs, id_col, text_col, length)
-    spans = spans.groupBy("id").agg(F.collect_list(F.struct("tag", "start", "stop")).alias("spans"))
     names = [f"c{k}" for k in range(len(docs.columns))]
     own = [F.col(f"`{c}`").alias(n) for n, c in zip(names, docs.columns) if c not in (id_col, text_col)]
     narrow = [F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *own]
     held = [n for n, c in zip(names, docs.columns) if c not in (id_col, text_col)]
-    rows = docs.select(*narrow).where("id is not null").join(spans.hint("merge"), "id", "left")
+    rows = docs.select(*narrow).where("id is not null")
+    spans = _spans(rows, length).groupBy("id").agg(F.collect_list(F.struct("tag", "start", "stop")).alias("spans"))
+    rows = rows.join(spans.hint("merge"), "id", "left")
     without = docs.select(*narrow).where("id is null").withColumn("spans", F.lit(None).cast(rows.schema["spans"].dataType))
     kinds = "".join(f", {n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, docs.columns) if n in held)
 
@@ -588,7 +594,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             text = batch.column("text") if characters else pa.nulls(batch.num_rows, pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("id"), text, *(batch.column(n) for n in held), *added], ["id", "text", *held, "kept_text", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    judged = rows.select("id", "text", *held, "spans").unionByName(without.select("id", "text", *held, "spans")).mapInArrow(
+    # a union keeps the names of its first part, which would make the exchange of rows another one
+    judged = without.select("id", "text", *held, "spans").unionByName(rows.select("id", "text", *held, "spans")).mapInArrow(
         run, f"id long, text string{kinds}, kept_text string, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     )
     source = {c: F.col("id").cast(docs.schema[c].dataType) if c == id_col else F.col("text").cast(docs.schema[c].dataType) if c == text_col else F.col(n) for n, c in zip(names, docs.columns)}

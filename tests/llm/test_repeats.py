@@ -1,10 +1,11 @@
 import hashlib
 import random
+import time
 import zlib
 
 import pytest
 
-from nearspan.llm import repeats
+from nearspan.llm import common, repeats
 from tests.conftest import SF
 
 
@@ -143,3 +144,36 @@ def test_met_in_small_batches(spark, passages, monkeypatch):
         assert judged(spark.createDataFrame(passages, "doc_id long, text string").repartition(5)) == brute(passages)
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def shuffle_files(spark):
+    """Names of the shuffle files on disk that have rows."""
+    found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {n for n in (found.apply(k).getName() for k in range(found.size())) if n.startswith("shuffle_") and n.endswith(".data")}
+
+
+def test_written_tables_leave_no_shuffle_files(spark, passages):
+    """What is written is not held on disk twice until the driver collects garbage."""
+    docs = spark.createDataFrame(passages, "doc_id long, text string")
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    setting = spark.conf.get(name, None)
+    before = shuffle_files(spark)
+    written = common.materialize(docs.repartition(3, "doc_id"), "cleaned")
+    assert sorted(r.doc_id for r in written.collect()) == sorted(d for d, _ in passages)
+    repeats.repeated_spans(docs)  # writes its segments
+    for _ in range(100):  # they are deleted in the background
+        if not shuffle_files(spark) - before:
+            break
+        time.sleep(0.1)
+    assert not shuffle_files(spark) - before
+    assert spark.conf.get(name, None) == setting
+
+
+@pytest.mark.parametrize("others", [[], ["lang", "source", "n_chars"]])
+def test_texts_are_dealt_once(spark, others):
+    """The last query exchanges the texts for both of its joins at once."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", *others)
+    judged = repeats.remove_repeats(docs)
+    rows = judged.collect()
+    assert len(rows) == docs.count() and set(rows[0]["_row"].asDict()) == {"doc_id", "text", *others}
+    assert "ReusedExchange" in judged._jdf.queryExecution().executedPlan().toString()
